@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules
+from . import mixing, quality_rules, simhash
 from .common import documents
 
 
 def queries():
     return {
+        "op1_simhash": lambda spark, d: simhash.near_duplicates(documents(spark, d)),
         "op8_mixing": lambda spark, d: mixing.mix(documents(spark, d)),
         "op9_quality_rules": lambda spark, d: quality_rules.quality_rules(documents(spark, d)),
     }
