@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, token_output
+from . import decontaminate, license_scan, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, token_output
 from .common import documents
 
 
@@ -13,6 +13,7 @@ def queries():
         "op3_license_scan": lambda spark, d: license_scan.license_scan(documents(spark, d)).drop("blocks"),
         "op5_quality_classifier": lambda spark, d: quality_classifier.quality_classifier(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
         "op6_decontaminate": lambda spark, d: decontaminate.leaks(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+        "op7_substring_dedup": lambda spark, d: substring_dedup.substring_dedup(documents(spark, d)),
         "op8_mixing": lambda spark, d: mixing.mix(documents(spark, d)),
         "op9_quality_rules": lambda spark, d: quality_rules.quality_rules(documents(spark, d)),
         "op10_line_dedup": lambda spark, d: line_dedup.line_dedup(documents(spark, d)),
