@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(df.columns)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)
     del df
