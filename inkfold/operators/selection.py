@@ -35,12 +35,12 @@ def coverage_first(pages: DataFrame, keys: list[str], name: str, order: list[Col
     rows = rows.filter(keep).drop("_seen")
     entry = F.struct(F.col("_r").alias("r"), F.col(name).alias("name"), F.col("groups").alias("groups"))
     all_of = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_all"))
-    taken = F.array().cast("array<string>")
-    for group in groups:
-        fit = lambda taken, group=group: F.get(F.filter("_all", lambda e: F.array_contains(e["groups"], group) & ~F.array_contains(taken, e["name"])), F.lit(0))["name"]
-        all_of = all_of.withColumn("_t", taken)
-        all_of = all_of.withColumn("_t", F.when((F.size("_t") < k) & fit(F.col("_t")).isNotNull(), F.array_append("_t", fit(F.col("_t")))).otherwise(F.col("_t")))
-        taken = F.col("_t")
+
+    def take(taken: Column, group: Column) -> Column:
+        fits = F.filter("_all", lambda e: F.array_contains(e["groups"], group) & ~F.array_contains(taken, e["name"]))
+        return F.slice(F.concat(taken, F.transform(F.slice(fits, 1, 1), lambda e: e["name"])), 1, k)
+
+    all_of = all_of.withColumn("_t", F.aggregate(F.array(*[F.lit(x) for x in groups]), F.array().cast("array<string>"), take))
     rest = F.transform(F.filter("_all", lambda e: ~F.array_contains(F.col("_t"), e["name"])), lambda e: e["name"])
     chosen = F.slice(F.concat("_t", rest), 1, k)
     return all_of.select(*keys, F.posexplode(chosen).alias("position", name)).withColumn("position", F.col("position") + 1)
