@@ -6,8 +6,9 @@ shifts none of those that follow. Chunks of MIN_LINES non-blank lines or more th
 everywhere but at the first (by doc_id, then place in the document).
 
 Chunk hashes are counted slim, without text. Only documents with a repeated hash are carried on; their chunks are then grouped
-by the text itself, which is the byte comparison: a hash alone never removes a line. The joins are plain equi joins, so a
-passage that a third of the documents share is split by adaptive skew handling, and counts are summed before they move.
+by the text itself, which is the byte comparison: a hash alone never removes a line. The joins are plain equi joins of written
+tables, so a passage that a third of the documents share is split by adaptive skew handling, and counts are summed before they
+move. The joins are sort-merge joins at every size: a plan that changes with the input would say little about a larger one.
 
 Defined results: null text has no lines and stays null; an empty text has one empty line; rows equal in doc_id and text are
 one document, each row gets the same result; a null doc_id comes after all others, and equal doc_ids follow their text's hash.
@@ -51,15 +52,16 @@ def deduplicated(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
     chunks = written(chunks.select("_ref", F.col("c.k").alias("k"), F.xxhash64(_text(F.col("c"))).alias("h")), "chunks")
     places = chunks.distinct()
     again = places.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
-    live = written(places.join(again, "h").groupBy("_ref").agg(F.collect_set("k").alias("_ks")), "live")  # at most a document's chunks
+    live = written(places.join(again.hint("merge"), "h").groupBy("_ref").agg(F.collect_set("k").alias("_ks")), "live")  # at most a document's chunks
     rows = _lined(docs, *([F.struct("*").alias("_doc")] if keep_rows else [])).withColumnRenamed("_ref", "_r")
-    rows = written(rows.join(live, rows["_r"] == live["_ref"], "left").drop("_ref", "text"), "lined")  # the lines hold the text
+    rows = written(rows.join(live.hint("merge"), rows["_r"] == live["_ref"], "left").drop("_ref", "text"), "lined")  # the lines hold the text
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_r").alias("r"), F.col("c.k").alias("k"))
     texts = rows.filter("_ks is not null").select("doc_id", "_r", "_l", F.explode(F.filter("_c", lambda c: F.array_contains("_ks", c["k"]))).alias("c")).select("_r", F.col("c.k").alias("k"), _text(F.col("c")).alias("t"), order.alias("o"))
     texts = written(texts, "texts")
-    first = texts.groupBy("t").agg(F.min("o").alias("first"))
-    gone = texts.join(first.withColumnRenamed("t", "t2"), F.col("t") == F.col("t2")).filter("o <> first").groupBy("_r").agg(F.collect_set("k").alias("_gone")).withColumnRenamed("_r", "_g")
-    rows = rows.join(written(gone, "gone"), F.col("_r") == F.col("_g"), "left")
+    first = written(texts.groupBy("t").agg(F.min("o").alias("first")), "first").withColumnRenamed("t", "t2")
+    gone = texts.join(first.hint("merge"), F.col("t") == F.col("t2")).filter("o <> first").groupBy("_r").agg(F.collect_set("k").alias("_gone")).withColumnRenamed("_r", "_g")
+    flagged = rows.filter("_ks is not null").join(written(gone, "gone").hint("merge"), F.col("_r") == F.col("_g"), "left").drop("_g")
+    rows = flagged.unionByName(rows.filter("_ks is null").withColumn("_gone", F.lit(None).cast("array<int>")))
     left = F.filter("_c", lambda c: ~F.coalesce(F.array_contains("_gone", c["k"]), F.lit(False)))
     rows = rows.withColumn("_left", F.flatten(F.transform(left, lambda c: F.slice("_l", c["a"] + 1, c["b"] - c["a"] + 1))))
     n = lambda x: F.when(F.col(x).isNull(), 0).otherwise(F.size(x)).cast("long")
