@@ -26,9 +26,9 @@ def otsu(hist: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*keys)
     d = lambda c: c.cast("decimal(18,0)")
-    c = hist.withColumns({"_w": d(F.sum("n").over(w)), "_s": d(F.sum(F.col("n") * F.col("level")).over(w)), "_W": d(F.sum("n").over(everything)), "_S": d(F.sum(F.col("n") * F.col("level")).over(everything))})
-    diff = (F.col("_w") * F.col("_S")).cast("decimal(24,0)") - (F.col("_W") * F.col("_s")).cast("decimal(24,0)")
-    c = c.withColumns({"_d": diff.cast("decimal(24,0)"), "_n1": F.col("_w"), "_n2": F.col("_W") - F.col("_w")}).filter("_n1 > 0 and _n2 > 0")
+    c = hist.withColumns({"_w": d(F.sum("n").over(w)), "_s": d(F.sum(F.col("n") * F.col("level")).over(w)), "_wt": d(F.sum("n").over(everything)), "_st": d(F.sum(F.col("n") * F.col("level")).over(everything))})
+    diff = (F.col("_w") * F.col("_st")).cast("decimal(24,0)") - (F.col("_wt") * F.col("_s")).cast("decimal(24,0)")
+    c = c.withColumns({"_d": diff.cast("decimal(24,0)"), "_n1": F.col("_w"), "_n2": F.col("_wt") - F.col("_w")}).filter("_n1 > 0 and _n2 > 0")
     c = c.withColumn("_v", F.pow(F.col("_d").cast("double"), 2) / (F.col("_n1").cast("double") * F.col("_n2").cast("double")))
     c = c.withColumn("_best", F.max("_v").over(everything)).filter("_v >= _best * (1 - 1e-12D)")
     found = c.groupBy(*keys).agg(F.min("level").alias("threshold"))

@@ -24,8 +24,6 @@ SELECT source AS project_id, concat('p', doc_id, CASE WHEN doc_id % 3 = 0 THEN '
     ELSE concat('/*', replace(text, '. ', ' . . . '), '*/', ' tail') END AS text
 FROM {documents}
 """
-#: embeddings as ink columns: a column has ink where the value is over 0.1 away from zero.
-INK = """SELECT vec_id AS line_id, label AS book, {index} AS col, {value} AS v FROM {embeddings}"""
 #: lineitem as measured lines.
 LINES = """
 SELECT l_returnflag AS book, l_orderkey AS page, l_linenumber AS line, CAST(l_quantity AS DOUBLE) AS height, CAST(l_extendedprice AS DOUBLE) AS width,
@@ -34,11 +32,11 @@ FROM {lineitem}
 """
 #: part as recognised words and supplier as line boxes, on pages by key.
 WORDS = """
-SELECT p_partkey AS word_id, p_partkey % 40 AS page, CAST((p_partkey * 37) % 200 AS INT) AS x0, CAST((p_partkey * 53) % 100 AS INT) AS y0,
+SELECT p_partkey AS word_id, CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST((p_partkey * 37) % 200 AS INT) AS x0, CAST((p_partkey * 53) % 100 AS INT) AS y0,
   CAST((p_partkey * 37) % 200 + 5 + p_size AS INT) AS x1, CAST((p_partkey * 53) % 100 + 4 + p_size % 9 AS INT) AS y1, p_name AS word FROM {part}
 """
 BOXES = """
-SELECT s_suppkey AS box_id, s_suppkey % 40 AS page, CAST((s_suppkey * 29) % 150 AS INT) AS x0, CAST((s_suppkey * 31) % 90 AS INT) AS y0,
+SELECT s_suppkey AS box_id, CAST(floor(s_suppkey / 3) AS BIGINT) AS page, CAST((s_suppkey * 29) % 150 AS INT) AS x0, CAST((s_suppkey * 31) % 90 AS INT) AS y0,
   CAST((s_suppkey * 29) % 150 + 70 AS INT) AS x1, CAST((s_suppkey * 31) % 90 + 12 AS INT) AS y1 FROM {supplier}
 """
 #: orders as pages with a first ink band and a left edge.
@@ -48,9 +46,3 @@ SELECT o_orderpriority AS book, o_orderkey AS page, concat('p', o_orderkey, '.pn
   CAST(100 + (CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 60 END) + CAST(floor(o_totalprice) AS BIGINT) % 9 AS INT) AS text_left,
   CAST(1000 + o_custkey % 7 AS INT) AS text_right FROM {orders}
 """
-#: benchmark characters as glyphs.
-GLYPHS = """
-SELECT item_id AS page, w.pos AS word, g.pos AS glyph, g.ch AS character, CASE WHEN item_id % 5 = 0 THEN NULL WHEN w.pos % 9 = 0 THEN 'italic' ELSE 'roman' END AS style,
-  CASE WHEN w.pos % 17 = 0 THEN 'furniture' ELSE 'transcribed' END AS tier,
-  CAST(4 + ascii(g.ch) % 7 + (item_id * 31 + w.pos * 7 + g.pos) % 5 AS INT) AS width, CAST(10 + ascii(g.ch) % 6 + (item_id + g.pos * 3) % 4 AS INT) AS height
-"""

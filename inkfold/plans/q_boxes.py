@@ -1 +1,191 @@
+"""Queries over boxes, intervals and page templates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from inkfold.operators.intervals import area_share, best_overlap, contained, merged, overlapping
+from inkfold.operators.review import AGREEMENT_MIN
+from inkfold.operators.templates import classify, fit_templates, head_windows
+
+from .adapters import BOXES, FIRST_BANDS, WORDS, table
+
 QUERIES: dict = {}
+
+
+def query(sql: str | None):
+    def add(run):
+        QUERIES[run.__name__] = (run, sql)
+        return run
+
+    return add
+
+
+_W, _B = f"w AS ({WORDS.replace('{part}', 'part')})", f"b AS ({BOXES.replace('{supplier}', 'supplier')})"
+_AREA = "2 * greatest(least(w.x1, b.x1) - greatest(w.x0, b.x0), 0) * greatest(least(w.y1, b.y1) - greatest(w.y0, b.y0), 0) >= (w.x1 - w.x0) * (w.y1 - w.y0)"
+_F = f"f AS ({FIRST_BANDS.replace('{orders}', 'orders')})"
+
+
+def words(spark, d):
+    return spark.sql(WORDS, part=table(spark, d, "part"))
+
+
+def boxes(spark, d):
+    return spark.sql(BOXES, supplier=table(spark, d, "supplier"))
+
+
+def first_bands(spark, d):
+    return spark.sql(FIRST_BANDS, orders=table(spark, d, "orders"))
+
+
+@query(f"WITH {_W}, {_B} SELECT word_id, box_id FROM w JOIN b ON w.page = b.page AND {_AREA}")
+def words_in_lines(spark, d):
+    return contained(words(spark, d), boxes(spark, d)).select("word_id", "box_id")
+
+
+@query(f"WITH {_W}, {_B} SELECT word_id, page FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE w.page = b.page AND {_AREA})")
+def furniture_words(spark, d):
+    return contained(words(spark, d), boxes(spark, d), "left_anti").select("word_id", "page")
+
+
+@query(f"""WITH {_W}, {_B}, m AS (SELECT word_id, w.page, box_id, greatest(least(w.x1, b.x1) - greatest(w.x0, b.x0), 0) AS shared FROM w JOIN b ON w.page = b.page
+AND greatest(least(w.y1, b.y1) - greatest(w.y0, b.y0), 0) * 10 > (w.y1 - w.y0) * 4 AND least(w.x1, b.x1) > greatest(w.x0, b.x0))
+SELECT word_id, page, box_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY shared DESC, box_id) AS r FROM m) WHERE r = 1""")
+def witness_words(spark, d):
+    return best_overlap(words(spark, d), boxes(spark, d))
+
+
+@query(f"""WITH {_W}, {_B}, c AS (SELECT box_id, count(*) AS found, count(*) FILTER (WHERE length(word) % 3 = 0) AS agreeing FROM w JOIN b ON w.page = b.page AND {_AREA} GROUP BY box_id)
+SELECT b.box_id, coalesce(found, 0) AS found, agreeing / found AS agreement, coalesce(agreeing * 10 >= found * 8, false) AS admitted FROM b LEFT JOIN c USING (box_id)""")
+def line_admission(spark, d):
+    counts = contained(words(spark, d), boxes(spark, d)).groupBy("box_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.length("word") % 3 == 0).alias("agreeing"))
+    rows = boxes(spark, d).select("box_id").join(counts, "box_id", "left")
+    agreement = F.try_divide("agreeing", "found")
+    return rows.select("box_id", F.coalesce("found", F.lit(0)).alias("found"), agreement.alias("agreement"), F.coalesce(agreement >= AGREEMENT_MIN, F.lit(False)).alias("admitted"))
+
+
+@query(f"""WITH {_W}, {_B} SELECT word_id, box_id, greatest(w.x0, b.x0) AS cut_start, least(w.x1, b.x1) AS cut_stop FROM w JOIN b ON w.page = b.page AND w.x0 < b.x1 AND w.x1 > b.x0""")
+def styles_on_lines(spark, d):
+    a = words(spark, d).select("word_id", "page", F.col("x0").alias("s0"), F.col("x1").alias("s1"))
+    b = boxes(spark, d).select("box_id", "page", F.col("x0").alias("l0"), F.col("x1").alias("l1"))
+    return overlapping(a, b, ["page"], ("s0", "s1"), ("l0", "l1")).select("word_id", "box_id", "cut_start", "cut_stop")
+
+
+@query(f"""WITH {_W}, {_B}, k AS (SELECT box_id, word_id, CASE word_id % 3 WHEN 0 THEN 'bold' WHEN 1 THEN 'italic' ELSE 'small_caps' END AS kind FROM b JOIN w ON w.page = b.page AND w.x0 <= b.x0 + 30 AND w.x1 > b.x0 + 30)
+SELECT b.box_id, CASE WHEN b.box_id % 10 = 0 THEN NULL ELSE coalesce((SELECT string_agg(kind, '+' ORDER BY kind) FROM (SELECT DISTINCT kind FROM k WHERE k.box_id = b.box_id)), 'roman') END AS style FROM b""")
+def style_at_character(spark, d):
+    runs = words(spark, d).select("page", F.col("x0").alias("s0"), F.col("x1").alias("s1"), F.when(F.col("word_id") % 3 == 0, "bold").when(F.col("word_id") % 3 == 1, "italic").otherwise("small_caps").alias("kind"))
+    at = boxes(spark, d).select("box_id", "page", (F.col("x0") + 30).alias("c0"), (F.col("x0") + 31).alias("c1"))
+    found = overlapping(at, runs, ["page"], ("c0", "c1"), ("s0", "s1")).groupBy("box_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("k"))
+    rows = at.join(found, "box_id", "left")
+    return rows.select("box_id", F.when(F.col("box_id") % 10 != 0, F.coalesce("k", F.lit("roman"))).alias("style"))
+
+
+@query(f"""WITH {_W}, e AS (SELECT *, max(x1) OVER (PARTITION BY page, y0 ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM w),
+g AS (SELECT *, sum(CASE WHEN edge IS NULL OR x0 >= edge THEN 1 ELSE 0 END) OVER (PARTITION BY page, y0 ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM e)
+SELECT page, y0 AS band, min(x0) AS x0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM g GROUP BY page, y0, k""")
+def merged_clusters(spark, d):
+    return merged(words(spark, d).withColumn("band", F.col("y0")), ["page", "band"]).select("page", "band", "x0", "x1", "y1", "n")
+
+
+@query(f"""WITH RECURSIVE {_W}, s AS (SELECT page, word_id, x0, y0, x1, y1 FROM w), e AS (SELECT a.page, a.word_id AS a, b.word_id AS b FROM s a JOIN s b ON a.page = b.page AND a.word_id <> b.word_id
+ AND 10 * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 4 * least(a.y1 - a.y0, b.y1 - b.y0) AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 2),
+r AS (SELECT page, word_id, word_id AS root FROM s UNION SELECT r.page, e.b, r.root FROM r JOIN e ON r.page = e.page AND r.word_id = e.a)
+SELECT page, word_id, min(root) AS cluster FROM r GROUP BY page, word_id""")
+def joined_components(spark, d):
+    import pandas as pd
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = list(pdf[["word_id", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
+        up = {r[0]: r[0] for r in rows}
+
+        def find(x):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        rows.sort(key=lambda r: (r[1], r[0]))
+        reach = max((r[3] - r[1] for r in rows), default=0) + 2
+        for i, a in enumerate(rows):
+            for b in rows[i + 1 :]:
+                if b[1] - a[1] > reach:
+                    break
+                shared = min(a[4], b[4]) - max(a[2], b[2])
+                if 10 * shared >= 4 * min(a[4] - a[2], b[4] - b[2]) and max(a[1], b[1]) - min(a[3], b[3]) <= 2:
+                    x, y = find(a[0]), find(b[0])
+                    up[max(x, y)] = min(x, y)
+        return pd.DataFrame({"page": pdf["page"].to_numpy(), "word_id": pdf["word_id"].to_numpy(), "cluster": [find(x) for x in pdf["word_id"]]})
+
+    return words(spark, d).groupBy("page").applyInPandas(close, "page long, word_id long, cluster long")
+
+
+@query(f"WITH {_B} SELECT page, arg_min(box_id, (-(x1 - x0), x0, y0, box_id)) AS box_id FROM b GROUP BY page")
+def widest_gutters(spark, d):
+    return boxes(spark, d).groupBy("page").agg(F.min_by("box_id", F.struct((F.col("x0") - F.col("x1")).alias("w"), "x0", "y0", "box_id")).alias("box_id"))
+
+
+@query(f"WITH {_W} SELECT page, word_id, row_number() OVER (PARTITION BY page ORDER BY y0, x0, x1, y1, word_id) - 1 AS ordinal FROM w")
+def candidate_order(spark, d):
+    w = Window.partitionBy("page").orderBy("y0", "x0", "x1", "y1", "word_id")
+    return words(spark, d).select("page", "word_id", (F.row_number().over(w) - 1).cast("long").alias("ordinal"))
+
+
+@query(f"""WITH {_W}, {_B} SELECT word_id, box_id, least(w.x0, b.x0) AS ux0, least(w.y0, b.y0) AS uy0, greatest(w.x1, b.x1) AS ux1, greatest(w.y1, b.y1) AS uy1,
+(greatest(least(w.x1, b.x1) - greatest(w.x0, b.x0), 0) * greatest(least(w.y1, b.y1) - greatest(w.y0, b.y0), 0))::BIGINT AS area, least(w.x1, 150) > greatest(w.x0, 20) AS inside FROM w JOIN b ON w.page = b.page""")
+def box_algebra(spark, d):
+    m = words(spark, d).alias("w").join(boxes(spark, d).alias("b"), "page")
+    low, high = (lambda c: F.least(F.col(f"w.{c}"), F.col(f"b.{c}"))), (lambda c: F.greatest(F.col(f"w.{c}"), F.col(f"b.{c}")))
+    part = lambda a, b: F.greatest(low(b) - high(a), F.lit(0))
+    return m.select("word_id", "box_id", low("x0").alias("ux0"), low("y0").alias("uy0"), high("x1").alias("ux1"), high("y1").alias("uy1"), (part("x0", "x1").cast("long") * part("y0", "y1")).alias("area"), (F.least(F.col("w.x1"), F.lit(150)) > F.greatest(F.col("w.x0"), F.lit(20))).alias("inside"))
+
+
+@query(f"""WITH {_W}, t AS (SELECT page, median(y1 - y0) AS h, median((x1 - x0) * (y1 - y0)) AS a FROM w GROUP BY page)
+SELECT word_id, CASE WHEN (y1 - y0) * 100 <= h * 50 AND (x1 - x0) * (y1 - y0) * 100 < a * 25 THEN 'speck' WHEN (y1 - y0) * 100 <= h * 50 AND word_id % 3 = 0 THEN 'rule' END AS reason FROM w JOIN t USING (page)""")
+def speck_and_rule_bands(spark, d):
+    w = words(spark, d)
+    h, a = F.col("y1") - F.col("y0"), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    mid = w.groupBy("page").agg(F.median(h).alias("_h"), F.median(a).alias("_a"))
+    low = h * 100 <= F.col("_h") * 50
+    return w.join(mid, "page").select("word_id", F.when(low & (a * 100 < F.col("_a") * 25), "speck").when(low & (F.col("word_id") % 3 == 0), "rule").alias("reason"))
+
+
+_HEAD = f"""{_F}, c AS (SELECT book, median(first_top) AS c, count(*) AS n FROM f GROUP BY book), m AS (SELECT f.book, any_value(c) AS c, any_value(n) AS n, median(abs(first_top - c)) AS spread FROM f JOIN c USING (book) GROUP BY f.book),
+h AS (SELECT book, c AS center, spread, n, CASE WHEN spread <= 25 THEN greatest(8, 3 * spread) END AS win FROM m)"""
+
+
+@query(f"WITH {_HEAD} SELECT book, center, spread, n, win AS \"window\" FROM h")
+def head_bands(spark, d):
+    return head_windows(first_bands(spark, d))
+
+
+_FIT = f"""{_HEAD}, r AS (SELECT f.*, center, win, regexp_extract(page_name, '([0-9])[^0-9]*$', 1)::INT % 2 = 1 AS recto FROM f JOIN h USING (book) WHERE win IS NOT NULL),
+nm AS (SELECT r.*, text_left <= median(text_left) OVER (PARTITION BY book) AS low FROM r WHERE abs(first_top - center) <= win),
+sd AS (SELECT book, count(*) FILTER (WHERE low) AS nl, count(*) FILTER (WHERE NOT low) AS nh, coalesce(avg(recto::INT) FILTER (WHERE NOT low), 0) > coalesce(avg(recto::INT) FILTER (WHERE low), 0) AS hr FROM nm GROUP BY book),
+al AS (SELECT nm.book, first_top, text_left, text_right, CASE WHEN (CASE WHEN least(nl, nh) < 0.2::DOUBLE * (nl + nh) THEN recto WHEN hr THEN NOT low ELSE low END) THEN 'normal_recto' ELSE 'normal_verso' END AS page_class FROM nm JOIN sd USING (book)
+ UNION ALL SELECT book, first_top, text_left, text_right, 'chapter_opening' FROM r WHERE first_top - center >= 150),
+tc AS (SELECT *, median(first_top) OVER (PARTITION BY book, page_class) AS tc FROM al),
+tp AS (SELECT book, page_class, trunc(any_value(tc))::INT AS first_top, trunc(median(abs(first_top - tc)))::INT AS first_spread, trunc(median(text_left))::INT AS text_left, trunc(median(text_right))::INT AS text_right, count(*) AS page_count FROM tc GROUP BY book, page_class)"""
+
+
+@query(f"WITH {_FIT} SELECT * FROM tp")
+def page_templates(spark, d):
+    return fit_templates(first_bands(spark, d))
+
+
+@query(f"""WITH {_FIT}, x AS (SELECT f.book, page, first_top AS head_top, text_left, center, win FROM f JOIN h USING (book)),
+k AS (SELECT x.book, x.page, t.page_class, abs(head_top - t.first_top) AS residual, greatest(0, 1 - abs(head_top - t.first_top) / greatest(t.first_spread, 8)) AS confidence,
+ row_number() OVER (PARTITION BY x.book, x.page ORDER BY abs(x.text_left - t.text_left), t.page_class) AS o, abs(x.text_left - t.text_left) <= win AS near FROM x JOIN tp t ON x.book = t.book AND t.page_class LIKE 'normal%' WHERE abs(head_top - center) <= win),
+s AS (SELECT x.book, x.page, t.page_class, abs(head_top - t.first_top) AS residual, greatest(0, 1 - abs(head_top - t.first_top) / greatest(t.first_spread, 8)) AS confidence FROM x JOIN tp t ON x.book = t.book AND t.page_class = 'chapter_opening' WHERE abs(head_top - center) > win AND head_top - center >= 150)
+SELECT x.book, x.page, coalesce(k.page_class, s.page_class, 'unknown') AS page_class, coalesce(k.residual, s.residual) AS residual, coalesce(k.confidence, s.confidence)::DOUBLE AS confidence
+FROM x LEFT JOIN k ON k.book = x.book AND k.page = x.page AND k.o = 1 AND k.near LEFT JOIN s ON s.book = x.book AND s.page = x.page""")
+def page_classes(spark, d):
+    pages = first_bands(spark, d)
+    return classify(pages.withColumn("head_top", F.col("first_top")), fit_templates(pages))
+
+
+@query(f"""WITH {_F} SELECT book, page, CASE WHEN first_top >= 105 THEN 0 WHEN first_top + 40 >= 105 THEN 1 ELSE 0 END AS head_ordinal FROM f""")
+def head_band_search(spark, d):
+    tops = F.array(F.col("first_top"), F.col("first_top") + 40, F.col("first_top") + 80)
+    first = F.array_min(F.filter(F.transform(tops, lambda t, i: F.when(t >= 105, i)), lambda i: i.isNotNull()))
+    return first_bands(spark, d).select("book", "page", F.coalesce(first, F.lit(0)).alias("head_ordinal"))

@@ -203,13 +203,13 @@ def normalized_words(spark, d):
     return rows.select("item_id", "word", letters_only(F.col("x")).alias("letters"))
 
 
-@query("""SELECT doc_id, ordinal, count(*) OVER (PARTITION BY doc_id) AS evidence FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1)::INT - 1 AS ordinal FROM (SELECT doc_id, string_split(replace(text, ', ', '    '), chr(10)) AS l FROM documents WHERE doc_id % 7 = 0))
+@query("""SELECT doc_id, ordinal, count(*) OVER (PARTITION BY doc_id) AS evidence FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1)::INT - 1 AS ordinal FROM (SELECT doc_id, string_split(replace(text, ', ', '    '), chr(10)) AS l FROM documents))
 WHERE regexp_matches(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^\\S(?:.*?\\S)? {3,}\\S(?:.*\\S)?$') QUALIFY evidence >= 3""")
 def table_evidence(spark, d):
     from pyspark.sql import Window
 
     from inkfold.operators.features import _aligned
 
-    rows = table(spark, d, "documents").filter("doc_id % 7 = 0").select("doc_id", F.posexplode(lines(F.replace("text", F.lit(", "), F.lit("    ")))).alias("ordinal", "line"))
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(lines(F.replace("text", F.lit(", "), F.lit("    ")))).alias("ordinal", "line"))
     rows = rows.filter(_aligned(F.col("line")))
     return rows.select("doc_id", "ordinal", F.count(F.lit(1)).over(Window.partitionBy("doc_id")).alias("evidence")).filter("evidence >= 3")
