@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_boxes, q_glyphs, q_lines, q_pages, q_scalars
+from . import q_boxes, q_glyphs, q_kernels, q_lines, q_pages, q_scalars
 
-_PARTS = (q_pages, q_lines, q_boxes, q_glyphs, q_scalars)
+_PARTS = (q_pages, q_lines, q_boxes, q_glyphs, q_scalars, q_kernels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
