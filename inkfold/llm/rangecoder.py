@@ -100,7 +100,7 @@ def encode_blocks(ids: np.ndarray, classes: int) -> list[np.ndarray]:
     lanes = -(-total // BLOCK)
     if not lanes:
         return []
-    grid = np.zeros(lanes * BLOCK, np.int64)
+    grid = np.zeros(lanes * BLOCK, np.int32)
     grid[:total] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, BLOCK).T)
     last = total - (lanes - 1) * BLOCK
@@ -120,7 +120,7 @@ def encode_blocks(ids: np.ndarray, classes: int) -> list[np.ndarray]:
 
     for t in range(min(BLOCK, total)):
         n = lanes if t < last else lanes - 1
-        x = grid[t, :n]
+        x = grid[t, :n].astype(np.int64)
         q1, q2, f1, f2, rest = model.shares(n)
         hit1, hit2 = q1 == x, q2 == x
         missed = np.flatnonzero(~(hit1 | hit2))
@@ -176,7 +176,7 @@ def decode_blocks(words: list[np.ndarray], total: int, classes: int) -> np.ndarr
         code = (code << _S16) | stream[at]
         at += 1
     rng = np.full(lanes, (1 << 48) - 1, np.uint64)
-    grid = np.zeros((BLOCK, lanes), np.int64)
+    grid = np.zeros((BLOCK, lanes), np.int32)
     model = _Model(lanes, classes)
     steps = np.arange(classes + 1)
 

@@ -15,6 +15,7 @@ text; repeated rows each get a row. An empty table gives an empty table. A damag
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,11 +26,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, written
+from .packed import pieces
 from .rangecoder import decode_frame, encode_frame
 
 END_ID = 2
-FRAME_IDS = 6_000_000
-CACHE_WORDS = 600_000
+FRAME_IDS = 2_500_000
+CACHE_WORDS = 450_000
 FRAME_SCHEMA = "part int, frame int, n_docs long, n_ids long, data binary"
 
 
@@ -37,6 +39,7 @@ class WordTokens:
     """Ids of texts by way of their words."""
 
     def __init__(self, path: str, by_word: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the executor runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -101,15 +104,13 @@ def write_frames(docs: DataFrame, path: str, end: int = END_ID, by_word: bool =
                 kept.clear()
 
         held = 0
-        for b in batches:
-            doc_ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-            for k in range(0, len(texts), 1000):
-                lengths, ids = tokens(texts[k : k + 1000], end)
-                kept.append((doc_ids[k : k + 1000], lengths, ids.astype(np.int32)))
-                held += len(ids)
-                if held >= FRAME_IDS:
-                    yield from told()
-                    held = 0
+        for p in pieces(batches, 1):
+            lengths, ids = tokens(p.column(1).cast(pa.binary()).to_pylist(), end)
+            kept.append((p.column(0).to_pylist(), lengths, ids.astype(np.int32)))
+            held += len(ids)
+            if held >= FRAME_IDS:
+                yield from told()
+                held = 0
         yield from told()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
