@@ -25,17 +25,21 @@ def nonblank(parts: Column) -> Column:
     return F.filter(parts, lambda x: strip(x) != "")
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def middle(values: Column) -> Column:
     """Median of an array of numbers, as a double; null when empty."""
-    s = F.array_sort(values)
     n = F.size(values)
-    low, high = F.get(s, F.floor((n - 1) / 2).cast("int")), F.get(s, F.floor(n / 2).cast("int"))
-    return F.when(n > 0, (low.cast("double") + high.cast("double")) / 2)
+    at = lambda s, k: F.get(s, F.floor(k).cast("int")).cast("double")
+    return F.when(n > 0, bound(F.array_sort(values), lambda s: (at(s, (F.size(s) - 1) / 2) + at(s, F.size(s) / 2)) / 2))
 
 
 def deviation(values: Column) -> Column:
     """Median absolute deviation of an array of numbers."""
-    return middle(F.transform(values, lambda x: F.abs(x.cast("double") - middle(values))))
+    return bound(middle(values), lambda m: middle(F.transform(values, lambda x: F.abs(x.cast("double") - m))))
 
 
 def natural_key(name: Column) -> Column:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from inkfold.sources.tables import spread, table
 
+__all__ = ["spread", "table"]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 #: documents as marked pages: markup that depends on doc_id only.
 MARKED = """
 SELECT source AS project_id, concat('p', doc_id, CASE WHEN doc_id % 3 = 0 THEN 'L' ELSE '' END, '.png') AS page_name, doc_id,

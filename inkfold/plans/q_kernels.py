@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkfold.operators import pages as P
 from inkfold.operators.features import scored_pages
 
-from .adapters import table
+from .adapters import spread, table
 from .q_pages import marked
 
 QUERIES: dict = {}
@@ -29,7 +29,7 @@ def scans(spark, d):
     """embeddings as plain graymaps of eight by eight pixels, each pixel six by four."""
     pixel = F.transform("embedding", lambda v: F.least(F.greatest(F.floor(128 + 300 * v.cast("double")), F.lit(0)), F.lit(255)).cast("string"))
     row = lambda y: F.flatten(F.array_repeat(F.flatten(F.transform(F.slice("_p", F.lit(8) * y + 1, F.lit(8)), lambda v: F.array_repeat(v, 6))), 4).cast("array<array<string>>"))
-    rows = table(spark, d, "embeddings").select(F.concat(F.lit("book"), "label").alias("project_id"), F.concat(F.lit("p"), "vec_id", F.lit(".pgm")).alias("page_name"), pixel.alias("_p"))
+    rows = spread(table(spark, d, "embeddings")).select(F.concat(F.lit("book"), "label").alias("project_id"), F.concat(F.lit("p"), "vec_id", F.lit(".pgm")).alias("page_name"), pixel.alias("_p"))
     body = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), row)), " ")
     return rows.select("project_id", "page_name", F.concat(F.lit("P2 48 32 255\n"), body).cast("binary").alias("content"))
 

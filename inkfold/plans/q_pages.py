@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from inkfold.functions.text import CONTROL, is_recto, letters_only, lines, middle, natural_key, nonblank, strip, tag_count
 from inkfold.operators.features import GROUPS, local_blocks, scored_pages
 from inkfold.operators.islands import since_last
-from inkfold.operators.selection import coverage_first, first_n, ranked
+from inkfold.operators.selection import coverage_first, ranked
 
-from .adapters import MARKED, table
+from .adapters import MARKED, spread, table
 
 QUERIES: dict = {}
 
@@ -23,7 +23,7 @@ def query(sql: str | None):
 
 
 def marked(spark, d):
-    return spark.sql(MARKED, documents=table(spark, d, "documents"))
+    return spark.sql(MARKED, documents=spread(table(spark, d, "documents")))
 
 
 def _pages(spark, d):
@@ -56,7 +56,9 @@ s AS (SELECT *, 5 * special_format::INT + least(italic_tags, 10) + least(bold_ta
 r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC, doc_id, page_name) AS rank FROM s)
 """
 _FLAGS = "special_format, italic_tags, bold_tags, small_caps_tags, dot_leaders, aligned_fields, table_like, poetry_like, quotation_like, multipart_name, illustration_or_ornament, uncertainty_note"
-_ORDER = [F.col("score").desc(), natural_key(F.col("page_name"))]
+def _order():
+    return [F.col("score").desc(), natural_key(F.col("page_name"))]
+
 
 
 @query(f"WITH {PAGES} SELECT page_name, {_FLAGS}, score FROM s")
@@ -71,14 +73,15 @@ def page_groups(spark, d):
 
 @query(f"WITH {PAGES} SELECT project_id, page_name, score, rank FROM r")
 def ranked_pages(spark, d):
-    return ranked(_pages(spark, d), ["project_id"], _ORDER).select("project_id", "page_name", "score", F.col("rank").cast("long").alias("rank"))
+    return ranked(_pages(spark, d), ["project_id"], _order()).select("project_id", "page_name", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def project_scores(pages):
     """project_id, top_ten, group_bonus, score: the ten best pages and twenty for each group that any page matches."""
-    top = first_n(pages, ["project_id"], _ORDER, 10).groupBy("project_id").agg(F.sum("score").alias("top_ten"))
-    found = pages.select("project_id", F.explode_outer("groups").alias("g")).groupBy("project_id").agg(F.countDistinct("g").alias("n"))
-    return top.join(found, "project_id").select("project_id", "top_ten", (20 * F.col("n")).alias("group_bonus"), (F.col("top_ten") + 20 * F.col("n")).alias("score"))
+    rows = ranked(pages, ["project_id"], _order(), "_r")
+    found = sum((F.max(F.array_contains("groups", g).cast("int")) for g in GROUPS), F.lit(0))
+    out = rows.groupBy("project_id").agg(F.sum(F.when(F.col("_r") <= 10, F.col("score"))).alias("top_ten"), (20 * found).alias("group_bonus"))
+    return out.withColumn("score", F.col("top_ten") + F.col("group_bonus"))
 
 
 @query(
@@ -112,7 +115,7 @@ def _chained(k: int) -> str:
 
 @query(f"WITH {PAGES}, {_chained(12)}")
 def review_selection(spark, d):
-    return coverage_first(_pages(spark, d).select("project_id", "page_name", "score", "groups"), ["project_id"], "page_name", _ORDER, GROUPS, 12)
+    return coverage_first(_pages(spark, d).select("project_id", "page_name", "score", "groups"), ["project_id"], "page_name", _order(), GROUPS, 12)
 
 
 @query("""WITH x AS (SELECT CASE WHEN toxic = 1 THEN 'malformed_f2' WHEN quality = 0 THEN 'missing_f2' END AS code, CASE WHEN doc_id % 4 <> 0 THEN concat('project', doc_id % 5) END AS project_id, concat('p', doc_id) AS page_name FROM labels)
