@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -12,6 +11,8 @@ import weakref
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkfold.sources.tables import spread, table
+
 #: Words are maximal runs of characters other than ASCII space and \t \n \v \f \r.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -21,6 +22,12 @@ BROADCAST_ROWS = 50_000
 #: Copies of the small side, when it is too large to broadcast, so that one hot key is dealt to as many tasks.
 SALTS = 64
 
+#: Spark's setting that lets shuffle files go when the query that made them has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Rows of an Arrow batch, so that a task holds little text at once.
+ARROW, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
+
 _own: dict[str, str] = {}
 _paths: dict[int, str] = {}
 
@@ -43,35 +50,40 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None, batch: int = ARROW_ROWS) -> DataFrame:
     """df as a table in the shared folder: lineage ends here, so a lost executor costs no recomputation.
 
-    With `by`, values of that column are kept apart, and a filter on it reads no others. Shuffle files of what has been
-    written are let go.
+    With `by`, values of that column are kept apart, and a filter on it reads no others. Python stages get at most `batch`
+    rows at once. Shuffle files of what has been written are let go.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    before = {k: spark.conf.get(k, v) for k, v in {CLEANUP: "false", ARROW: "10000"}.items()}
+    try:
+        spark.conf.set(CLEANUP, "true")
+        spark.conf.set(ARROW, str(batch))
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path).select(df.columns)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return out
 
 
-def dropped(table: DataFrame) -> None:
-    """Delete a written table that nothing needs any more."""
+def dropped(table: DataFrame, part: str = "") -> None:
+    """Delete a written table, or one part of it, that nothing needs any more."""
     path = _paths.get(id(table))
     if path:
+        path = f"{path}/{part}".rstrip("/")
         sc = table.sparkSession.sparkContext
         at = sc._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def words(text: Column) -> Column:

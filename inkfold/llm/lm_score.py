@@ -37,6 +37,7 @@ from .packed import WordHash, bucket_edges, by_block, dealt, mixed, pieces
 MIN_STATE = 10
 MU = 100.0
 FOLDS, HELD_OUT = 7, 2
+LM_BLOCK_BYTES = 10_000_000
 _END, _RARE = np.uint64(0xE11D), np.uint64(0x4A4E)
 _ROW = "block long, kind int, bucket int, data binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -46,17 +47,37 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def _low(x: np.ndarray, bits: int) -> bytes:
-    """Unsigned 32-bit numbers as a plane of their 8 or 16 low bits and one of the rest, which compress apart."""
-    low, high = (np.uint8, np.uint32) if bits == 8 else (np.uint16, np.uint16)
-    return (x & np.uint32((1 << bits) - 1)).astype(low).tobytes() + (x >> np.uint32(bits)).astype(high).tobytes()
+def _low(x: np.ndarray) -> bytes:
+    """Counts as a plane of their low bytes and one of the rest, which is mostly zero and compresses away."""
+    return (x & np.uint32(255)).astype(np.uint8).tobytes() + (x >> np.uint32(8)).astype(np.uint32).tobytes()
 
 
-def _whole(raw: bytes, n: int, bits: int, at: int = 0) -> np.ndarray:
-    low, high = (np.uint8, np.dtype("<u4")) if bits == 8 else (np.uint16, np.dtype("<u2"))
+def _whole(raw: bytes, n: int, at: int = 0) -> np.ndarray:
     raw = memoryview(raw)[at:]
-    rest = np.frombuffer(bytes(raw[n * bits // 8 : n * bits // 8 + n * high.itemsize]), high, n)
-    return np.frombuffer(raw, low, n).astype(np.uint32) | (rest.astype(np.uint32) << np.uint32(bits))
+    return np.frombuffer(raw, np.uint8, n).astype(np.uint32) | (np.frombuffer(bytes(raw[n : 5 * n]), "<u4", n).astype(np.uint32) << np.uint32(8))
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, low six bytes and high two apart: the high ones are mostly zero."""
+    d = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return d[:, :6].tobytes() + d[:, 6:].tobytes()
+
+
+def _keys(raw: bytes, n: int) -> np.ndarray:
+    d = np.empty((n, 8), np.uint8)
+    d[:, :6] = np.frombuffer(raw, np.uint8, 6 * n).reshape(-1, 6)
+    d[:, 6:] = np.frombuffer(raw, np.uint8, 2 * n, 6 * n).reshape(-1, 2)
+    return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def _squeezed(ranks: np.ndarray) -> bytes:
+    """Ranks by frequency, a plane for each of three bytes, compressed."""
+    return zlib.compress(b"".join((ranks >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)), 1)
+
+
+def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, n).astype(np.int64)
+    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -67,7 +88,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _asked(block: int, keys: np.ndarray, counts: np.ndarray, n: int, kind: int) -> list[tuple]:
     """Rows that ask for sorted distinct keys, with what this block has counted."""
     edges = bucket_edges(keys, n)
-    return [(block, kind, k, keys[edges[k] : edges[k + 1]].tobytes() + _low(counts[edges[k] : edges[k + 1]], 8)) for k in np.flatnonzero(np.diff(edges)).tolist()]
+    return [(block, kind, k, _steps(keys[edges[k] : edges[k + 1]]) + _low(counts[edges[k] : edges[k + 1]])) for k in np.flatnonzero(np.diff(edges)).tolist()]
 
 
 def _blocks(docs: DataFrame, n: int) -> DataFrame:
@@ -75,7 +96,7 @@ def _blocks(docs: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, block = WordHash(), TaskContext.get().partitionId() << 32
-        for p in pieces(batches, 1):
+        for p in pieces(batches, 1, LM_BLOCK_BYTES):
             doc_ids = p.column(0).to_pylist()
             split = [(t or b"").lower().split() for t in p.column(1).cast(pa.binary()).to_pylist()]
             size = np.array([len(w) for w in split], np.int64)
@@ -86,11 +107,14 @@ def _blocks(docs: DataFrame, n: int) -> DataFrame:
             vocab, place = np.unique(h, return_inverse=True)
             train = np.array([not held_out(d) for d in doc_ids], bool)
             counts = np.bincount(place[np.repeat(train, size)], minlength=len(vocab)).astype(np.uint32)
-            kept = pickle.dumps((doc_ids, train, size, vocab, _low(place.astype(np.uint32), 16)), protocol=5)
+            often = np.argsort(-np.bincount(place, minlength=len(vocab)), kind="stable")
+            rank = np.empty(len(vocab), np.int64)
+            rank[often] = np.arange(len(vocab))
+            kept = pickle.dumps((doc_ids, train, size, vocab[often], _squeezed(rank[place])), protocol=5)
             yield _batch([(block, 0, 0, kept), *_asked(block, vocab, counts, n, 1)])
             block += 1
 
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW), "tokens", "kind")
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW), "tokens", "kind", batch=6_000)
 
 
 def _answers(asked: DataFrame, n: int, kind: int, stats: bool) -> DataFrame:
@@ -102,8 +126,8 @@ def _answers(asked: DataFrame, n: int, kind: int, stats: bool) -> DataFrame:
             for block, bucket, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 raw = data.as_buffer()
                 m = len(raw) // 13
-                keys.append(np.frombuffer(raw, np.uint64, m))
-                counts.append(_whole(raw, m, 8, 8 * m))
+                keys.append(_keys(raw, m))
+                counts.append(_whole(raw, m, 8 * m))
                 rows.append((block, m))
         if rows:
             key = np.concatenate(keys)
@@ -118,7 +142,7 @@ def _answers(asked: DataFrame, n: int, kind: int, stats: bool) -> DataFrame:
                 yield _batch([(-1, kind, bucket, struct.pack("<4q", int(total.sum()), int((total > 0).sum()), int(rare.sum()), len(rare)))])
             at = np.r_[0, np.cumsum([m for _, m in rows])].tolist()
             for k in range(0, len(rows), 500):
-                yield _batch([(block, kind, bucket, _low(told[at[k + j] : at[k + j + 1]], 8)) for j, (block, _) in enumerate(rows[k : k + 500])])
+                yield _batch([(block, kind, bucket, _low(told[at[k + j] : at[k + j + 1]])) for j, (block, _) in enumerate(rows[k : k + 500])])
 
     return written(dealt(asked, n, "bucket").mapInArrow(run, _ROW), f"counts-{kind}")
 
@@ -127,10 +151,13 @@ class _Block:
     """A block with the counts of its words, and its walk as pairs of states."""
 
     def __init__(self, rows: list[tuple]):
-        self.doc_ids, self.train, self.size, self.vocab, place = pickle.loads(rows[0][2])
-        self.place = _whole(place, int(self.size.sum()), 16).astype(np.int64)
+        self.doc_ids, self.train, self.size, vocab, ranks = pickle.loads(rows[0][2])
+        order = np.argsort(vocab)
+        self.vocab, at = vocab[order], np.empty(len(vocab), np.int64)
+        at[order] = np.arange(len(vocab))
+        self.place = at[_unsqueezed(ranks, int(self.size.sum()))]
         told = [r[2] for r in rows if r[0] == 1]
-        self.count = np.concatenate([_whole(x, len(x) // 5, 8) for x in told]).astype(np.int64)
+        self.count = np.concatenate([_whole(x, len(x) // 5) for x in told]).astype(np.int64)
         own = self.count >= MIN_STATE
         self.state = np.where(own, self.vocab, _RARE)
         self.own = own
@@ -163,6 +190,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
     sums = [struct.unpack("<4q", r["data"]) for r in words.filter("block = -1").select("data").collect()]  # a row a bucket
     total, distinct, n_rare, v_rare = (sum(x[k] for x in sums) for k in range(4))
     words = words.filter("block <> -1")
+    dropped(table, "kind=1")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in by_block(batches):
@@ -174,7 +202,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_block(batches):
             b = _Block(rows)
-            told = np.concatenate([_whole(r[2], len(r[2]) // 5, 8) for r in rows if r[0] == 2]).astype(np.float64)
+            told = np.concatenate([_whole(r[2], len(r[2]) // 5) for r in rows if r[0] == 2]).astype(np.float64)
             every = total + distinct + 1
             p1 = (b.count + 1) / every
             p_rare = (n_rare + v_rare + 1) / every

@@ -70,15 +70,15 @@ def sliding(x: np.ndarray, k: int, least: bool = True) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest and len(x) > rest else (x if not rest else x[:0])
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about BLOCK_BYTES of text, a row at least."""
+def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `most` bytes of text, a row at least."""
     for b in batches:
         size = pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False)
         at = 0
         ends = np.cumsum(size)
         while at < b.num_rows:
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, "right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
             yield b.slice(at, to - at)
             at = to
 

@@ -30,8 +30,8 @@ from .packed import pieces
 from .rangecoder import decode_frame, encode_frame
 
 END_ID = 2
-FRAME_IDS = 2_500_000
-CACHE_WORDS = 450_000
+FRAME_IDS = 1_200_000
+CACHE_WORDS = 250_000
 FRAME_SCHEMA = "part int, frame int, n_docs long, n_ids long, data binary"
 
 
@@ -65,8 +65,8 @@ class WordTokens:
         at = self.at
         new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in at]
         if new:
-            for k in range(0, len(new), 20_000):
-                part = new[k : k + 20_000]
+            for k in range(0, len(new), 4_000):
+                part = new[k : k + 4_000]
                 got = self._encode([w.decode() for w in part])
                 base = len(at)
                 at.update(zip(part, range(base, base + len(part)), strict=True))
