@@ -49,9 +49,12 @@ def fit_templates(pages: DataFrame) -> DataFrame:
 
 
 def classify(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """book, page, page_class, residual, confidence of pages by their head band (pages: head_top, text_left)."""
+    """book, page, page_class, residual, confidence of pages by their head band.
+
+    pages: book, page, first_top, head_top, text_left. The book's center and window are those of its first bands.
+    """
     wide = templates.groupBy("book").pivot("page_class", ["normal_recto", "normal_verso", "chapter_opening"]).agg(F.first(F.struct("first_top", "first_spread", "text_left")))
-    rows = pages.join(head_windows(pages.withColumn("first_top", F.col("head_top"))).select("book", "center", "window"), "book").join(wide, "book", "left")
+    rows = pages.join(head_windows(pages).select("book", "center", "window"), "book").join(wide, "book", "left")
     near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("text_left") - F.col(f"{c}.text_left")).alias("off"), F.lit(c).alias("c"), F.col(c).alias("t")))
     best = F.array_min(F.array_compact(F.array(near("normal_recto"), near("normal_verso"))))
     offset = F.col("head_top") - F.col("center")

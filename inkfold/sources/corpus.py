@@ -33,9 +33,8 @@ def projects(spark: SparkSession, root: str) -> DataFrame:
 
 def _page_map(rows: DataFrame, bad: str) -> DataFrame:
     """project_id, page_name, text, diagnostic from string-to-string JSON objects; any other value spoils the whole file."""
-    v = F.try_parse_json(_text(F.col("content")))
-    kind = F.schema_of_variant(v)
-    plain = v.isNotNull() & kind.rlike(r"^OBJECT<") & ~F.regexp_replace(kind, r"(?:`(?:[^`]|``)*`|[^:,<>]+): STRING", "").rlike(r"[A-Z]{3,}(?<!OBJECT)")
+    values = F.from_json(_text(F.col("content")), "map<string,variant>")
+    plain = F.forall(F.map_values(values), lambda v: F.schema_of_variant(v) == "STRING")
     rows = rows.withColumn("_ok", F.coalesce(plain, F.lit(False)))
     good = rows.filter("_ok").select("project_id", F.explode(F.from_json(_text(F.col("content")), "map<string,string>")).alias("page_name", "text")).withColumn("diagnostic", F.lit(None).cast("string"))
     failed = rows.filter("not _ok").select("project_id", F.lit(None).cast("string").alias("page_name"), F.lit(None).cast("string").alias("text"), F.lit(bad).alias("diagnostic"))
