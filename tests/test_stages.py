@@ -117,7 +117,7 @@ def test_typography_and_glyphs(measured):
     lines = [r for r in every if r.measured]
     assert 4 * len(lines) > len(every) and all(abs(r.x_height_px - 20) <= 2 and r.words_reconciled for r in lines)
     assert {r.reason for r in every if not r.measured} <= {"insufficient_segments", "skew_exceeds_maximum"}
-    assert typography["thresholds"].first().rule == "otsu-valley"
+    assert typography["thresholds"].first().rule == "x-height-ratio"  # two spikes without a valley between them
     estimates = {(r.style, r.name): r for r in typography["estimates"].collect()}
     assert abs(estimates[None, "x_height"].value - 20) <= 2 and estimates[None, "baseline_pitch"].value == LINE and ("body", "skew") in estimates
     assert typography["accuracy"].first().gap_accuracy == 1
