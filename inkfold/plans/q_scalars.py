@@ -151,10 +151,10 @@ def whole_book_pages(spark, d):
     return docs.join(ranked, "page", "left_semi").withColumn("emit", F.lit(True)).unionByName(docs.join(ranked, "page", "left_anti").withColumn("emit", F.lit(False)))
 
 
-@query("""SELECT lang, (SELECT string_agg(x, '+' ORDER BY x) FROM (SELECT DISTINCT source AS x FROM documents e WHERE e.lang = d.lang EXCEPT SELECT DISTINCT source FROM documents WHERE lang = 'de' AND doc_id % 2 = 0)) AS only_here FROM (SELECT DISTINCT lang FROM documents) d""")
+@query("""SELECT lang, (SELECT string_agg(x, '+' ORDER BY x) FROM (SELECT DISTINCT source AS x FROM documents e WHERE e.lang = d.lang EXCEPT SELECT DISTINCT source FROM documents WHERE lang = 'de' AND n_chars > 2000)) AS only_here FROM (SELECT DISTINCT lang FROM documents) d""")
 def source_differences(spark, d):
     docs = table(spark, d, "documents")
-    known = docs.filter("lang = 'de' and doc_id % 2 = 0").agg(F.collect_set("source").alias("k"))
+    known = docs.filter("lang = 'de' and n_chars > 2000").agg(F.collect_set("source").alias("k"))
     left = docs.groupBy("lang").agg(F.collect_set("source").alias("s")).join(F.broadcast(known))
     only = F.array_sort(F.array_except("s", "k"))
     return left.select("lang", F.when(F.size(only) > 0, F.array_join(only, "+")).alias("only_here"))

@@ -312,3 +312,14 @@ def test_operations_partition_the_source(seed):
         assert sum(x["operations"] for x in page["lines"]) == len(page["operations"])
         for a, b in itertools.pairwise(page["lines"]):
             assert a["byte_end"] == b["byte_start"] and a["ordinal"] + 1 == b["ordinal"]
+
+
+def test_overlays():
+    from inkfold.kernels import overlay
+
+    gray = np.full((40, 60), 255, np.uint8)
+    page = overlay.page_overlay(gray, [(5, 5, 20, 12), (30, 5, 50, 12)], {0}, True)
+    back = raster.decode(page)
+    assert back.shape == gray.shape and back[5, 5] == raster.luma(np.array([[overlay.ACCEPTED]]))[0, 0] and back[5, 30] == raster.luma(np.array([[overlay.SKIPPED]]))[0, 0] and back[8, 8] == 255
+    line = raster.decode(overlay.line_overlay(gray, (4, 10, 30, 20), 18, 12))
+    assert line.shape == (26, 38) and (line[16] == raster.luma(np.array([[overlay.BASELINE]]))[0, 0]).all()
