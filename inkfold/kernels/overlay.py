@@ -9,8 +9,9 @@ import numpy as np
 
 from .raster import Box
 
-#: Colours of an accepted match, a match on a page not accepted, a skipped candidate, and of the two rules.
-ACCEPTED, PROPOSED, SKIPPED, BASELINE, X_HEIGHT = (0, 160, 0), (220, 140, 0), (200, 0, 0), (0, 0, 255), (255, 0, 255)
+#: Colours of an accepted match, a match on a page not accepted, a skipped candidate, the two rules and a line's box.
+ACCEPTED, PROPOSED, SKIPPED = (0, 192, 0), (224, 160, 0), (224, 0, 0)
+BASELINE, X_HEIGHT, LINE_BOX = (0, 96, 255), (224, 0, 192), (128, 128, 128)
 MARGIN = 8
 
 
@@ -39,7 +40,7 @@ def line_overlay(gray: np.ndarray, box: Box, baseline: int, x_height_top: int, m
     """A line's crop, grown by the margin within the page, with both rules across its whole width."""
     left, top = max(0, box[0] - margin), max(0, box[1] - margin)
     crop = np.repeat(gray[top : box[3] + margin, left : box[2] + margin, None], 3, axis=2)
-    _outline(crop, (box[0] - left, box[1] - top, box[2] - left, box[3] - top), ACCEPTED)
+    _outline(crop, (box[0] - left, box[1] - top, box[2] - left, box[3] - top), LINE_BOX)
     for row, colour in ((baseline, BASELINE), (x_height_top, X_HEIGHT)):
         if 0 <= row - top < crop.shape[0]:
             crop[row - top] = colour
