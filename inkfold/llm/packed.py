@@ -7,6 +7,9 @@ that stands everywhere reaches its bucket once a block at most.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,6 +73,14 @@ def sliding(x: np.ndarray, k: int, least: bool = True) -> np.ndarray:
     return pick(x[:-rest], x[rest:]) if rest and len(x) > rest else (x if not rest else x[:0])
 
 
+def trimmed() -> None:
+    """Give memory that a finished task no longer uses back to the machine: Python workers live on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about `most` bytes of text, a row at least."""
     for b in batches:

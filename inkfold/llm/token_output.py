@@ -26,12 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, written
-from .packed import pieces
+from .packed import pieces, trimmed
 from .rangecoder import decode_frame, encode_frame
 
 END_ID = 2
 FRAME_IDS = 1_200_000
 CACHE_WORDS = 250_000
+PIECE_BYTES = 1_500_000
 FRAME_SCHEMA = "part int, frame int, n_docs long, n_ids long, data binary"
 
 
@@ -104,7 +105,7 @@ def write_frames(docs: DataFrame, path: str, end: int = END_ID, by_word: bool =
                 kept.clear()
 
         held = 0
-        for p in pieces(batches, 1):
+        for p in pieces(batches, 1, PIECE_BYTES):
             lengths, ids = tokens(p.column(1).cast(pa.binary()).to_pylist(), end)
             kept.append((p.column(0).to_pylist(), lengths, ids.astype(np.int32)))
             held += len(ids)
@@ -112,6 +113,8 @@ def write_frames(docs: DataFrame, path: str, end: int = END_ID, by_word: bool =
                 yield from told()
                 held = 0
         yield from told()
+        del tokens
+        trimmed()
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     src = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -131,6 +134,7 @@ def read_documents(frames: DataFrame) -> DataFrame:
                 sums = [zlib.crc32(raw[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
                 cols = [pa.array(doc_ids, pa.int64()), pa.array(np.full(len(doc_ids), (part << 32) | frame), pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths.astype(np.int64)), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_frame", "_start", "n_tokens", "ids_crc32"])
+        trimmed()
 
     rows = written(frames.select("part", "frame", "data").mapInArrow(run, "doc_id long, _frame long, _start long, n_tokens long, ids_crc32 long"), "decoded")
     slim = frames.select("part", "frame", "n_ids")
