@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from .common import written
 from .components import components
+from .packed import trimmed
 
 SHINGLE = 3
 SEED = 42
@@ -63,6 +64,7 @@ def with_fingerprints(docs: DataFrame, name: str = "_fp") -> DataFrame:
         for b in batches:
             found = np.array([fingerprint(t) for t in b.column(at).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], names=[*b.schema.names, name])
+        trimmed()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType(), False)]))
 
@@ -254,10 +256,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with its columns, less all but one of each component: the first by doc_id, nulls last."""
-    rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "text")
-    rows = written(with_fingerprints(rows).drop("text").withColumn("_row", F.monotonically_increasing_id()), "prints")
-    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
+    """The rows of docs, with its columns, less all but one of each component: the first by doc_id, nulls last.
+
+    Rows equal in doc_id and text are one document. Texts move once, in a sort-merge join whatever the size, with the keys of
+    those that stay.
+    """
+    ref = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    rows = written(with_fingerprints(docs.select(F.col("doc_id").cast("long"), ref.alias("_ref"), "text")).drop("text"), "prints")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_ref").alias("r"))
     found = classes(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first"), F.min(first).alias("keeper")))
     kept = written(found.select(F.col("keeper.r").alias("_kept")).distinct(), "kept")
-    return rows.join(kept, rows["_row"] == kept["_kept"], "left_semi").select("_doc.*")
+    whole = docs.select(F.struct("*").alias("_doc"), ref.alias("_ref"))
+    stay = whole.join(kept.hint("merge"), F.col("_ref") == F.col("_kept"), "left_semi")
+    return stay.dropDuplicates(["_ref"]).select("_doc.*")
