@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task takes apart at once, and words whose hashes it remembers.
-BLOCK_BYTES = 6_000_000
-CACHE_WORDS = 400_000
+BLOCK_BYTES = 3_000_000
+CACHE_WORDS = 200_000
 _SEED = 0x5EED
 
 

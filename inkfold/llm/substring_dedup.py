@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
-from .packed import WordHash, bucket_edges, by_block, dealt, pieces, rolling, sliding
+from .packed import WordHash, bucket_edges, by_block, dealt, pieces, rolling, sliding, trimmed
 
 WINDOW = 20
 ANCHOR = 8
@@ -206,6 +206,8 @@ def _edge_step(src: DataFrame, anchors: DataFrame, n: int, window: int, anchor:
                     out.append((2, None, None, None, block, k, b"".join(x[s:t].tobytes() for x in (e, count, before, after))))
                 block += 1
             yield _step(out)
+        del hashes
+        trimmed()
 
     return written(rows.mapInArrow(run, _STEP), "edges", "kind")
 
