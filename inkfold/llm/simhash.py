@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import jaccard
 from .common import written
 from .components import components
 from .packed import trimmed
@@ -256,16 +257,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with its columns, less all but one of each component: the first by doc_id, nulls last.
+    """The rows of docs, with its columns, less all but one of each component of near copies (jaccard.py): the first by doc_id,
+    nulls last. The digest's shingles and bits are op1's alone.
 
-    Rows equal in doc_id and text are one document. Texts move once, in a sort-merge join whatever the size, with the keys of
-    those that stay.
+    Rows equal in doc_id and text are one document. Joins of texts are sort-merge joins whatever the size, with the keys of
+    those that stay or are compared.
     """
     ref = F.xxhash64(F.col("doc_id").cast("long"), "text")
-    rows = written(with_fingerprints(docs.select(F.col("doc_id").cast("long"), ref.alias("_ref"), "text")).drop("text"), "prints")
+    slim = docs.select(F.col("doc_id").cast("long"), ref.alias("_ref"), "text")
+    rows = written(jaccard.with_nodes(slim), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_ref").alias("r"))
-    found = classes(rows.groupBy(F.col("_fp").alias("fp")).agg(F.min("doc_id").alias("first"), F.min(first).alias("keeper")))
-    kept = written(found.select(F.col("keeper.r").alias("_kept")).distinct(), "kept")
+    tree = jaccard.roots(slim, rows).withColumnRenamed("node", "_node")
+    nodes = rows.groupBy("node").agg(F.min(first).alias("keeper"))
+    rooted = nodes.join(tree.hint("merge"), F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("root"), "keeper")
+    kept = written(rooted.groupBy("root").agg(F.min("keeper").alias("keeper")).select(F.col("keeper.r").alias("_kept")).distinct(), "kept")
     whole = docs.select(F.struct("*").alias("_doc"), ref.alias("_ref"))
     stay = whole.join(kept.hint("merge"), F.col("_ref") == F.col("_kept"), "left_semi")
     return stay.dropDuplicates(["_ref"]).select("_doc.*")

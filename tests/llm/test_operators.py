@@ -83,6 +83,38 @@ def test_simhash_keeps_one(docs, rows):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted(want, key=str)
 
 
+def test_keep_one_takes_near_copies_of_five_word_shingles(spark):
+    """Components at Jaccard 0.8 by comparing all pairs, with pairs far beyond op1's three bits and a bucket of many rounds."""
+    rnd = np.random.default_rng(8)
+    word = lambda: f"w{rnd.integers(0, 5000)}"
+    texts = []
+    for g in range(25):
+        base = [word() for _ in range(150)]
+        for k in range(40 if g == 0 else 5):
+            t = list(base)
+            for at in rnd.choice(150, rnd.integers(0, 6) if k else 0, replace=False):
+                t[at] = word()
+            texts.append(" ".join(t))
+    passage = [word() for _ in range(120)]
+    texts += [" ".join(passage + [word() for _ in range(50)]) for _ in range(30)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    far = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            far += (fingerprint(texts[i]) ^ fingerprint(texts[j])).bit_count() > 3
+            up[max(find(i), find(j))] = min(find(i), find(j))
+    assert far > 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({find(i) for i in range(len(texts))})
+
+
 def test_simhash_search_finds_every_link(spark):
     """Chains and balls of fingerprints: the search gives the components of all links, whatever the plan."""
     rnd = np.random.default_rng(3)
