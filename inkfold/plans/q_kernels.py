@@ -74,14 +74,17 @@ def turn_alignment(spark, d):
     rows = table(spark, d, "conversations").withColumns({"_user": F.col("role") == "user", "page_name": F.col("conv_id").cast("string"), "project_id": F.lit("c")})
     w = Window.partitionBy("page_name", "_user").orderBy("turn", "text")
     rows = rows.withColumn("_i", (F.row_number().over(w) - 1).cast("int"))
-    size = F.least(F.length("text"), F.lit(400)).cast("int")
-    text = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 400)
-    line = F.struct(F.col("_i").alias("ordinal"), (F.col("_i") * 1000).cast("long").alias("byte_start"), (F.col("_i") * 1000 + 400).cast("long").alias("content_end"), (F.col("_i") * 1000 + 401).cast("long").alias("byte_end"), text.alias("original_text"), text.alias("visible_text"),
+    page = Window.partitionBy("page_name")
+    rows = rows.withColumns({"_wide": F.greatest(F.max(F.length("text")).over(page), F.lit(1)), "_bytes": F.greatest(F.max(F.octet_length("text")).over(page), F.lit(1)).cast("long")})
+    size = F.length("text").cast("int")
+    text = F.regexp_replace("text", r"\s+", " ")
+    start = F.col("_i") * (F.col("_bytes") + 1)
+    line = F.struct(F.col("_i").alias("ordinal"), start.alias("byte_start"), (start + F.col("_bytes")).alias("content_end"), (start + F.col("_bytes") + 1).alias("byte_end"), text.alias("original_text"), text.alias("visible_text"),
                     F.lit(0).alias("first_operation"), F.lit(0).alias("operations"), F.array().cast("array<string>").alias("span_ids"), F.array().cast("array<string>").alias("continued_ids"), F.lit(True).alias("matching_eligible"), F.lit(True).alias("style_eligible"))
     box = F.struct(F.lit(0).alias("x0"), (F.col("_i") * 20).alias("y0"), F.greatest(size, F.lit(1)).alias("x1"), (F.col("_i") * 20 + 12).alias("y1"))
     candidate = F.struct(F.col("_i").alias("band"), box.alias("box"), F.lit(1).cast("long").alias("ink"), F.lit(1).alias("components"), F.array(F.lit(1.0)).alias("profile"))
     of = lambda c, x: F.array_sort(F.collect_list(F.when(c, x)))
-    pages = rows.groupBy("project_id", "page_name").agg(of(F.col("_user"), line).alias("lines"), of(~F.col("_user"), candidate).alias("candidates"))
+    pages = rows.groupBy("project_id", "page_name").agg(of(F.col("_user"), line).alias("lines"), of(~F.col("_user"), candidate).alias("candidates"), F.max("_wide").alias("_wide"))
     pages = pages.withColumn("styles", F.expr(f"cast(array() as array<struct<{P.STYLE}>>)"))
-    cand = pages.select("project_id", "page_name", F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.lit(400).alias("x1"), F.lit(4000).alias("y1")).alias("bounds"), "candidates", F.expr(f"cast(null as {P.BOX})").alias("gutter"), F.array().cast("array<string>").alias("exclusions"))
+    cand = pages.select("project_id", "page_name", F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("_wide").alias("x1"), F.lit(4000).alias("y1")).alias("bounds"), "candidates", F.expr(f"cast(null as {P.BOX})").alias("gutter"), F.array().cast("array<string>").alias("exclusions"))
     return P.aligned(pages.select("project_id", "page_name", "lines", "styles"), cand).select("page_name", "state", F.array_join("exclusions", "+").alias("exclusions"), F.round("normalized_cost", 9).alias("cost"), F.size("operations").alias("operations"))

@@ -169,3 +169,17 @@ def test_query(spark, name):
         plain = lambda v: None if v is None else f"{v:.9g}" if isinstance(v, float) else str(v)
         order = sorted(names)
         assert sorted(([plain(r[c]) for c in order] for r in rows), key=str) == sorted(([plain(r[names.index(c)]) for c in order] for r in want.fetchall()), key=str)
+
+
+def test_turn_alignment_takes_whole_texts(spark, tmp_path):
+    """Turns of over 400 characters, told apart by their whole lengths."""
+    from inkfold.kernels import align
+    from inkfold.plans.q_kernels import QUERIES
+
+    said, heard = [450, 1900, 700, 1200, 520], [1800, 430, 900, 1500, 610]
+    rows = [(1, 2 * i + k, role, "x" * n) for i, pair in enumerate(zip(said, heard, strict=True)) for k, (role, n) in enumerate(zip(("user", "assistant"), pair, strict=True))]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["turn_alignment"][0](spark, str(tmp_path)).collect()
+    lines = [align.TextLine(i, "x" * n) for i, n in enumerate(said)]
+    want = align.align(lines, [(0, 20 * i, n, 20 * i + 12) for i, n in enumerate(heard)], (0, 0, 1900, 4000))
+    assert [(r.page_name, r.cost, r.operations) for r in got] == [("1", round(want["normalized_cost"], 9), len(want["operations"]))]
