@@ -1,7 +1,7 @@
 """LM scoring by a weighted backoff automaton that is never in one place.
 
-Tokens are the words of a text (A-Z lowered), then one end. A word seen MIN_STATE times or more in training is a state of its
-own; all others, unseen ones too, share the state `rare`. With c training counts and p1(w) = (c(w) + 1) / (N + V + 1), the arc
+Tokens are the words of a text (A-Z lowered), then one end. Every word seen in training (MIN_STATE times, which is once) is a
+state of its own; unseen words share the state `rare`. With c training counts and p1(w) = (c(w) + 1) / (N + V + 1), the arc
 of state u with w' (w's state) weighs log10((c(u, w') + MU p1(w')) / (c(u) + MU)) if the pair was seen; if not, the failure
 arc log10(MU / (c(u) + MU)) leads to the root, whose arc weighs log10(p1(w')). In `rare` a word adds log10(p1(w) / p1(rare)).
 So every state's weights sum to one over all words, known or not. The walk starts in the state of the end token, takes the arc
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 from .packed import WordHash, bucket_edges, by_block, dealt, mixed, pieces
 
-MIN_STATE = 10
+MIN_STATE = 1
 MU = 100.0
 FOLDS, HELD_OUT = 7, 2
 LM_BLOCK_BYTES = 10_000_000

@@ -258,6 +258,18 @@ def test_lm_score(docs, rows):
     same(lm_score.lm_score(docs).collect(), list(lm(rows)), 1e-6)
 
 
+def test_lm_score_learns_pairs_of_seldom_words(spark):
+    """A held-out text with word pairs seen twice in training scores above one with the same words in another order."""
+    ids = range(1, 100)
+    out = [i for i in ids if lm_score.held_out(i)][:2]
+    train = [i for i in ids if not lm_score.held_out(i)][:20]
+    seen = "alpha beta gamma delta"
+    texts = [(i, seen if k < 2 else f"filler{k} text{k}") for k, i in enumerate(train)] + [(out[0], seen), (out[1], "gamma alpha delta beta")]
+    got = {r.doc_id: r for r in lm_score.lm_score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    a, b = got[out[0]], got[out[1]]
+    assert a.base_score == pytest.approx(b.base_score) and a.score > b.score + 0.05
+
+
 # 5 classifier
 
 
