@@ -1,6 +1,8 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Blocks are the windows of 1 to BLOCK_LINES consecutive lines of a document, as sets of words. A block meets a template when it
+Blocks are the windows of 1 to BLOCK_LINES consecutive lines of a document, and for each template the windows of as many
+consecutive words as its text has, and as many more as it may lack, wherever lines end; all as sets of words. Of overlapping
+word windows the one with the most words in common is told, if it goes over more than BLOCK_LINES lines. A block meets a template when it
 holds at least THRESHOLD of the template's distinct words. Template words are ordered from the globally rarest (by the
 number of documents that hold them, counted over the whole corpus) to the most frequent. Then, with `need` the least overlap:
 a block must hold one of a template's |T| - need + 1 first words (prefix filter), have at least `need` words of the templates'
@@ -18,9 +20,11 @@ rows each get a row; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from fractions import Fraction
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,15 +51,59 @@ NOTICES = ["released under the {}", "licensed under the {}", "this work is licen
 COMMONS = {"cc-by": "cc by", "cc-by-sa": "cc by sa", "cc-by-nc": "cc by nc", "cc-by-nd": "cc by nd", "cc-by-nc-sa": "cc by nc sa", "cc-by-nc-nd": "cc by nc nd"}
 COMMONS_NOTICES = ["licensed under {} 4 0", "licensed under {} 3 0", "this work is licensed under {} 4 0"]
 
+#: Bodies, by label: what stands in a full text or file header whether the license is named or not.
+BODIES = {
+    "mit": [
+        """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+        the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject
+        to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial
+        portions of the software"""
+    ],
+    "isc": [
+        """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided
+        that the above copyright notice and this permission notice appear in all copies"""
+    ],
+    "bsd": [
+        """redistribution and use in source and binary forms with or without modification are permitted provided that the following
+        conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following
+        disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following
+        disclaimer in the documentation and or other materials provided with the distribution"""
+    ],
+    "apache": [
+        """you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org
+        licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed
+        on an as is basis without warranties or conditions of any kind either express or implied""",
+        """subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive
+        no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform
+        sublicense and distribute the work and such derivative works in source or object form""",
+    ],
+    "unlicense": ["this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"],
+}
+
 _KEEP = bytes(b if chr(b).isalnum() or b >= 0x80 else (10 if b == 10 else 32) for b in range(128)) + bytes(range(128, 256))
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, blocks array<struct<label:string,template:int,first_line:int,lines:int,share:double>>"
 
 
+class Words(frozenset):
+    """The distinct words of a template's text, and how many words the text has."""
+
+    length = 0
+
+    @classmethod
+    def of(cls, text: str) -> Words:
+        split = text.encode().split()
+        out = cls(split)
+        out.length = len(split)
+        return out
+
+
 def templates() -> list[tuple[str, frozenset[bytes]]]:
     out = [(label, f"{n.format(name)} {version}") for label, names in NAMES.items() for name, version in names for n in NOTICES]
     out += [(label, n.format(name)) for label, name in COMMONS.items() for n in COMMONS_NOTICES]
-    return [(label, frozenset(text.encode().split())) for label, text in out]
+    out += [(label, text) for label, texts in BODIES.items() for text in texts]
+    return [(label, Words.of(text)) for label, text in out]
 
 
 def cleaned(text: bytes | None) -> bytes:
@@ -69,6 +117,8 @@ class Matcher:
     def __init__(self, found: list[tuple[str, frozenset[bytes]]], frequency: dict[bytes, int], threshold: Fraction = THRESHOLD):
         self.rank = {w: k for k, w in enumerate(sorted({w for _, t in found for w in t}, key=lambda w: (frequency.get(w, 0), w)))}
         self.templates = [(label, sorted(t, key=self.rank.__getitem__), math.ceil(threshold * len(t))) for label, t in found]
+        self.sets = [t for _, t in found]
+        self.spans = [getattr(t, "length", len(t)) + len(t) - need for (_, t), (_, _, need) in zip(found, self.templates, strict=True)]
         self.index: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, t, need) in enumerate(self.templates):
             for at, w in enumerate(t[: len(t) - need + 1]):
@@ -96,6 +146,40 @@ class Matcher:
         return out
 
 
+    def windows(self, words: list[bytes]) -> list[tuple[int, int, int, int]]:
+        """(template, words in common, first word, last word) of word windows that meet a template, one of those that overlap."""
+        present = self.vocabulary & set(words)
+        places = None
+        out = []
+        for k in sorted({k for w in present & self.prefixes for k, _ in self.index[w]}):
+            own, need, span = self.sets[k], self.templates[k][2], self.spans[k]
+            if len(own & present) < need:
+                continue
+            if places is None:
+                places = [(i, w) for i, w in enumerate(words) if w in present]
+            held: deque[tuple[int, bytes]] = deque()
+            count: Counter = Counter()
+            best: tuple[int, int, int, int] | None = None
+            for i, w in places:
+                if w not in own:
+                    continue
+                held.append((i, w))
+                count[w] += 1
+                while i - held[0][0] >= span or count[held[0][1]] > 1:
+                    _, x = held.popleft()
+                    count[x] -= 1
+                    if not count[x]:
+                        del count[x]
+                if best and held[0][0] > best[3]:
+                    out.append(best)
+                    best = None
+                if len(count) >= need and (best is None or len(count) > best[1]):
+                    best = (k, len(count), held[0][0], i)
+            if best:
+                out.append(best)
+        return out
+
+
 def _scan(text: bytes | None, matcher: Matcher, phrases: list[tuple[list[bytes], str]], starts: frozenset[bytes]) -> tuple:
     clean = cleaned(text)
     words = clean.split()
@@ -125,6 +209,19 @@ def _scan(text: bytes | None, matcher: Matcher, phrases: list[tuple[list[bytes],
                 top = {matcher.templates[k][0] for k, c in met if (c, of((k, c))) == best}
                 labels.add(top.pop() if len(top) == 1 else "other")
                 score = max(score, max(map(of, met)))
+        ends = list(accumulate(map(len, lines)))
+        line = lambda i: bisect_right(ends, i)
+        rank = lambda m: (m[1], m[1] / len(matcher.templates[m[0]][1]))
+        wrapped = [m for m in matcher.windows(words) if line(m[3]) - line(m[2]) >= BLOCK_LINES]
+        blocks += [(matcher.templates[m[0]][0], m[0], line(m[2]), line(m[3]) - line(m[2]) + 1, rank(m)[1]) for m in wrapped]
+        told: list[tuple] = []
+        for m in sorted(wrapped, key=rank, reverse=True):
+            if not any(x[2] <= m[3] and m[2] <= x[3] for x in told):
+                ties = [x for x in wrapped if rank(x) == rank(m) and x[2] <= m[3] and m[2] <= x[3]]
+                told += ties
+                top = {matcher.templates[x[0]][0] for x in ties}
+                labels.add(top.pop() if len(top) == 1 else "other")
+            score = max(score, rank(m)[1])
     return (len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score, blocks)
 
 

@@ -231,6 +231,21 @@ def test_license_join_is_exact(spark):
     assert [r.labels for r in sorted(rows, key=lambda r: r.doc_id)] == ["mit", "cc-by-nc", "apache", "", "", "gpl,lgpl", "mit", ""]
 
 
+def test_license_scan_finds_wrapped_notices_and_bodies(spark):
+    fill = "some other words stand here and go on for long\n" * 30
+    mit = license_scan.BODIES["mit"][0]
+    texts = [
+        (fill + "Licensed under the\n\nMozilla Public\n# License, version 2.0\n" + fill, "mpl"),
+        ("\n".join("This work is licensed under CC BY-SA 4.0".split()), "cc-by-sa"),
+        (fill + mit + "\n" + fill, "mit"),
+        (fill + "\n\n".join(mit.split()) + "\n" + fill, "mit"),
+        *[(fill + body + "\n" + fill, label) for label in ("isc", "bsd", "apache", "unlicense") for body in license_scan.BODIES[label]],
+        (fill + "licensed\n" + fill + "under\n" + fill + "mozilla\n" + fill + "public license version 2 0", ""),
+    ]
+    rows = license_scan.license_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in rows} == {i: x for i, (_, x) in enumerate(texts)}
+
+
 # 4 LM
 
 
