@@ -1,21 +1,26 @@
 """LM scoring by a weighted backoff automaton that is never in one place.
 
-Tokens are the words of a text (A-Z lowered), then one end. Every word seen in training (MIN_STATE times, which is once) is a
-state of its own; unseen words share the state `rare`. With c training counts and p1(w) = (c(w) + 1) / (N + V + 1), the arc
-of state u with w' (w's state) weighs log10((c(u, w') + MU p1(w')) / (c(u) + MU)) if the pair was seen; if not, the failure
-arc log10(MU / (c(u) + MU)) leads to the root, whose arc weighs log10(p1(w')). In `rare` a word adds log10(p1(w) / p1(rare)).
-So every state's weights sum to one over all words, known or not. The walk starts in the state of the end token, takes the arc
-or the failure arc of each token from left to right, is then in that token's state, and adds the weights up.
+Tokens are the words of a text (A-Z lowered), then one end. The states are the n-grams seen in training, of ORDER - 1 = 2 words
+at most, and the root. With c training counts, N tokens and V distinct ones, and m(k) = STRENGTH[k - 1]:
+
+    root         w weighs p(w) = (c(w) + 1) / (N + V + 1)
+    state u      w weighs p(w | u) = (c(u w) + m(1) p(w)) / (c(u) + m(1)) if u w was seen; else failure arc m(1) / (c(u) + m(1)) to the root
+    state t u    w weighs p(w | t u) = (c(t u w) + m(2) p(w | u)) / (c(t u) + m(2)) if t u w was seen; else failure arc m(2) / (c(t u) + m(2)) to u
+
+and every state's weights sum to one over all words and one unknown word. The walk begins in the state of the end token. Token
+by token, from left to right, it takes the arc or falls along failure arcs until there is one, adds up their log10 weights, and
+carries on in the state of the longest seen n-gram that now ends the text: two words, one, or the root after an unknown one.
 
 The automaton grows with the corpus, so it is dealt over the cluster by hash, and a block of documents is given just the states
-and arcs that it walks. Blocks of texts are reduced to tokens once and written. They ask for the counts of their distinct words,
-then of their distinct state pairs; buckets add up what the blocks have counted and answer in the order asked (packed.py), so a
-word or pair that fills a third of the corpus reaches its bucket once a block. Only N, V and the sizes of `rare`, one row a
-bucket, come to the driver.
+and arcs that it walks. Blocks ask for the counts of their distinct words and pairs, then of their distinct triples; a triple
+one of whose pairs stands in this block alone is known there and not asked for. Buckets add up what the blocks have counted and
+answer in the order asked (packed.py), so a word or pair that fills a third of the corpus reaches its bucket once a block. The
+number of buckets follows the input's size, so what a task holds does not grow with it. Counts have 64 bits. Only N and V, one
+row a bucket, come to the driver.
 
 Defined results: null text is empty and has the end token only; a null doc_id counts as the empty text in the held-out rule;
 repeated rows each count and each get a row. Without any training document all counts are zero. An empty table gives an empty
-table. Words and pairs are told apart by 64-bit hashes.
+table. Words, pairs and triples are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -32,52 +37,59 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
-from .packed import WordHash, bucket_edges, by_block, dealt, mixed, pieces
+from .packed import WordHash, bucket_edges, buckets_for, by_block, dealt, gathered, mixed, trimmed
 
-MIN_STATE = 1
-MU = 100.0
+ORDER = 3
+#: Weight, in tokens, of the shorter context's distribution in a state of one word and of two.
+STRENGTH = (100.0, 20.0)
 FOLDS, HELD_OUT = 7, 2
-LM_BLOCK_BYTES = 10_000_000
-_END, _RARE = np.uint64(0xE11D), np.uint64(0x4A4E)
+LM_BLOCK_BYTES = 4_000_000
+_END, _ONE = np.uint64(0xE11D), np.uint64(1)
 _ROW = "block long, kind int, bucket int, data binary"
 _OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Kinds of rows: a block's tokens; what it asks, or is told, of n-grams of one, two and three words; a bucket's sums.
+TOKENS, SUMS = 0, 9
 
 
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def _low(x: np.ndarray) -> bytes:
-    """Counts as a plane of their low bytes and one of the rest, which is mostly zero and compresses away."""
-    return (x & np.uint32(255)).astype(np.uint8).tobytes() + (x >> np.uint32(8)).astype(np.uint32).tobytes()
+def planes(x: np.ndarray) -> bytes:
+    """Counts as planes of their bytes, lowest first, as many as the greatest needs (a first byte tells); high ones compress away."""
+    x = x.astype("<u8", copy=False)
+    k = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([k]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()
 
 
-def _whole(raw: bytes, n: int, at: int = 0) -> np.ndarray:
-    raw = memoryview(raw)[at:]
-    return np.frombuffer(raw, np.uint8, n).astype(np.uint32) | (np.frombuffer(bytes(raw[n : 5 * n]), "<u4", n).astype(np.uint32) << np.uint32(8))
+def from_planes(raw: bytes, n: int, at: int = 0) -> np.ndarray:
+    raw = memoryview(raw)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : raw[at]] = np.frombuffer(raw, np.uint8, n * raw[at], at + 1).reshape(raw[at], n).T
+    return out.view("<u8").ravel()
 
 
 def _steps(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, low six bytes and high two apart: the high ones are mostly zero."""
     d = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-    return d[:, :6].tobytes() + d[:, 6:].tobytes()
+    return struct.pack("<I", len(keys)) + d[:, :6].tobytes() + d[:, 6:].tobytes()
 
 
-def _keys(raw: bytes, n: int) -> np.ndarray:
+def _keys(raw: bytes) -> np.ndarray:
+    (n,) = struct.unpack_from("<I", raw)
     d = np.empty((n, 8), np.uint8)
-    d[:, :6] = np.frombuffer(raw, np.uint8, 6 * n).reshape(-1, 6)
-    d[:, 6:] = np.frombuffer(raw, np.uint8, 2 * n, 6 * n).reshape(-1, 2)
+    d[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 4).reshape(-1, 6)
+    d[:, 6:] = np.frombuffer(raw, np.uint8, 2 * n, 4 + 6 * n).reshape(-1, 2)
     return np.cumsum(d.view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def _squeezed(ranks: np.ndarray) -> bytes:
-    """Ranks by frequency, a plane for each of three bytes, compressed."""
-    return zlib.compress(b"".join((ranks >> s & 255).astype(np.uint8).tobytes() for s in (0, 8, 16, 24)), 1)
+    """Ranks by frequency, a plane for each of their bytes, compressed."""
+    return zlib.compress(planes(ranks), 1)
 
 
 def _unsqueezed(raw: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, n).astype(np.int64)
-    return planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
+    return from_planes(zlib.decompress(raw), n).astype(np.int64)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -88,90 +100,167 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _asked(block: int, keys: np.ndarray, counts: np.ndarray, n: int, kind: int) -> list[tuple]:
     """Rows that ask for sorted distinct keys, with what this block has counted."""
     edges = bucket_edges(keys, n)
-    return [(block, kind, k, _steps(keys[edges[k] : edges[k + 1]]) + _low(counts[edges[k] : edges[k + 1]])) for k in np.flatnonzero(np.diff(edges)).tolist()]
+    return [(block, kind, k, _steps(keys[edges[k] : edges[k + 1]]) + planes(counts[edges[k] : edges[k + 1]])) for k in np.flatnonzero(np.diff(edges)).tolist()]
+
 
+def _joined(a: np.ndarray, b: np.ndarray, salt: int) -> np.ndarray:
+    """A key of a followed by b."""
+    return mixed(mixed(a * np.uint64(0xD1342543DE82EF95) + np.uint64(salt)) + b)
 
-def _blocks(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: a block's documents as places in its sorted distinct words; 1: what it asks of each bucket."""
+
+class _Block:
+    """The tokens of a block of documents as places in its sorted distinct words, and its distinct pairs and triples."""
+
+    def __init__(self, doc_ids: list, size: np.ndarray, vocab: np.ndarray, place: np.ndarray):
+        self.doc_ids, self.size, self.vocab, self.place = doc_ids, size, vocab, place
+        self.train = np.repeat(np.array([not held_out(d) for d in doc_ids], bool), size)
+        self.first = np.r_[0, np.cumsum(size)[:-1]]
+        self.end = int(np.searchsorted(vocab, _END))
+        self.before = np.r_[self.end, place[:-1]]
+        self.before[self.first] = self.end
+        self.pair_key = _joined(vocab[self.before], vocab[place], 1)
+        self.pairs, self.pair = np.unique(self.pair_key, return_inverse=True)
+
+    @classmethod
+    def of(cls, doc_ids: list, texts: list[bytes | None], hashes: WordHash) -> _Block:
+        split = [(t or b"").lower().split() for t in texts]
+        size = np.array([len(w) for w in split], np.int64)
+        h = np.concatenate([hashes.of(w) for w in split])
+        del split
+        return cls(doc_ids, size + 1, *np.unique(np.insert(h, np.cumsum(size), _END), return_inverse=True))
+
+    @classmethod
+    def loaded(cls, raw: bytes) -> _Block:
+        doc_ids, size, often, ranks = pickle.loads(raw)
+        order = np.argsort(often)
+        at = np.empty(len(often), np.int64)
+        at[order] = np.arange(len(often))
+        return cls(doc_ids, size, often[order], at[_unsqueezed(ranks, int(size.sum()))])
+
+    def dumped(self) -> bytes:
+        often = np.argsort(-np.bincount(self.place, minlength=len(self.vocab)), kind="stable")
+        rank = np.empty(len(often), np.int64)
+        rank[often] = np.arange(len(often))
+        return pickle.dumps((self.doc_ids, self.size, self.vocab[often], _squeezed(rank[self.place])), protocol=5)
+
+    def counted(self, places: np.ndarray, n: int, on: np.ndarray | None = None) -> np.ndarray:
+        """How often each of n distinct values stands in this block's training documents."""
+        return np.bincount(places[self.train if on is None else on & self.train], minlength=n)
+
+    def told(self, rows: list[tuple]) -> None:
+        """Take in the answers for words and pairs, and find the triples, of which `open` must be asked for."""
+        self.count = (_answer(rows, 1) >> _ONE).astype(np.int64)
+        pairs = _answer(rows, 2)
+        alone = (pairs & _ONE) > 0
+        self.arc2 = (pairs >> _ONE).astype(np.int64)[self.pair]
+        inner = np.ones(len(self.place), bool)
+        inner[self.first] = False  # the first token follows the end alone
+        self.context2 = np.where(inner, np.r_[0, self.arc2[:-1]], 0)
+        key = _joined(np.r_[np.uint64(0), self.pair_key[:-1]], self.vocab[self.place], 2)[inner]
+        self.triples, place = np.unique(key, return_inverse=True)
+        self.triple = np.full(len(self.place), -1)
+        self.triple[inner] = place
+        self.own = self.counted(self.triple, len(self.triples), inner)
+        shut = alone[self.pair]
+        shut = (shut | np.r_[False, shut[:-1]])[inner]
+        self.open = np.ones(len(self.triples), bool)
+        self.open[place[shut]] = False
+
+    def walked(self, rows: list[tuple], total: int, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+        """(base, model) log10 weights of each token."""
+        triples = self.own.astype(np.int64)
+        triples[self.open] = (_answer(rows, 3) >> _ONE).astype(np.int64)
+        arc3 = np.where(self.triple >= 0, triples[self.triple], 0) if len(triples) else np.zeros(len(self.place), np.int64)
+        m1, m2 = STRENGTH
+        p1 = ((self.count + 1) / (total + distinct + 1))[self.place]
+        context1 = self.count[self.before].astype(np.float64)
+        p2 = (self.arc2 + m1 * p1) / (context1 + m1)
+        p3 = (arc3 + m2 * p2) / (self.context2 + m2)
+        base = np.log10(p1)
+        # the state that the token before has led to, as the number of its words
+        state = np.where(self.context2 > 0, 2, np.where(context1 > 0, 1, 0))
+        out = np.zeros(len(base))
+        two = state == 2
+        out[two] = np.log10(np.where(arc3 > 0, p3, m2 / (self.context2 + m2)))[two]
+        state[two & (arc3 == 0)] = 1  # the failure arc drops the oldest word
+        one = state == 1
+        one &= ~(two & (arc3 > 0))
+        out[one] += np.log10(np.where(self.arc2 > 0, p2, m1 / (context1 + m1)))[one]
+        state[one & (self.arc2 == 0)] = 0
+        out[state == 0] += base[state == 0]
+        return base, out
+
+
+def _answer(rows: list[tuple], kind: int) -> np.ndarray:
+    """What the buckets have told a block, in the order of its keys: twice the count, and one more where no other block asked."""
+    found = []
+    for k, _, data in rows:
+        if k == kind:
+            (n,) = struct.unpack_from("<I", data)
+            found.append(from_planes(data, n, 4))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+
+
+def _tokens(docs: DataFrame, n: int) -> DataFrame:
+    """A block's tokens, and what it asks of words and pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, block = WordHash(), TaskContext.get().partitionId() << 32
-        for p in pieces(batches, 1, LM_BLOCK_BYTES):
-            doc_ids = p.column(0).to_pylist()
-            split = [(t or b"").lower().split() for t in p.column(1).cast(pa.binary()).to_pylist()]
-            size = np.array([len(w) for w in split], np.int64)
-            h = np.concatenate([hashes.of(w) for w in split])
-            del split
-            h = np.insert(h, np.cumsum(size), _END)
-            size += 1
-            vocab, place = np.unique(h, return_inverse=True)
-            train = np.array([not held_out(d) for d in doc_ids], bool)
-            counts = np.bincount(place[np.repeat(train, size)], minlength=len(vocab)).astype(np.uint32)
-            often = np.argsort(-np.bincount(place, minlength=len(vocab)), kind="stable")
-            rank = np.empty(len(vocab), np.int64)
-            rank[often] = np.arange(len(vocab))
-            kept = pickle.dumps((doc_ids, train, size, vocab[often], _squeezed(rank[place])), protocol=5)
-            yield _batch([(block, 0, 0, kept), *_asked(block, vocab, counts, n, 1)])
+        for ids, texts in gathered(batches, LM_BLOCK_BYTES):
+            b = _Block.of(ids, texts, hashes)
+            texts.clear()
+            rows = [(block, TOKENS, block % n, b.dumped())]
+            rows += _asked(block, b.vocab, b.counted(b.place, len(b.vocab)), n, 1)
+            rows += _asked(block, b.pairs, b.counted(b.pair, len(b.pairs)), n, 2)
+            del b
+            yield _batch(rows)
             block += 1
-
-    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW), "tokens", "kind", batch=6_000)
-
-
-def _answers(asked: DataFrame, n: int, kind: int, stats: bool) -> DataFrame:
-    """For each row asked, one with the global counts; with stats also a row (block -1) a bucket."""
+        del hashes
+        trimmed()
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
+
+
+def _answers(asked: DataFrame, n: int, name: str) -> DataFrame:
+    """For each row asked, one with twice the global counts, plus one for what one block alone asked for; for words also a row with
+    a bucket's sums. Tokens pass through."""
+
+    def summed(kind: int, bucket: int, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        key, count = (np.concatenate([r[k] for r in rows]) for k in (1, 2))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]]
+        at = np.flatnonzero(new)
+        total = np.add.reduceat(count[order], at)
+        told = total << 1 | (np.diff(np.r_[at, len(key)]) == 1)
+        count[order] = told[np.cumsum(new) - 1]
+        if kind == 1:
+            yield _batch([(-1, SUMS, bucket, struct.pack("<2q", int(total.sum()), int((total > 0).sum())))])
+        at = 0
+        out = []
+        for block, k, _ in rows:
+            out.append((block, kind, bucket, struct.pack("<I", len(k)) + planes(count[at : at + len(k)])))
+            at += len(k)
+            if len(out) == 500:
+                yield _batch(out)
+                out = []
+        yield _batch(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, keys, counts, bucket = [], [], [], -1
+        held: dict[tuple[int, int], list] = {}
         for b in batches:
-            for block, bucket, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-                raw = data.as_buffer()
-                m = len(raw) // 13
-                keys.append(_keys(raw, m))
-                counts.append(_whole(raw, m, 8 * m))
-                rows.append((block, m))
-        if rows:
-            key = np.concatenate(keys)
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            new = np.r_[True, key[1:] != key[:-1]]
-            total = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), np.flatnonzero(new))
-            told = np.empty(len(key), np.uint32)
-            told[order] = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)[np.cumsum(new) - 1]
-            if stats:
-                rare = total[(total > 0) & (total < MIN_STATE)]
-                yield _batch([(-1, kind, bucket, struct.pack("<4q", int(total.sum()), int((total > 0).sum()), int(rare.sum()), len(rare)))])
-            at = np.r_[0, np.cumsum([m for _, m in rows])].tolist()
-            for k in range(0, len(rows), 500):
-                yield _batch([(block, kind, bucket, _low(told[at[k + j] : at[k + j + 1]])) for j, (block, _) in enumerate(rows[k : k + 500])])
-
-    return written(dealt(asked, n, "bucket").mapInArrow(run, _ROW), f"counts-{kind}")
+            for block, kind, bucket, data in zip(*[b.column(k).to_pylist() for k in range(3)], b.column(3), strict=True):
+                if kind == TOKENS:
+                    yield _batch([(block, kind, bucket, data.as_py())])
+                    continue
+                raw = data.as_buffer().to_pybytes()
+                keys = _keys(raw)
+                held.setdefault((kind, bucket), []).append((block, keys, from_planes(raw, len(keys), 4 + 8 * len(keys)).astype(np.int64)))
+        for key in sorted(held):
+            yield from summed(*key, held.pop(key))
+        trimmed()
 
-
-class _Block:
-    """A block with the counts of its words, and its walk as pairs of states."""
-
-    def __init__(self, rows: list[tuple]):
-        self.doc_ids, self.train, self.size, vocab, ranks = pickle.loads(rows[0][2])
-        order = np.argsort(vocab)
-        self.vocab, at = vocab[order], np.empty(len(vocab), np.int64)
-        at[order] = np.arange(len(vocab))
-        self.place = at[_unsqueezed(ranks, int(self.size.sum()))]
-        told = [r[2] for r in rows if r[0] == 1]
-        self.count = np.concatenate([_whole(x, len(x) // 5) for x in told]).astype(np.int64)
-        own = self.count >= MIN_STATE
-        self.state = np.where(own, self.vocab, _RARE)
-        self.own = own
-        self.end = int(np.searchsorted(self.vocab, _END))
-        self.first = np.r_[0, np.cumsum(self.size)[:-1]]
-        before = np.empty_like(self.place)
-        before[1:] = self.place[:-1]
-        before[self.first] = self.end
-        self.before = before
-        key = mixed(self.state * np.uint64(0xD1342543DE82EF95) + np.uint64(1))[before] + self.state[self.place]
-        self.pairs, self.pair = np.unique(mixed(key), return_inverse=True)
-
-    def pair_counts(self) -> np.ndarray:
-        return np.bincount(self.pair[np.repeat(self.train, self.size)], minlength=len(self.pairs)).astype(np.uint32)
+    return written(dealt(asked, n, "bucket").mapInArrow(run, _ROW), name, "kind", batch=200)
 
 
 def _met(n: int, *parts: DataFrame) -> DataFrame:
@@ -183,43 +272,37 @@ def _met(n: int, *parts: DataFrame) -> DataFrame:
 
 def lm_score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row a document."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    table = _blocks(docs, n)
-    blocks = table.filter("kind = 0")
-    words = _answers(table.filter("kind = 1"), n, 1, True)
-    sums = [struct.unpack("<4q", r["data"]) for r in words.filter("block = -1").select("data").collect()]  # a row a bucket
-    total, distinct, n_rare, v_rare = (sum(x[k] for x in sums) for k in range(4))
-    words = words.filter("block <> -1")
-    dropped(table, "kind=1")
+    n = buckets_for(docs)
+    first = _answers(_tokens(docs, n), n, "words-pairs")
+    sums = [struct.unpack("<2q", r["data"]) for r in first.filter(F.col("kind") == SUMS).select("data").collect()]  # a row a bucket
+    total, distinct = (sum(x[k] for x in sums) for k in range(2))
+    known = first.filter(F.col("kind") != SUMS)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in by_block(batches):
-            b = _Block(rows)
-            yield _batch(_asked(block, b.pairs, b.pair_counts(), n, 2))
+            b = _Block.loaded(rows[0][2])
+            b.told(rows)
+            yield _batch(_asked(block, b.triples[b.open], b.own[b.open], n, 3))
+            del b
+        trimmed()
 
-    pairs = _answers(_met(n, blocks, words).mapInArrow(ask, _ROW), n, 2, False)
+    second = _answers(_met(n, known).mapInArrow(ask, _ROW), n, "triples")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_block(batches):
-            b = _Block(rows)
-            told = np.concatenate([_whole(r[2], len(r[2]) // 5) for r in rows if r[0] == 2]).astype(np.float64)
-            every = total + distinct + 1
-            p1 = (b.count + 1) / every
-            p_rare = (n_rare + v_rare + 1) / every
-            base = np.log10(p1)
-            p_state = np.where(b.own, p1, p_rare)
-            inside = np.where(b.own, 0.0, base - np.log10(p_rare))
-            seen = np.where(b.own, b.count, n_rare).astype(np.float64)
-            arc, there = told[b.pair], seen[b.before]
-            fail = np.log10(MU / (there + MU)) + np.log10(p_state)[b.place]
-            step = np.where(arc > 0, np.log10((arc + MU * p_state[b.place]) / (there + MU)), fail) + inside[b.place]
-            add = lambda x: np.add.reduceat(x, b.first)
+            b = _Block.loaded(rows[0][2])
+            b.told(rows)
+            base, score = b.walked(rows, total, distinct)
+            add = lambda x: np.add.reduceat(x, b.first)  # noqa: B023, E731
             cols = [
-                pa.array(b.doc_ids, pa.int64()), pa.array(~b.train), pa.array(b.size, pa.int64()), pa.array(add((b.count > 0)[b.place].astype(np.int64))),
-                pa.array(np.full(len(b.size), total, np.int64)), pa.array(add(base[b.place])), pa.array(add(step)),
+                pa.array(b.doc_ids, pa.int64()), pa.array([held_out(d) for d in b.doc_ids], pa.bool_()), pa.array(b.size, pa.int64()), pa.array(add((b.count > 0)[b.place].astype(np.int64))),
+                pa.array(np.full(len(b.size), total, np.int64)), pa.array(add(base)), pa.array(add(score)),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in _OUT.split(", ")])
+            del b, base, score
+        trimmed()
 
-    out = written(_met(n, blocks, words, pairs).mapInArrow(walk, _OUT), "scores")
-    dropped(table)
+    out = written(_met(n, known, second).mapInArrow(walk, _OUT), "scores", batch=200)
+    dropped(first)
+    dropped(second)
     return out

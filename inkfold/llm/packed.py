@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that a task takes apart at once, and words whose hashes it remembers.
 BLOCK_BYTES = 3_000_000
 CACHE_WORDS = 200_000
+#: Input bytes, as stored, for each bucket.
+BUCKET_BYTES = 32_000_000
 _SEED = 0x5EED
 
 
@@ -94,12 +96,37 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, most: int = BLOCK_BYTES
             at = to
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, list]]:
+    """(first column, texts as bytes) of batches(id, text), gathered to about `most` bytes of text whatever the batches' sizes."""
+    ids, texts, size = [], [], 0
+    for p in pieces(batches, 1, most):
+        more = p.column(1).cast(pa.binary()).to_pylist()
+        n = sum(len(t) for t in more if t)
+        if size and size + n > most:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids += p.column(0).to_pylist()
+        texts += more
+        size += n
+    if ids:
+        yield ids, texts
+
+
 def bucket_edges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
     """Where each of n buckets begins in sorted hashes, and the end."""
     inner = np.searchsorted(sorted_hashes, np.array([-(-(b << 64) // n) for b in range(1, n)], np.uint64))
     return np.r_[0, inner, len(sorted_hashes)]
 
 
+def buckets_for(df: DataFrame) -> int:
+    """How many buckets to deal into: spark.sql.shuffle.partitions, and more where a bucket's share of the stored input would exceed
+    BUCKET_BYTES."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # what has no known size is given as greater
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET_BYTES), 1 << 20))
+
+
 def dealt(df: DataFrame, n: int, column: str) -> DataFrame:
     """df in n partitions, a row in the one that the column numbers."""
     return df.repartitionById(n, F.col(column).cast("int"))

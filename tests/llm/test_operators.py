@@ -250,25 +250,52 @@ def test_license_scan_finds_wrapped_notices_and_bodies(spark):
 
 
 def lm(rows):
+    """A literal automaton: a dictionary of states with their arcs, walked one token at a time along failure arcs."""
     tokens = [[*lowered(r[1]).encode().split(), b"\n"] for r in rows]
     out = [zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 7 == 2 for r in rows]
-    c = Counter(w for t, o in zip(tokens, out, strict=True) if not o for w in t)
+    train = [[b"\n", *t] for t, o in zip(tokens, out, strict=True) if not o]
+    c = Counter(w for t in train for w in t[1:])
     n, v = sum(c.values()), len(c)
-    state = lambda w: w if c[w] >= lm_score.MIN_STATE else None
-    rare = [x for x in c.values() if x < lm_score.MIN_STATE]
-    pairs = Counter((state(a), state(b)) for t, o in zip(tokens, out, strict=True) if not o for a, b in zip([b"\n", *t], t, strict=False))
+    grams = [c, Counter(x for t in train for x in zip(t, t[1:], strict=False)), Counter(x for t in train for x in zip(t, t[1:], t[2:], strict=False))]
     p1 = lambda w: (c[w] + 1) / (n + v + 1)
-    p_rare = (sum(rare) + len(rare) + 1) / (n + v + 1)
+    states = {(): (None, {})}
+    states |= {(w,): (math.log10(100 / (k + 100)), {}) for w, k in c.items()}
+    states |= {x: (math.log10(20 / (k + 20)), {}) for x, k in grams[1].items()}
+    for (u, w), k in grams[1].items():
+        states[u,][1][w] = math.log10((k + 100 * p1(w)) / (c[u] + 100))
+    for (t, u, w), k in grams[2].items():
+        states[t, u][1][w] = math.log10((k + 20 * 10 ** states[u,][1][w]) / (grams[1][t, u] + 20))
     for r, t, o in zip(rows, tokens, out, strict=True):
-        score, at = 0.0, b"\n"
+        score, state, said = 0.0, (b"\n",) if c else (), (b"\n",)
         for w in t:
-            u, s = state(at), state(w)
-            p, seen = (p1(w) if s else p_rare), (c[u] if u else sum(rare))
-            score += math.log10((pairs[u, s] + lm_score.MU * p) / (seen + lm_score.MU)) + (0 if s else math.log10(p1(w) / p_rare))
-            at = w
+            while state and w not in states[state][1]:
+                score, state = score + states[state][0], state[1:]
+            score += states[state][1][w] if state else math.log10(p1(w))
+            said = (*said, w)[-2:]
+            state = next(x for x in (said, said[1:], ()) if x in states)
         yield r[0], o, len(t), sum(c[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), score
 
 
+def test_lm_counts_have_64_bits():
+    big = np.array([0, 1, 255, 256, 1 << 31, (1 << 32) + 7, (1 << 62) + 5], np.uint64)
+    assert lm_score.from_planes(lm_score.planes(big), len(big)).tolist() == big.tolist()
+    assert len(lm_score.planes(big[:3])) == 4
+
+
+def test_lm_states_of_each_order(spark):
+    """Texts that lead to states of two words, to one after an unseen pair, and to the root, each followed by seen and unseen words."""
+    ids = [i for i in range(1, 200) if not lm_score.held_out(i)][:12]
+    texts = [(i, ["a b c", "a b d", "b c a", "c a b a"][k % 4]) for k, i in enumerate(ids)]
+    probes = ["a b", "x a b", "a b b", "c b", "b", "d c b"]  # what leads to (a b), to (b) after an unseen pair
+    following = ["a", "b", "c", "d", "new"]
+    hold = [i for i in range(1, 1000) if lm_score.held_out(i)]
+    asked = [p + " " + f for p in probes for f in following]
+    every = [*texts, *zip(hold, [*probes, *asked], strict=False)]
+    got = {r.doc_id: r.score for r in lm_score.lm_score(spark.createDataFrame(every, "doc_id long, text string")).collect()}
+    want = {r[0]: r[6] for r in lm(every)}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
 def test_lm_score(docs, rows):
     same(lm_score.lm_score(docs).collect(), list(lm(rows)), 1e-6)
 
