@@ -16,8 +16,8 @@ from inkfold.sources.tables import spread, table
 #: Words are maximal runs of characters other than ASCII space and \t \n \v \f \r.
 SPACES = r"[\x20\x09-\x0D]+"
 
-#: A side of a join is broadcast only when it has been counted and holds no more rows than this.
-BROADCAST_ROWS = 50_000
+#: A side of a join is broadcast only when it has been counted and measured, and holds no more rows and characters than this.
+BROADCAST_ROWS, BROADCAST_CHARS = 50_000, 10_000_000
 
 #: Copies of the small side, when it is too large to broadcast, so that one hot key is dealt to as many tasks.
 SALTS = 64
@@ -54,7 +54,7 @@ def written(df: DataFrame, name: str, by: str | None = None, batch: int = ARROW_
     """df as a table in the shared folder: lineage ends here, so a lost executor costs no recomputation.
 
     With `by`, values of that column are kept apart, and a filter on it reads no others. Python stages get at most `batch`
-    rows at once. Shuffle files of what has been written are let go.
+    rows at once. Shuffle files of what has been written are let go. The table goes when `dropped` or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -66,20 +66,23 @@ def written(df: DataFrame, name: str, by: str | None = None, batch: int = ARROW_
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+    at, fs = _file_system(spark, path)
+    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path).select(df.columns)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)
     return out
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def dropped(table: DataFrame, part: str = "") -> None:
-    """Delete a written table, or one part of it, that nothing needs any more."""
-    path = _paths.get(id(table))
-    if path:
-        path = f"{path}/{part}".rstrip("/")
-        sc = table.sparkSession.sparkContext
-        at = sc._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    """Delete a table that `written` has returned (not a frame derived from it), or one part of it, that nothing needs any more."""
+    at, fs = _file_system(table.sparkSession, f"{_paths[id(table)]}/{part}".rstrip("/"))
+    fs.delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +97,12 @@ def words(text: Column) -> Column:
 def join_small(left: DataFrame, small: DataFrame, key: str, salt_by: Column, how: str = "left") -> DataFrame:
     """left joined with small (one row a key, already written) on a null-safe key; `key` of small is dropped.
 
-    Up to BROADCAST_ROWS rows, counted first, small is broadcast. Beyond, left rows are salted by salt_by and small is
-    repeated SALTS times, so no key's rows land in one task.
+    Up to BROADCAST_ROWS rows and BROADCAST_CHARS characters, counted first, small is broadcast. Beyond, left rows are salted
+    by salt_by and small is repeated SALTS times, so no key's rows land in one task.
     """
     right = small.withColumnRenamed(key, "_k")
-    if small.count() <= BROADCAST_ROWS:
+    rows, chars = small.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if rows <= BROADCAST_ROWS and chars <= BROADCAST_CHARS:
         return left.join(F.broadcast(right), left[key].eqNullSafe(F.col("_k")), how).drop("_k")
     right = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     left = left.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))

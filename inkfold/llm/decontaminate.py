@@ -1,21 +1,23 @@
 """Benchmark decontamination by pigeonhole edit matching over words.
 
 Words are maximal runs of ASCII letters and digits and of non-ASCII characters, A-Z lowered, so case and punctuation don't
-matter. An item of m words matches a place of a document at up to k = m * EDIT_PERCENT // 100 word edits. It is split into
+matter; a character of a script that is written without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word. An item of m words matches a place of a document at up to k = m * EDIT_PERCENT // 100 word edits. It is split into
 k + 1 pieces of nearly equal length; a place within k edits holds at least one of them unchanged, so exact piece hits lose
 nothing. Pieces are found by their longest word, then compared whole. Each hit is verified with Myers' bit-parallel edit
 distance (one bit a pattern word) over the window that the item can cover there; the reverse run gives the start.
 
-Items are taken from the driver's side in blocks of ITEM_BLOCK, each tried against all documents, so what a task holds is
-bounded whatever the benchmark's size.
+Items are taken from the driver's side in blocks of ITEM_BLOCK items and ITEM_BYTES of text at most, each tried against all
+documents, so what the driver and a task hold is bounded whatever the benchmark's size; every further block is another pass.
 
-Defined results: null texts and items have no words; items under MIN_ITEM_WORDS words match nothing (ordinary prose would);
+Defined results: null texts and items have no words, and such items match nothing; items under MIN_ITEM_WORDS words match the
+documents that consist of the same words alone (ordinary prose would hold them);
 of several places of one item in a document the one with the fewest edits, then the first, is given; repeated items or
 documents each give their own rows. Empty tables give no rows, and then all documents are clean.
 """
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -25,14 +27,18 @@ from pyspark.sql import functions as F
 
 EDIT_PERCENT = 20
 MIN_ITEM_WORDS = 5
-ITEM_BLOCK = 20_000
+ITEM_BLOCK, ITEM_BYTES = 20_000, 32_000_000
 HIT_SCHEMA = "doc_id long, item_id long, distance int, first_word long, last_word long"
 
 _KEEP = bytes(b if chr(b).isalnum() else 32 for b in range(128)) + bytes(range(128, 256))
 
 
+#: Characters of scripts without spaces, in UTF-8: Thai and Lao, Burmese, Khmer, kana, Chinese characters.
+_UNSPACED = re.compile(rb"(\xe0[\xb8-\xbb].|\xe1[\x80-\x82\x9e\x9f].|\xe3[\x81-\x83\x90-\xbf].|[\xe4-\xe9]..|\xef[\xa4-\xab].)", re.DOTALL)
+
+
 def split_words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().translate(_KEEP).split()
+    return _UNSPACED.sub(rb" \1 ", (text or b"").lower().translate(_KEEP)).split()
 
 
 class Pattern:
@@ -83,15 +89,18 @@ class Items:
     """A block of items: patterns, and pieces by their longest word."""
 
     def __init__(self, items: list[tuple[int, bytes | None]], percent: int = EDIT_PERCENT):
-        self.items, self.pieces = [], defaultdict(list)
+        self.items, self.pieces, self.short = [], defaultdict(list), defaultdict(list)
         for item_id, text in items:
             words = split_words(text)
             m = len(words)
-            if m < MIN_ITEM_WORDS:
+            if not m:
                 continue
             k = m * percent // 100
             at = len(self.items)
             self.items.append((item_id, Pattern(words), k))
+            if m < MIN_ITEM_WORDS:
+                self.short[tuple(words)].append(at)
+                continue
             for p in range(k + 1):
                 a, b = p * m // (k + 1), (p + 1) * m // (k + 1)
                 anchor = max(range(a, b), key=lambda i: len(words[i]))
@@ -102,6 +111,8 @@ class Items:
         out: dict[int, tuple[int, int, int]] = {}
         pieces = self.pieces
         seen: set[tuple[int, int]] = set()
+        if len(words) < MIN_ITEM_WORDS:
+            out |= {at: (0, 0, len(words) - 1) for at in self.short.get(tuple(words), ())}
         for i in [i for i, w in enumerate(words) if w in pieces]:
             for at, offset, inside, piece in pieces[words[i]]:
                 start = i - inside
@@ -118,11 +129,13 @@ class Items:
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, bytes | None]]]:
     block: list[tuple[int, bytes | None]] = []
+    size = 0
     for r in items.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).orderBy("item_id", "text").toLocalIterator():
         block.append((r[0], None if r[1] is None else bytes(r[1])))
-        if len(block) == ITEM_BLOCK:
+        size += len(block[-1][1] or b"")
+        if len(block) == ITEM_BLOCK or size >= ITEM_BYTES:
             yield block
-            block = []
+            block, size = [], 0
     if block:
         yield block
 
@@ -132,7 +145,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = EDIT_PERCENT) -> Dat
     src = docs.select(F.col("doc_id").cast("long"), "text")
     out = docs.sparkSession.createDataFrame([], HIT_SCHEMA)
     for n, block in enumerate(_blocks(items)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most ITEM_BLOCK items
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # ITEM_BLOCK items and ITEM_BYTES at most
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             found = Items(shared.value, percent)

@@ -1,6 +1,7 @@
 """Near copies: texts whose sets of SHINGLE-word shingles have a Jaccard similarity of SIMILAR or more, and their components.
 
-Equal sets are one node from the start. A node has BANDS keys, each of WIDTH minimum hashes; nodes that share a key and whose
+Equal sets are one node from the start. Nodes whose SimHash fingerprints (of these shingles) the pigeonhole search of simhash.py
+links are the first candidates: they are the closest copies, and what they join need not meet below. A node has BANDS keys, each of WIDTH minimum hashes; nodes that share a key and whose
 sizes allow the similarity are candidates. A pair at similarity s shares none with chance (1 - s^WIDTH)^BANDS: 3 in a million
 at 0.8, less above. Every candidate is verified on its whole sets. In a bucket of many nodes a few pivots meet all others
 first; what their links have joined need not meet again, so a group of near copies costs a few rows a member. Nodes that are
@@ -12,7 +13,7 @@ empty set's one node; fewer words than a shingle give one shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +63,16 @@ def node_of(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes())
 
 
+def print_of(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set: a bit is set if over half of the hashes have it."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        counts += np.unpackbits(found[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view(np.int64)[0])
+
+
 def with_nodes(docs: DataFrame) -> DataFrame:
-    """doc_id, _ref, node, n (the set's size), keys of docs(doc_id, _ref, text)."""
+    """doc_id, _ref, node, n (the set's size), fp (its fingerprint), keys of docs(doc_id, _ref, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -72,11 +81,11 @@ def with_nodes(docs: DataFrame) -> DataFrame:
             if not sets:
                 continue
             keys = band_keys(np.stack([least(s) for s in sets]))
-            cols = [b.column(0), b.column(1), pa.array(np.array([node_of(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([k.tobytes() for k in keys], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_ref", "node", "n", "keys"])
+            cols = [b.column(0), b.column(1), pa.array(np.array([node_of(s) for s in sets], np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int32()), pa.array([print_of(s) for s in sets], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "_ref", "node", "n", "fp", "keys"])
         trimmed()
 
-    return docs.select("doc_id", "_ref", "text").mapInArrow(run, "doc_id long, _ref long, node long, n int, keys binary")
+    return docs.select("doc_id", "_ref", "text").mapInArrow(run, "doc_id long, _ref string, node long, n int, fp long, keys binary")
 
 
 def _filed(nodes: DataFrame) -> DataFrame:
@@ -196,22 +205,34 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(met.mapInArrow(run, "a long, b long"), "similar", batch=500)
 
 
-def roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(node, root) of every node but the roots, for docs(_ref, text) and their rows with_nodes."""
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    left, edges, pivots = _filed(nodes), None, PIVOTS
+def _joined(rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """key, node, root, n of rows, with the roots of tree(node, root)."""
+    tree = tree.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    out = rows.drop("root").join(tree.hint("merge"), F.col("node") == F.col("_node"), "left")
+    return out.select("key", "node", F.coalesce("_root", "node").alias("root"), "n")
+
+
+def roots(docs: DataFrame, rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) of every node but the roots, for docs(_ref, text) and their rows with_nodes; links finds edges (a, b) of
+    fingerprints (fp)."""
+    nodes = written(rows.groupBy("node").agg(F.first("fp").alias("fp")), "nodes")
+    ends = written(nodes.groupBy("fp").agg(F.min("node").alias("end")), "ends")  # one node stands for a fingerprint
+    near = links(ends.select("fp"))
+    same = nodes.join(ends.hint("merge"), "fp").filter("node <> end").select(F.col("end").alias("a"), F.col("node").alias("b"))
+    at = lambda k: ends.select(F.col("fp").alias(f"_{k}"), F.col("end").alias(f"end_{k}")).hint("merge")
+    other = near.join(at("a"), F.col("a") == F.col("_a")).join(at("b"), F.col("b") == F.col("_b")).select(F.col("end_a").alias("a"), F.col("end_b").alias("b"))
+    pairs = written(same.unionAll(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    edges = _verified(pairs, _sets(docs, rows, pairs))
+    tree = components(edges)
+    left, pivots = _joined(_filed(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))), tree), PIVOTS
     while True:
         met = _candidates(left, pivots)
         pairs = written(met.filter("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-        sets = _sets(docs, rows, pairs)
-        found = _verified(pairs, sets)
-        edges = found if edges is None else edges.unionAll(found)
+        edges = edges.unionAll(_verified(pairs, _sets(docs, rows, pairs)))
         again = met.filter("kind = 0").select("key", "node", F.col("other").alias("root"), "n")
         tree = components(edges)
         if again.isEmpty():
             return tree
-        tree = tree.withColumnRenamed("node", "_node").withColumnRenamed("root", "_root")
-        joined = again.drop("root").join(tree.hint("merge"), F.col("node") == F.col("_node"), "left")
-        left = written(joined.select("key", "node", F.coalesce("_root", "node").alias("root"), "n"), "left")
-        dropped(met)
+        left, before = written(_joined(again, tree), "left"), met
+        dropped(before)
         pivots *= 8

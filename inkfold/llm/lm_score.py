@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
-from .packed import WordHash, bucket_edges, buckets_for, by_block, dealt, gathered, mixed, trimmed
+from .packed import WordHash, bucket_edges, buckets_for, by_block, dealt, from_planes, gathered, mixed, planes, trimmed
 
 ORDER = 3
 #: Weight, in tokens, of the shorter context's distribution in a state of one word and of two.
@@ -55,20 +55,6 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Counts as planes of their bytes, lowest first, as many as the greatest needs (a first byte tells); high ones compress away."""
-    x = x.astype("<u8", copy=False)
-    k = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([k]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :k].T).tobytes()
-
-
-def from_planes(raw: bytes, n: int, at: int = 0) -> np.ndarray:
-    raw = memoryview(raw)
-    out = np.zeros((n, 8), np.uint8)
-    out[:, : raw[at]] = np.frombuffer(raw, np.uint8, n * raw[at], at + 1).reshape(raw[at], n).T
-    return out.view("<u8").ravel()
-
-
 def _steps(keys: np.ndarray) -> bytes:
     """Sorted keys as differences, low six bytes and high two apart: the high ones are mostly zero."""
     d = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)

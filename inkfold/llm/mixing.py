@@ -7,8 +7,10 @@ taken until the remaining words are reached, to the nearest document. Inclusion
 by the square root of a document's size over the source's mean size (bounded by TILT), so probabilities are unequal.
 
 u comes from the md5 of the seed and doc_id, so reruns agree. The cut is found in two steps: sizes are summed by source and
-one of BUCKETS ranges of the ranking key, and only the one range that holds a source's cut is ranked row by row; no task ever
-gets a source's rows. The one unpartitioned window runs over a row a source.
+range of the ranking key, and only the one range that holds a source's cut is ranked row by row. Ranges are equal parts of what
+the key is without its inclusion odds, which spreads evenly but for the bounded tilt whatever the target; a source has one for
+each BUCKET_ROWS of its documents, so a range holds TILT times as many at most, by chance, and no task gets a source's rows. The
+one unpartitioned window runs over a row a source.
 
 Defined results: null text has size 0; null sources are one source, last in the weights' order; documents of size 0 take 0
 words; with equal keys the smaller doc_id, then the smaller size goes first, and rows equal in all of these are
@@ -17,14 +19,15 @@ interchangeable. An empty table gives an empty table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, words, written
 
 MAX_COPIES = 3
 WEIGHTS = 3
-BUCKETS = 4096
+#: Documents of a source for each range of its ranking key, and the most ranges.
+BUCKET_ROWS, MOST_BUCKETS = 256, 1 << 20
 TILT = 4.0
 SEED = "inkfold-mix"
 
@@ -49,6 +52,16 @@ def source_targets(sizes: DataFrame, weights: int = WEIGHTS, max_copies: int = M
     return t.select("source", "source_size", "n_docs", F.least("_cap", F.col("_level") * F.col("_w")).alias("target"))
 
 
+def filed(rows: DataFrame, part: Column) -> DataFrame:
+    """rows(_u, size, source_size, n_docs) with _key, by which they are ranked for the fraction `part`, and _bucket, its range."""
+    mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0))
+    tilt = F.least(F.greatest(F.sqrt(F.col("size") / mean), F.lit(1 / TILT)), F.lit(TILT))
+    odds = part / (1 - part)
+    rows = rows.withColumn("_key", (F.col("_u") / (1 - F.col("_u"))) / (odds * tilt))
+    even, ranges = F.col("_key") * odds, F.least(F.ceil(F.col("n_docs") / BUCKET_ROWS), F.lit(MOST_BUCKETS))
+    return rows.withColumn("_bucket", F.floor(even / (1 + even) * ranges))
+
+
 def mixed(docs: DataFrame, keep_rows: bool = False, seed: str = SEED) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken of each document; with keep_rows also the whole row as _doc."""
     rows = docs.select(F.struct("*").alias("_doc"), "doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size"))
@@ -58,11 +71,7 @@ def mixed(docs: DataFrame, keep_rows: bool = False, seed: str = SEED) -> DataFra
     rows = join_small(rows, targets, "source", F.col("doc_id"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("_whole", F.floor(rate)).withColumn("_rest", F.col("target") - F.col("_whole") * F.col("source_size"))
-    part = F.greatest(rate - F.col("_whole"), F.lit(1e-9))
-    mean = F.greatest(F.col("source_size") / F.col("n_docs"), F.lit(1.0))
-    tilt = F.least(F.greatest(F.sqrt(F.col("size") / mean), F.lit(1 / TILT)), F.lit(TILT))
-    rows = rows.withColumn("_key", (F.col("_u") / (1 - F.col("_u"))) / (part / (1 - part) * tilt))
-    rows = rows.withColumn("_bucket", F.floor(F.col("_key") / (1 + F.col("_key")) * BUCKETS))
+    rows = filed(rows, F.greatest(rate - F.col("_whole"), F.lit(1e-9)))
     sums = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"), F.max("_rest").alias("_rest"))
     before = F.coalesce(F.sum("_sum").over(Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cuts = sums.withColumn("_before", before).filter("_before + _sum > _rest").groupBy("source").agg(F.min(F.struct("_bucket", "_before")).alias("_cut"))

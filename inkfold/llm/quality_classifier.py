@@ -2,7 +2,7 @@
 
 Two targets, `quality` and `toxic`, are scored for every document. The document's own evidence comes from a logistic
 regression with an L1 penalty over distinct lower-case words, their first 4 to 6 bytes and binned shape measures, fitted to
-the labelled documents first in the order of a hash of their id, MAX_FIT at most; the evidence is its log-odds less the
+the labels of documents at hand, first in the order of a hash of their id, MAX_FIT at most; the evidence is its log-odds less the
 log-odds of the sample's base rate. The prior odds come from the document's site: labelled positives are summed by host
 (`source`) and by path within the host (`lang` where no finer path is given) over all labels, the host's rate is shrunk toward
 the global rate and the path's toward its host's, each with the strength that the spread of the rates shows (method of
@@ -106,7 +106,8 @@ def fit(sample: list[tuple[bytes | None, dict[str, int]]]) -> tuple[dict[bytes,
 
 def _sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes | None, dict[str, int]]]:
     order = [F.xxhash64("_l"), F.col("_l"), *[F.col(t) for t in TARGETS]]
-    chosen = written(labels.select(F.col("doc_id").cast("long").alias("_l"), *TARGETS).filter("_l is not null").orderBy(*order).limit(MAX_FIT), "sample")
+    usable = labels.select(F.col("doc_id").cast("long").alias("_l"), *TARGETS).join(docs.select(F.col("doc_id").cast("long").alias("_d")), F.col("_l") == F.col("_d"), "left_semi")
+    chosen = written(usable.orderBy(*order).limit(MAX_FIT), "sample")
     got = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("binary").alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_l"))  # MAX_FIT rows
     got = got.orderBy(*order, "_t").limit(MAX_FIT).collect()
     return [(None if r["_t"] is None else bytes(r["_t"]), {t: r[t] for t in TARGETS}) for r in got]

@@ -7,9 +7,10 @@ that such predictions hold is learnt in the block; these chances mix the three o
 gets its share, the order-1 id its share of the rest, and the bit lengths what is left. The symbol narrows a 48-bit range; an
 id that neither prediction gave then codes the bits below its leading one. Carries are resolved when a block is closed.
 
-Frame layout, little-endian: b"IKF1", ids to a block (u32), bit lengths (u32), documents (u32), blocks (u32), ids (u64); per
-document its id (i64, with a null flag in a bitmap) and length (u32); per block its number of 16-bit words (u32) and the CRC-32
-of its ids as u32 (u32); then the words of all blocks.
+Frame layout, little-endian: b"IKF2", ids to a block (u32), bit lengths (u32), documents (u32), blocks (u32), ids (u64); the
+CRC-32 of all that stands before the words but itself (u32); per document its id (i64, with a null flag in a bitmap) and length
+(u32); per block its number of 16-bit words (u32), their CRC-32 (u32) and that of its ids as u32 (u32); then the words of all
+blocks, and nothing after them.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import numpy as np
 
 BLOCK = 4096
 MAX_ID = (1 << 17) - 1
-MAGIC = b"IKF1"
+MAGIC = b"IKF2"
 _HEAD = "<4sIIIIQ"
 _TABLE = 11
 _CONF = 16
@@ -226,30 +227,35 @@ def encode_frame(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
     if len(ids) and (ids.min() < 0 or ids.max() > MAX_ID):
         raise FrameError(f"ids must lie in 0..{MAX_ID}")
     classes = int(ids.max()).bit_length() + 1 if len(ids) else 1
-    words = encode_blocks(ids, classes)
+    words = [w.tobytes() for w in encode_blocks(ids, classes)]
     raw = ids.astype("<u4")
-    sums = [zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK]) for k in range(len(words))]
+    head = struct.pack(_HEAD, MAGIC, BLOCK, classes, len(doc_ids), len(words), len(ids))
     known = np.array([d is not None for d in doc_ids], bool)
-    return b"".join([
-        struct.pack(_HEAD, MAGIC, BLOCK, classes, len(doc_ids), len(words), len(ids)),
+    tables = b"".join([
         np.packbits(known, bitorder="little").tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(),
         lengths.astype("<u4").tobytes(),
-        np.array([len(w) for w in words], "<u4").tobytes(),
-        np.array(sums, "<u4").tobytes(),
-        *[w.tobytes() for w in words],
+        np.array([len(w) // 2 for w in words], "<u4").tobytes(),
+        np.array([zlib.crc32(w) for w in words], "<u4").tobytes(),
+        np.array([zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK]) for k in range(len(words))], "<u4").tobytes(),
     ])
+    return b"".join([head, struct.pack("<I", zlib.crc32(tables, zlib.crc32(head))), tables, *words])
 
 
 def decode_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(document ids, lengths, ids); FrameError if anything doesn't fit its checksum."""
+    """(document ids, lengths, ids); FrameError if any byte doesn't fit its checksum."""
+    size = struct.calcsize(_HEAD)
     try:
         magic, block, classes, docs, blocks, total = struct.unpack_from(_HEAD, frame)
+        (told,) = struct.unpack_from("<I", frame, size)
     except struct.error as e:
         raise FrameError("no header") from e
     if magic != MAGIC or block != BLOCK:
         raise FrameError("not a frame of this version")
-    at = struct.calcsize(_HEAD)
+    start = at = size + 4
+    end = start + -(-docs // 8) + 12 * docs + 12 * blocks
+    if len(frame) < end or zlib.crc32(frame[start:end], zlib.crc32(frame[:size])) != told:
+        raise FrameError("header")
 
     def take(kind: str, n: int) -> np.ndarray:
         nonlocal at
@@ -257,13 +263,14 @@ def decode_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
         at += out.nbytes
         return out
 
-    try:
-        known = np.unpackbits(take("u1", -(-docs // 8)), bitorder="little")[:docs]
-        doc_ids = [d if k else None for d, k in zip(take("<i8", docs).tolist(), known.tolist(), strict=True)]
-        lengths, sizes, sums = take("<u4", docs), take("<u4", blocks), take("<u4", blocks)
-        words = [take("<u2", n) for n in sizes.tolist()]
-    except ValueError as e:
-        raise FrameError("cut short") from e
+    known = np.unpackbits(take("u1", -(-docs // 8)), bitorder="little")[:docs]
+    doc_ids = [d if k else None for d, k in zip(take("<i8", docs).tolist(), known.tolist(), strict=True)]
+    lengths, sizes, coded, sums = take("<u4", docs), take("<u4", blocks), take("<u4", blocks), take("<u4", blocks)
+    if len(frame) != end + 2 * int(sizes.sum()):
+        raise FrameError("cut short, or longer than it says")
+    words = [take("<u2", n) for n in sizes.tolist()]
+    if any(zlib.crc32(w) != s for w, s in zip(words, coded.tolist(), strict=True)):
+        raise FrameError("block")
     ids = decode_blocks(words, total, classes)
     raw = ids.astype("<u4")
     if int(lengths.sum()) != total or any(zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK]) != s for k, s in enumerate(sums.tolist())):

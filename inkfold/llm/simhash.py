@@ -7,7 +7,8 @@ t_i with sum(t_i) = MAX_BITS - m + 1, so two linked fingerprints differ in at mo
 thresholds are the cheapest by dynamic programming over probes plus estimated candidates; the estimate is a beta-binomial
 fitted to the mean and variance of the distance within a partition, which follow from counts of bit pairs over all
 fingerprints. Any choice finds every link: the estimate decides cost only. A fingerprint is filed under its partition values
-and probes the values up to t_i bits away; rows that meet are verified on all 64 bits. Whatever meets in one task is reduced
+and probes the values up to t_i bits away; rows that meet are verified on all 64 bits. Buckets of over HOT_BUCKET rows, counted
+first, are dealt again by the other bits. Whatever meets in one task is reduced
 to a spanning forest before it leaves, so a group of many near copies gives a row a member, not a row a pair.
 
 Defined results: a text without words (null, empty, blank) has fingerprint zero and links like any other; fewer words than a
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import jaccard
-from .common import written
+from .common import join_small, written
 from .components import components
 from .packed import trimmed
 
@@ -41,6 +42,8 @@ MAX_PARTS = 4
 CANDIDATE_COST = 0.5
 #: Rows of a bucket up to which all pairs are compared at once; larger buckets are searched from row to row.
 SMALL_BUCKET = 48
+#: Rows of a bucket up to which one task searches it.
+HOT_BUCKET = 500_000
 _PIECE = 1 << 16
 
 
@@ -178,37 +181,82 @@ def _forest(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[int], list
     return nodes, [find(x) for x in nodes]
 
 
-def _links(part: np.ndarray, key: np.ndarray, own: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Verified links within the buckets of sorted rows; of a large bucket only those of a search tree."""
-    new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
-    size = np.diff(np.r_[new, len(fp)])
-    live = (size > 1) & (np.add.reduceat(own.astype(np.int64), new) > 0)
+def _pairs(fp: np.ndarray, new: np.ndarray, size: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """All links within runs of SMALL_BUCKET rows or fewer."""
     pairs = []
-    fp = fp.view(np.uint64)
-    little = live & (size <= SMALL_BUCKET)
-    if little.any():
-        sizes = size[little]
-        rows = np.repeat(new[little] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
-        left = np.repeat(sizes, sizes) - (np.arange(sizes.sum()) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)) - 1
-        for d in range(1, int(sizes.max())):
+    if len(size):
+        first = np.repeat(new - np.r_[0, np.cumsum(size)[:-1]], size)
+        rows = first + np.arange(size.sum())
+        left = np.repeat(new + size, size) - rows - 1
+        for d in range(1, int(size.max())):
             a = rows[left >= d]
             near = np.bitwise_count(fp[a] ^ fp[a + d]) <= bits
             if near.any():
                 pairs.append((fp[a[near]].view(np.int64), fp[a[near] + d].view(np.int64)))
+    return pairs
+
+
+def _tree(rest: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links of a search tree over distinct fingerprints."""
+    pairs = []
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = np.bitwise_count(rest ^ x) <= bits
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                pairs.append((np.repeat(x, len(found)).view(np.int64), found.view(np.int64)))
+                front.extend(found)
+    return pairs
+
+
+def _links(new: np.ndarray, own: np.ndarray, fp: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Verified links within the buckets, which begin at `new`; of a large bucket only those that keep its components.
+
+    A large bucket is dealt by each of bits + 1 equal slices of the 64 bits in turn: two linked rows are equal in one of them.
+    """
+    size = np.diff(np.r_[new, len(fp)])
+    live = (size > 1) & (np.add.reduceat(own.astype(np.int64), new) > 0)
+    fp = fp.view(np.uint64)
+    little = live & (size <= SMALL_BUCKET)
+    pairs = _pairs(fp, new[little], size[little], bits)
+    edges = [64 * k // (bits + 1) for k in range(bits + 2)]
     for at, n in zip(new[live & ~little].tolist(), size[live & ~little].tolist(), strict=True):
-        rest = np.unique(fp[at : at + n])
-        while len(rest):
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                x = front.pop()
-                near = np.bitwise_count(rest ^ x) <= bits
-                if near.any():
-                    found, rest = rest[near], rest[~near]
-                    pairs.append((np.repeat(x, len(found)).view(np.int64), found.view(np.int64)))
-                    front.extend(found)
+        every = np.unique(fp[at : at + n])
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            part = every >> np.uint64(lo) & np.uint64((1 << (hi - lo)) - 1)
+            order = np.argsort(part, kind="stable")
+            part, dealt = part[order], every[order]
+            runs = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            long = np.diff(np.r_[runs, len(part)])
+            few = long <= SMALL_BUCKET
+            pairs += _pairs(dealt, runs[few & (long > 1)], long[few & (long > 1)], bits)
+            for s, m in zip(runs[~few].tolist(), long[~few].tolist(), strict=True):
+                pairs += _tree(dealt[s : s + m], bits)
     return pairs
 
 
+def _spread(filed: DataFrame, parts: list[tuple[list[int], int]], bits: int) -> DataFrame:
+    """filed with its buckets of over HOT_BUCKET rows dealt anew, by each of bits + 1 groups of the bits outside their part.
+
+    Rows linked within a bucket are equal in its part and differ in `bits` others at most, so in one group they are equal.
+    """
+    hot = written(filed.groupBy("part", "key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > HOT_BUCKET).select(F.struct("part", "key").alias("at"), F.lit(True).alias("hot")), "hot-buckets")
+    filed = filed.withColumn("at", F.struct("part", "key"))
+    rows = join_small(filed, hot, "at", F.col("fp")).drop("at")
+    groups = []
+    for k, (own, _) in enumerate(parts):
+        rest = [b for b in range(64) if b not in own]
+        masks = [sum(1 << b for b in rest[g :: bits + 1]) for g in range(bits + 1)]
+        groups.append((k, F.array(*[F.struct(F.lit(g).alias("group"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value")) for g, m in enumerate(masks)])))
+    cold = F.array(F.struct(F.lit(-1).alias("group"), F.lit(0).cast("long").alias("value")))
+    dealt = F.when(F.col("hot").isNull(), cold)
+    for k, made in groups:
+        dealt = dealt.when(F.col("part") == k, made)
+    return rows.withColumn("_g", F.explode(dealt)).select("part", "key", "_g.group", "_g.value", "own", "fp")
+
+
 def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """Edges (a, b) between different fingerprints whose components are those of all links of at most `bits` bits."""
     n, together = bit_counts(nodes)
@@ -217,7 +265,8 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             if len(rows[0]) > 1:
-                a, b = _forest(_links(*rows, bits))
+                new = np.flatnonzero(np.r_[True, np.any([x[1:] != x[:-1] for x in rows[:4]], axis=0)])
+                a, b = _forest(_links(new, *rows[4:], bits))
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -226,7 +275,7 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
             rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             rows = rows if kept is None else [np.concatenate(x) for x in zip(kept, rows, strict=True)]
             if len(rows[0]):
-                cut = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+                cut = np.flatnonzero(np.any([x != x[-1] for x in rows[:4]], axis=0))
                 cut = cut[-1] + 1 if len(cut) else 0  # the last bucket may go on in the next batch
                 yield from told([x[:cut] for x in rows])
                 rows = [x[cut:] for x in rows]
@@ -236,7 +285,8 @@ def links(nodes: DataFrame, bits: int = MAX_BITS) -> DataFrame:
 
     if not parts:
         return nodes.sparkSession.createDataFrame([], "a long, b long")
-    met = _filed(nodes, parts).repartition("part", "key").sortWithinPartitions("part", "key")
+    bucket = ["part", "key", "group", "value"]
+    met = _spread(_filed(nodes, parts), parts, bits).repartition(*bucket).sortWithinPartitions(*bucket)
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -257,20 +307,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with its columns, less all but one of each component of near copies (jaccard.py): the first by doc_id,
-    nulls last. The digest's shingles and bits are op1's alone.
+    """The rows of docs, with its columns, less all but one of each component of near copies: the first by doc_id, nulls last.
 
-    Rows equal in doc_id and text are one document. Joins of texts are sort-merge joins whatever the size, with the keys of
-    those that stay or are compared.
+    Near copies have five-word shingles at Jaccard 0.8 or more (jaccard.py), not the digest's three words and bits. SimHash links
+    of fingerprints over these shingles join the closest copies, each link verified on its sets; minimum hashes find the others.
+    Rows equal in doc_id and text are one document, of which the row with the least hash of its other columns is kept. Joins of
+    texts are sort-merge joins whatever the size, with the keys of those that stay or are compared; the key has 128 bits.
     """
-    ref = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    ref = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("text", F.lit(""))))
     slim = docs.select(F.col("doc_id").cast("long"), ref.alias("_ref"), "text")
     rows = written(jaccard.with_nodes(slim), "prints")
     first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_ref").alias("r"))
-    tree = jaccard.roots(slim, rows).withColumnRenamed("node", "_node")
+    tree = jaccard.roots(slim, rows, links).withColumnRenamed("node", "_node")
     nodes = rows.groupBy("node").agg(F.min(first).alias("keeper"))
     rooted = nodes.join(tree.hint("merge"), F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("root"), "keeper")
     kept = written(rooted.groupBy("root").agg(F.min("keeper").alias("keeper")).select(F.col("keeper.r").alias("_kept")).distinct(), "kept")
-    whole = docs.select(F.struct("*").alias("_doc"), ref.alias("_ref"))
+    others = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c != "text"])))
+    whole = docs.select(F.struct("*").alias("_doc"), ref.alias("_ref"), others.alias("_others"))
     stay = whole.join(kept.hint("merge"), F.col("_ref") == F.col("_kept"), "left_semi")
-    return stay.dropDuplicates(["_ref"]).select("_doc.*")
+    return stay.groupBy("_ref").agg(F.min_by("_doc", "_others").alias("_doc")).select("_doc.*")

@@ -9,8 +9,9 @@ The graph's edges are the k-mers of WINDOW words, its nodes what consecutive k-m
 3. Paths. Where a k-mer and the next are repeated equally often, the first has one successor and the second one predecessor,
    the node between them is nonbranching, and they belong to one path. Documents cut their repeated stretches at all other
    nodes: each piece is a whole nonbranching path, one row with its source coordinates, however long it is.
-4. Joins. Paths are grouped by a 128-bit hash of their words, the first source (doc_id, then start) owns each, and a join
-   back to the sources marks all others. The hash of the words verifies the span: hash collisions of k-mers before only cost.
+4. Joins. Paths are grouped by a 128-bit hash of all their words, the first source (doc_id, then start) owns each, and a join
+   back to the sources marks all others. This hash verifies the span, the words themselves do not move: 64-bit collisions of
+   k-mers before only cost, and among 10^13 paths the chance that any two of 128 bits collide is about 1 in 10^13.
 5. Words of k-mers on marked paths are removed.
 
 Documents without a repeated anchor are done in step 2 and carry no text further. All exchanges are packed (packed.py): a
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,11 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, written
-from .packed import WordHash, bucket_edges, by_block, dealt, pieces, rolling, sliding, trimmed
+from .packed import WordHash, bucket_edges, buckets_for, by_block, dealt, from_planes, pieces, planes, rolling, sliding, trimmed
 
 WINDOW = 20
 ANCHOR = 8
 _MANY = np.uint32(0xFFFFFFFF)
+_ONE, _TWO = np.uint64(1), np.uint64(2)
 _EDGE_OF_TEXT = np.uint32(0)
 
 
@@ -134,6 +137,8 @@ def _anchor_rows(src: DataFrame, n: int, window: int, anchor: int) -> DataFrame:
             live = np.repeat(count > 1, count) & (k == 0)
             refs, data = grouped(r[live], v[live])
             yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(data, pa.binary())], names=["ref", "data"])
+        del vs, rs, ks
+        trimmed()
 
     asked = src.select("_ref", "text").mapInArrow(ask, "bucket int, kind int, ref long, data binary")
     return dealt(asked, n, "bucket").mapInArrow(answer, "ref long, data binary")
@@ -169,7 +174,7 @@ def _merged(e: np.ndarray, count: np.ndarray, before: np.ndarray, after: np.ndar
     place = np.empty(len(e), np.int64)
     place[order] = np.cumsum(new) - 1
     one = lambda x: np.where(np.minimum.reduceat(x, at) == np.maximum.reduceat(x, at), x[at], _MANY)
-    return e[at], np.add.reduceat(count[order], at, dtype=np.uint32), one(before[order]), one(after[order]), place
+    return e[at], np.add.reduceat(count[order], at, dtype=np.uint64), one(before[order]), one(after[order]), place
 
 
 def _edge_step(src: DataFrame, anchors: DataFrame, n: int, window: int, anchor: int) -> DataFrame:
@@ -203,7 +208,7 @@ def _edge_step(src: DataFrame, anchors: DataFrame, n: int, window: int, anchor:
                 edges = bucket_edges(e, n)
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     s, t = edges[k], edges[k + 1]
-                    out.append((2, None, None, None, block, k, b"".join(x[s:t].tobytes() for x in (e, count, before, after))))
+                    out.append((2, None, None, None, block, k, b"".join(x[s:t].tobytes() for x in (e, count.astype(np.uint32), before, after))))
                 block += 1
             yield _step(out)
         del hashes
@@ -212,8 +217,13 @@ def _edge_step(src: DataFrame, anchors: DataFrame, n: int, window: int, anchor:
     return written(rows.mapInArrow(run, _STEP), "edges", "kind")
 
 
+def packed_edges(count: np.ndarray, one_before: np.ndarray, one_after: np.ndarray) -> np.ndarray:
+    """times << 2 | one predecessor << 1 | one successor, in 64 bits: counts below 2^62 keep their value."""
+    return count.astype(np.uint64) << _TWO | one_before.astype(np.uint64) << _ONE | one_after.astype(np.uint64)
+
+
 def _edge_answers(asked: DataFrame, n: int) -> DataFrame:
-    """block, bucket, data: for each k-mer that a block asked for, times << 2 | one predecessor << 1 | one successor."""
+    """block, bucket, data: packed_edges of each k-mer that a block asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, parts = [], []
@@ -225,11 +235,12 @@ def _edge_answers(asked: DataFrame, n: int) -> DataFrame:
                 rows.append((block, bucket, m))
         if rows:
             _, count, before, after, place = _merged(*[np.concatenate(x) for x in zip(*parts, strict=True)])
-            told = (count.astype(np.uint32) << np.uint32(2)) | ((before != _MANY).astype(np.uint32) << np.uint32(1)) | (after != _MANY)
-            told, at = told.astype(np.uint32)[place], np.r_[0, np.cumsum([m for *_, m in rows])].tolist()
+            told, at = packed_edges(count, before != _MANY, after != _MANY)[place], np.r_[0, np.cumsum([m for *_, m in rows])].tolist()
             for k in range(0, len(rows), 500):
                 some = rows[k : k + 500]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int32()), pa.array([told[at[k + j] : at[k + j + 1]].tobytes() for j in range(len(some))], pa.binary())], names=["block", "bucket", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int64()), pa.array([x[1] for x in some], pa.int32()), pa.array([struct.pack("<I", x[2]) + planes(told[at[k + j] : at[k + j + 1]]) for j, x in enumerate(some)], pa.binary())], names=["block", "bucket", "data"])
+        del rows, parts
+        trimmed()
 
     return dealt(asked.select("block", "bucket", "data"), n, "bucket").mapInArrow(run, "block long, bucket int, data binary")
 
@@ -256,11 +267,11 @@ def _paths(blocks: DataFrame, answers: DataFrame, n: int, window: int, anchor: i
             at = np.concatenate([x + w.first[i] for i, x in enumerate(live)])
             e, before, after = _kmers(w, at)
             *_, place = _merged(e, np.ones(len(e), np.uint32), before, after)
-            told = np.frombuffer(b"".join(r[2] for r in rows[1:]), np.uint32)[place]
-            times = told >> np.uint32(2)
-            again = times > 1
+            told = np.concatenate([from_planes(r[2], struct.unpack_from("<I", r[2])[0], 4) for r in rows[1:]])[place]
+            times = told >> _TWO
+            again = times > _ONE
             joined = np.zeros(len(at), bool)
-            joined[1:] = again[1:] & again[:-1] & (at[1:] == at[:-1] + 1) & (w.doc[at[1:]] == w.doc[at[:-1]]) & (times[1:] == times[:-1]) & ((told[1:] & 2) > 0) & ((told[:-1] & 1) > 0)
+            joined[1:] = again[1:] & again[:-1] & (at[1:] == at[:-1] + 1) & (w.doc[at[1:]] == w.doc[at[:-1]]) & (times[1:] == times[:-1]) & ((told[1:] & _TWO) > 0) & ((told[:-1] & _ONE) > 0)
             heads = np.flatnonzero(again & ~joined)
             stops = np.flatnonzero(~joined)
             ends = np.r_[stops, len(at)][np.searchsorted(stops, heads) + 1]
@@ -306,7 +317,7 @@ def _removed(blocks: DataFrame, marked: DataFrame, n: int, window: int) -> DataF
 
 def repeated_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(finished documents, blocks of the others, paths with `first` = whether this place owns the path)."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets_for(docs)
     src = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.col("doc_id").cast("long"), "text").alias("_ref"))
     anchors = written(_anchor_rows(src, n, window, anchor), "anchors")
     step = _edge_step(src, anchors, n, window, anchor)
@@ -323,7 +334,7 @@ def repeated_paths(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: a row a document."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets_for(docs)
     done, blocks, paths = repeated_paths(docs, window, anchor)
     marked = written(paths.filter("not first"), "marked")
     return done.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256").unionAll(_removed(blocks, marked, n, window))

@@ -142,6 +142,26 @@ def test_simhash_search_finds_every_link(spark):
     assert {r.fp: r.component_id for r in simhash.classes(nodes).collect()} == {p: find(i) for i, p in enumerate(signed)}
 
 
+def test_simhash_hot_buckets(spark, monkeypatch):
+    """Components do not change when every bucket is dealt anew, and when every bucket is large."""
+    rnd = np.random.default_rng(4)
+    prints = {int(c) ^ sum(1 << int(b) for b in rnd.choice(64, k, replace=False)) for c in rnd.integers(0, 1 << 62, 12) for k in (0, 1, 1, 2, 3, 4, 6) for _ in range(6)}
+    prints |= {x & 0xFFFFFFFFFFFF | 5 << 48 for x in prints}
+    nodes = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i, i) for i, x in enumerate(sorted(prints))], "fp long, first long, keeper long")
+    want = sorted(map(tuple, simhash.classes(nodes).select("fp", "component_id").collect()))
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 3)
+    assert sorted(map(tuple, simhash.classes(nodes).select("fp", "component_id").collect())) == want
+    every = np.array(sorted(prints), np.uint64).view(np.int64)
+    monkeypatch.setattr(simhash, "SMALL_BUCKET", 4)
+    found = simhash._forest(simhash._links(np.array([0]), np.ones(len(every), bool), every, 3))
+    least = {x: i for i, x in enumerate(every.tolist())}
+    group = {x: x for x in least} | dict(zip(*found, strict=True))
+    ids = {}
+    for x in least:
+        ids[group[x]] = min(ids.get(group[x], 1 << 60), least[x])
+    assert sorted((x, ids[group[x]]) for x in least) == want
+
+
 def test_simhash_plan_spends_the_whole_budget():
     together = np.full((64, 64), 250.0)
     np.fill_diagonal(together, 500)
@@ -184,14 +204,20 @@ def test_range_coder_round_trip(n, top):
     frame = rangecoder.encode_frame([5, None], np.array([n, 0]), ids)
     doc_ids, lengths, out = rangecoder.decode_frame(frame)
     assert doc_ids == [5, None] and lengths.tolist() == [n, 0] and np.array_equal(out, ids)
-    if n:
-        bad = bytearray(frame)
-        bad[-3] ^= 0x55
-        with pytest.raises(rangecoder.FrameError):
-            rangecoder.decode_frame(bytes(bad))
-            raise rangecoder.FrameError("the change fell on unused bits")
+    for cut in (frame[:20], frame[:-1], frame + b"\0"):
         with pytest.raises(rangecoder.FrameError):
-            rangecoder.decode_frame(frame[:20])
+            rangecoder.decode_frame(cut)
+
+
+def test_range_coder_finds_every_changed_byte():
+    ids = np.random.default_rng(1).integers(0, 50_000, 150)
+    frame = rangecoder.encode_frame([7, None, -3], np.array([100, 0, 50]), ids)
+    for at in range(len(frame)):
+        for flip in (1, 0x80):
+            bad = bytearray(frame)
+            bad[at] ^= flip
+            with pytest.raises(rangecoder.FrameError):
+                rangecoder.decode_frame(bytes(bad))
 
 
 def test_range_coder_refuses_large_ids():
@@ -339,6 +365,61 @@ def test_quality_classifier_held_out(spark):
     assert sum(r.kept != (not truth[r.doc_id][0] and not truth[r.doc_id][1]) for r in held if r.doc_id in truth) <= 6
 
 
+def test_quality_classifier_by_brute_force(spark):
+    """Weights by dense steps, sums of weights, shrunk site rates and posterior, all computed anew in plain Python."""
+    import random
+
+    rnd = random.Random(9)
+    docs, labels = [], []
+    for i in range(160):
+        bad = rnd.random() < 0.4
+        docs.append((i, " ".join(rnd.choices(["ill", "poor", "x"] if bad else ["fine", "well", "x"], k=rnd.randint(3, 9))), rnd.choice(["en", "fr", None]), rnd.choice(["a", "b", "c", None])))
+        if i % 4:
+            labels.append((i, int(not bad) if i % 9 else None, int(bad and rnd.random() < 0.5)))
+    labels += [labels[5], (7777, 1, 1), (None, 0, 1)]
+    got = {r.doc_id: r for r in quality_classifier.quality_classifier(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    text, site = {d[0]: d[1].encode() for d in docs}, {d[0]: (d[3], d[2]) for d in docs}
+    used = [x for x in labels if x[0] in text]
+    held = Counter(f for x in used for f in quality_classifier.features(text[x[0]]))
+    names = sorted(f for f, k in held.items() if k >= quality_classifier.MIN_HELD)
+    for k, target in enumerate(quality_classifier.TARGETS):
+        known = [x for x in used if x[1 + k] is not None]
+        x = np.array([[f in quality_classifier.features(text[d[0]]) for f in names] for d in known], float)
+        y = np.array([d[1 + k] for d in known], float)
+        base = math.log(y.mean() / (1 - y.mean()))
+        w, b, seen = np.zeros(len(names)), base, np.full(len(names), 1e-8)
+        for _ in range(quality_classifier.STEPS):
+            g = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+            seen += (x.T @ g) ** 2
+            step = quality_classifier.RATE / np.sqrt(seen)
+            w = w - step * (x.T @ g)
+            w = np.sign(w) * np.maximum(abs(w) - step * quality_classifier.PENALTY, 0)
+            b -= 2 * quality_classifier.RATE * g.sum()
+
+        def rates(key):
+            n, p = Counter(), Counter()
+            for d in known:
+                n[key(d[0])] += 1
+                p[key(d[0])] += d[1 + k]
+            return n, p
+
+        def strength(n, p):
+            r = [p[s] / n[s] for s in n]
+            m, v = sum(p.values()) / sum(n.values()), np.var(r)
+            return m, (min(max(m * (1 - m) / v - 1, quality_classifier.PRIOR_MIN), quality_classifier.PRIOR_MAX) if v > 0 else quality_classifier.PRIOR_MAX)
+
+        hn, hp = rates(lambda d: site[d][0])
+        pn, pp = rates(lambda d: site[d])
+        (top, hk), (_, pk) = strength(hn, hp), strength(pn, pp)
+        for d, t in text.items():
+            evidence = b - base + sum(w[i] for i, f in enumerate(names) if f in quality_classifier.features(t))
+            host = (hp[site[d][0]] + top * hk) / (hn[site[d][0]] + hk)
+            prior = (pp[site[d]] + host * pk) / (pn[site[d]] + pk)
+            want = 1 / (1 + math.exp(-(evidence + math.log(prior / (1 - prior)))))
+            r = got[d]
+            assert (r[f"evidence_{target}"], r[f"prior_{target}"], r[f"p_{target}"]) == pytest.approx((evidence, prior, want), abs=1e-6), (d, target)
+
+
 def test_quality_classifier_without_labels(docs, rows, spark):
     got = quality_classifier.quality_classifier(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(rows) and all(r.kept for r in got)
@@ -381,6 +462,8 @@ def test_leaks_by_brute_force(spark):
             m = decontaminate.split_words((x or "").encode())
             if len(m) >= decontaminate.MIN_ITEM_WORDS and (k := distance(m, w)) <= len(m) * decontaminate.EDIT_PERCENT // 100:
                 want.add((d, i, k))
+            elif m and len(m) < decontaminate.MIN_ITEM_WORDS and m == w:
+                want.add((d, i, 0))
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.leaks(d, b).collect()
     assert {(r.doc_id, r.item_id, r.distance) for r in got} == want
@@ -392,6 +475,22 @@ def test_leaks_by_brute_force(spark):
     assert decontaminate.leaks(d, b.limit(0)).count() == 0 and decontaminate.keep_clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_leaks_of_short_items_and_unspaced_scripts(spark):
+    zh = "机器学习模型在大规模语料上训练并评估"
+    docs = [(1, "Paris!"), (2, "I went to Paris"), (3, f"前言{zh}后记"), (4, f"前言{zh[:8]}猫{zh[9:]}后记"), (5, "今天天气很好我们去公园散步吧朋友们"), (6, None)]
+    items = spark.createDataFrame([(1, "paris"), (2, zh), (3, "")], "item_id long, text string")
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in got} == {(1, 1, 0), (3, 2, 0), (4, 2, 1)}
+
+
+def test_leaks_in_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(i, f"item {i} has words of its own number{i}") for i in range(10)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"so item {i} has words of its own number{i} here") for i in range(10)], "doc_id long, text string")
+    want = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 60)
+    assert sorted(map(tuple, decontaminate.leaks(docs, items).collect())) == want and decontaminate.keep_clean(docs, items).count() == 0
+
+
 # 7 substrings
 
 
@@ -414,6 +513,16 @@ def test_substring_dedup(docs, rows):
     same(substring_dedup.substring_dedup(docs).collect(), repeats(rows))
 
 
+def test_substring_counts_have_64_bits():
+    """A k-mer found 2^30 times or more keeps its count; sums over blocks do too."""
+    count = np.array([1, 2, 1 << 30, (1 << 30) + 1, 1 << 32, 1 << 40], np.uint64)
+    told = substring_dedup.packed_edges(count, np.ones(6, bool), np.zeros(6, bool))
+    assert (told >> np.uint64(2)).tolist() == count.tolist() and ((told & np.uint64(3)) == 2).all()
+    e = np.array([5, 5, 9], np.uint64)
+    big = np.full(3, 0xFFFFFFFF, np.uint32)
+    assert substring_dedup._merged(e, big, big, big)[1].tolist() == [2 * 0xFFFFFFFF, 0xFFFFFFFF]
+
+
 def test_substring_dedup_on_tangles(spark):
     import random
 
@@ -450,6 +559,20 @@ def test_mixing_takes_near_target(docs, rows):
     assert taken.columns == docs.columns and taken.count() == sum(r.copies for r in got)
 
 
+def test_mixing_ranks_few_rows_of_any_source(spark):
+    """A source capped at three times its size, and one with most documents: the range that is ranked row by row stays small."""
+    rows = [(i, "a b c d", "big") for i in range(20_000)] + [(100_000 + i, "x", "capped") for i in range(3_000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d)
+    capped = got.filter("doc_id >= 100000").collect()
+    assert all(r.taken == 3 and r.target == 9000.0 for r in capped)
+    sized = got.selectExpr("doc_id", "size", "source_size", "doc_id < 100000 as big").withColumn("n_docs", F.when(F.col("big"), 20_000).otherwise(3_000))
+    u = (F.col("doc_id") % 3_000 + 0.5) / 3_000
+    for part in (1e-9, 0.3, 1 - 1e-9):
+        filed = mixing.filed(sized.withColumn("_u", u), F.lit(part))
+        assert filed.groupBy("big", "_bucket").count().agg(F.max("count")).first()[0] <= 2 * mixing.TILT * mixing.BUCKET_ROWS
+
+
 def test_mixing_caps_and_reshares(spark):
     sizes = spark.createDataFrame([("a", 1000, 5), ("b", 10, 5), ("c", 100, 5), (None, 7, 1)], "source string, source_size long, n_docs long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
