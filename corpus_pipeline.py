@@ -1,9 +1,10 @@
 """A corpus pipeline: each stage works on all that the one before kept; its result is written and read again.
 
-Quality rules drop what they reject, near-dedup keeps one document of each group of near copies (five-word shingles, Jaccard 0.8), decontamination drops documents
-that hold a benchmark item, mixing repeats or drops documents toward the sources' target weights, and the last stage encodes
-what is left as token-id frames and returns doc_id, start, n_tokens, ids_crc32 from them. The other stages return the columns
-of their input. Null texts, empty tables and repeated rows are handled as the operators' docstrings say.
+Quality rules drop what they reject, near-dedup keeps one document of each group of near copies (five-word shingles at Jaccard
+0.8: SimHash links, then minimum hashes for what their bits cannot reach), decontamination drops documents that hold a benchmark
+item, mixing repeats or drops documents toward the sources' target weights, and the last stage encodes what is left as token-id
+frames and returns doc_id, start, n_tokens, ids_crc32 from them. The other stages return the columns of their input. Null texts
+and doc_ids, empty tables and repeated rows are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", rules),
-    ("near-dedup at Jaccard 0.8", dedup),
+    ("SimHash near-dedup", dedup),
     ("benchmark decontamination", decontaminated),
     ("mixing sources to target weights", mixture),
     ("token-ID / binary output", tokens),
