@@ -187,29 +187,41 @@ def _answer(rows: list[tuple], kind: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def _tokens(docs: DataFrame, n: int) -> DataFrame:
-    """A block's tokens, and what it asks of words and pairs."""
+def _tokens(docs: DataFrame) -> DataFrame:
+    """The written table of the blocks' tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, block = WordHash(), TaskContext.get().partitionId() << 32
         for ids, texts in gathered(batches, LM_BLOCK_BYTES):
             b = _Block.of(ids, texts, hashes)
             texts.clear()
-            rows = [(block, TOKENS, block % n, b.dumped())]
-            rows += _asked(block, b.vocab, b.counted(b.place, len(b.vocab)), n, 1)
-            rows += _asked(block, b.pairs, b.counted(b.pair, len(b.pairs)), n, 2)
+            yield _batch([(block, TOKENS, 0, b.dumped())])
             del b
-            yield _batch(rows)
             block += 1
         del hashes
         trimmed()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW)
+    return written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _ROW), "tokens", batch=1_000)
+
+
+def _first_asked(tokens: DataFrame, n: int) -> DataFrame:
+    """What the blocks ask of words and pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                b = _Block.loaded(data.as_buffer())
+                yield _batch(_asked(block, b.vocab, b.counted(b.place, len(b.vocab)), n, 1))
+                yield _batch(_asked(block, b.pairs, b.counted(b.pair, len(b.pairs)), n, 2))
+                del b
+        trimmed()
+
+    return tokens.select("block", "data").mapInArrow(run, _ROW)
 
 
 def _answers(asked: DataFrame, n: int, name: str) -> DataFrame:
     """For each row asked, one with twice the global counts, plus one for what one block alone asked for; for words also a row with
-    a bucket's sums. Tokens pass through."""
+    a bucket's sums."""
 
     def summed(kind: int, bucket: int, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         key, count = (np.concatenate([r[k] for r in rows]) for k in (1, 2))
@@ -236,9 +248,6 @@ def _answers(asked: DataFrame, n: int, name: str) -> DataFrame:
         held: dict[tuple[int, int], list] = {}
         for b in batches:
             for block, kind, bucket, data in zip(*[b.column(k).to_pylist() for k in range(3)], b.column(3), strict=True):
-                if kind == TOKENS:
-                    yield _batch([(block, kind, bucket, data.as_py())])
-                    continue
                 raw = data.as_buffer().to_pybytes()
                 keys = _keys(raw)
                 held.setdefault((kind, bucket), []).append((block, keys, from_planes(raw, len(keys), 4 + 8 * len(keys)).astype(np.int64)))
@@ -246,7 +255,7 @@ def _answers(asked: DataFrame, n: int, name: str) -> DataFrame:
             yield from summed(*key, held.pop(key))
         trimmed()
 
-    return written(dealt(asked, n, "bucket").mapInArrow(run, _ROW), name, "kind", batch=200)
+    return written(dealt(asked, n, "bucket").mapInArrow(run, _ROW), name, "kind", batch=20)
 
 
 def _met(n: int, *parts: DataFrame) -> DataFrame:
@@ -259,7 +268,8 @@ def _met(n: int, *parts: DataFrame) -> DataFrame:
 def lm_score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row a document."""
     n = buckets_for(docs)
-    first = _answers(_tokens(docs, n), n, "words-pairs")
+    tokens = _tokens(docs)
+    first = _answers(_first_asked(tokens, n), n, "words-pairs")
     sums = [struct.unpack("<2q", r["data"]) for r in first.filter(F.col("kind") == SUMS).select("data").collect()]  # a row a bucket
     total, distinct = (sum(x[k] for x in sums) for k in range(2))
     known = first.filter(F.col("kind") != SUMS)
@@ -272,7 +282,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
             del b
         trimmed()
 
-    second = _answers(_met(n, known).mapInArrow(ask, _ROW), n, "triples")
+    second = _answers(_met(n, tokens, known).mapInArrow(ask, _ROW), n, "triples")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in by_block(batches):
@@ -288,7 +298,7 @@ def lm_score(docs: DataFrame) -> DataFrame:
             del b, base, score
         trimmed()
 
-    out = written(_met(n, known, second).mapInArrow(walk, _OUT), "scores", batch=200)
-    dropped(first)
-    dropped(second)
+    out = written(_met(n, tokens, known, second).mapInArrow(walk, _OUT), "scores", batch=20)
+    for table in (tokens, first, second):
+        dropped(table)
     return out
