@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import argparse
 import sys
-from pathlib import Path
 
 STAGES = ("rank", "profile", "align", "typography", "glyphs")
 
@@ -19,62 +18,78 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("output")
     p.add_argument("--projects", type=int, default=50)
     p.add_argument("--pages", type=int, default=12)
+    p.add_argument("--ranked", help="output of an earlier rank run, whose selection is taken as it stands")
+    p.add_argument("--selected-only", action="store_true", help="measure the selected pages alone, not the whole books")
+    p.add_argument("--witness", help="a recogniser's JSON lines for the one project measured")
     return p
 
 
-def tables(spark, stage: str, root: str, projects: int, pages: int, keep) -> dict:
+def tables(spark, a: argparse.Namespace, keep) -> dict:
     """The tables of a stage; keep(name, table) writes what later stages read twice and gives it back."""
+    from inkfold.operators.pages import aligned
     from inkfold.plans import stages as S
-    from inkfold.sources import corpus
+    from inkfold.sources import corpus, report
 
-    ranked = S.rank(spark, root, projects, pages)
-    if stage == "rank":
+    ranked = S.rank(spark, a.corpus, a.projects, a.pages)
+    if a.stage == "rank":
         return {k: ranked[k] for k in ("projects", "pages", "diagnostics")}
-    scans = corpus.scans(spark, root)
-    profile = S.profile(scans)
-    if stage == "profile":
-        return profile
-    profile = {k: keep(k, v) for k, v in profile.items()}
-    tokens = keep("tokens", ranked["tokens"])
-    aligned = S.align(tokens, scans, profile["classes"])
-    candidates = keep("candidates", aligned["candidates"])
-    alignments = keep("alignments", S.P.aligned(S.scored_pages(tokens), candidates))
-    if stage == "align":
+    pages = report.read_tables(spark, a.ranked, "rank", {"projects": ["project_id"], "pages": S.PAGE})["pages"] if a.ranked else keep("pages", ranked["pages"])
+    scans = S.selected(corpus.scans(spark, a.corpus), pages, not a.selected_only)
+    profile = {k: keep(k, v) for k, v in S.profile(scans).items()}
+    emitted = scans.filter("emit").select(*S.PAGE)
+    if a.stage == "profile":
+        return profile | {"measurements": profile["measurements"].join(emitted, S.PAGE, "left_semi")}
+    tokens = keep("tokens", ranked["tokens"].join(scans.select("project_id").distinct(), "project_id", "left_semi"))
+    candidates = keep("candidates", S.align(tokens, scans, profile["classes"], profile["measurements"])["candidates"])
+    alignments = keep("alignments", aligned(S.scored_pages(tokens), candidates))
+    if a.stage == "align":
         return {"candidates": candidates.drop("mask"), "alignments": alignments}
-    typography = S.typography(tokens, candidates, alignments, profile["measurements"], profile["classes"])
-    if stage == "typography":
+    witness = corpus.require_witness(spark, a.witness) if a.witness else None
+    typography = S.typography(tokens, candidates, alignments, profile["measurements"], profile["classes"], witness)
+    if a.stage == "typography":
         return typography
-    return S.glyphs(keep("lines", typography["lines"]), candidates, profile["measurements"])
+    out = S.glyphs(keep("lines", typography["lines"]), candidates, profile["measurements"], tokens, scans, witness, alignments)
+    return out | {"glyphs": keep("glyphs", out["glyphs"])}
 
 
 def main(args: list[str] | None = None) -> int:
     a = parser().parse_args(args)
-    root, out = Path(a.corpus).resolve(), Path(a.output).resolve()
     if a.projects < 1 or a.pages < 1:
         print("limits must be positive", file=sys.stderr)
         return 2
-    if not root.is_dir() or not any(p.name.startswith("projectID") for p in root.iterdir()):
-        print("no projects there", file=sys.stderr)
-        return 3
-    if root in (out, *out.parents) or out.exists():
-        print("the destination exists or lies inside the corpus", file=sys.stderr)
-        return 6
     from pyspark.sql import SparkSession
 
-    from inkfold.sources.report import schema_json, write_report
+    from inkfold.sources import corpus, files, report
 
     spark = SparkSession.builder.getOrCreate()
+    a.corpus, a.output = files.qualified(spark, a.corpus), files.qualified(spark, a.output)
+    if not any(n.startswith("projectID") for n in files.names(spark, a.corpus)):
+        print("no projects there", file=sys.stderr)
+        return 3
+    if files.inside(spark, a.output, a.corpus) or files.exists(spark, a.output):
+        print("the destination exists or lies inside the corpus", file=sys.stderr)
+        return 6
 
     def keep(name, table):
-        path = str(out / "_work" / name)
+        path = f"{a.output}/_work/{name}"
         table.write.parquet(path)
         return spark.read.schema(table.schema).parquet(path)
 
-    report = {"schema_version": 1, "stage": a.stage, "limits": {"projects": a.projects, "pages": a.pages}, "tables": {}}
-    for name, table in tables(spark, a.stage, str(root), a.projects, a.pages, keep).items():
-        table.write.parquet(str(out / name))
-        report["tables"][name] = {"rows": spark.read.parquet(str(out / name)).count(), "schema": schema_json(table)}
-    write_report(report, str(out / "report.json"), str(root))
+    told = {"schema_version": report.VERSION, "algorithm": report.ALGORITHM, "stage": a.stage, "limits": {"projects": a.projects, "pages": a.pages}, "tables": {}}
+    try:
+        found = tables(spark, a, keep)
+    except (report.ReportError, corpus.WitnessError) as e:
+        print(e, file=sys.stderr)
+        return 3
+    if a.stage == "glyphs":
+        rows, atlas = found.pop("glyphs"), found.pop("atlas")
+        pages = spark.read.parquet(f"{a.output}/_work/measurements").select("project_id", "page_name", "sha256")
+        report.write_inventory(rows, pages, f"{a.output}/inventory", a.corpus, atlas)
+        found["glyphs"] = rows.drop("image", "grid")
+    for name, table in found.items():
+        table.write.parquet(f"{a.output}/{name}")
+        told["tables"][name] = report.described(spark.read.parquet(f"{a.output}/{name}"))
+    files.write(spark, f"{a.output}/report.json", report.pretty(told).encode())
     return 0
 
 

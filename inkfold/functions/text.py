@@ -42,18 +42,28 @@ def deviation(values: Column) -> Column:
     return bound(middle(values), lambda m: middle(F.transform(values, lambda x: F.abs(x.cast("double") - m))))
 
 
-def natural_key(name: Column) -> Column:
-    """An orderable key: digit runs by number, then length; other runs by lower case; the name itself last.
+#: Letters whose case folding is not the lower case of their upper case: dotless i, and small Cherokee letters.
+_KEPT, _MARK = "\u0131", "\ue000"
+_CHEROKEE = "".join(map(chr, range(0xAB70, 0xABC0))) + "".join(map(chr, range(0x13F8, 0x13FE))), "".join(map(chr, range(0x13A0, 0x13F0))) + "".join(map(chr, range(0x13F0, 0x13F6)))
+
+
+def case_folded(text: Column) -> Column:
+    """The full Unicode case folding of a text: lower case of the upper case, and where that differs, what the folding gives."""
+    cased = F.lower(F.upper(F.lower(F.translate(text, _KEPT, _MARK))))
+    return F.translate(cased, "\u03c2" + _MARK + _CHEROKEE[0], "\u03c3" + _KEPT + _CHEROKEE[1])
 
-    Runs of over 38 digits have no key and raise under ANSI mode.
-    """
-    part = lambda k, v, w, t: F.struct(F.lit(k).alias("k"), v.cast("decimal(38,0)").alias("v"), w.cast("int").alias("w"), t.alias("t"))
-    zero = F.lit(0)
+
+def natural_key(name: Column) -> Column:
+    """An orderable key: digit runs by number (digits without leading zeros, by count and then as text), then by length; other runs
+    by their case folding; the name itself last. Numbers of any length have their place."""
+    part = lambda k, n, v, w, t: F.struct(F.lit(k).alias("k"), n.cast("int").alias("n"), v.alias("v"), w.cast("int").alias("w"), t.alias("t"))
+    zero, none = F.lit(0), F.lit("")
+    bare = lambda r: F.regexp_replace(r, "^0+", "")
     runs = F.transform(
         F.regexp_extract_all(name, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1)),
-        lambda r: F.when(r.rlike("^[0-9]"), part(2, r.try_cast("decimal(38,0)"), F.length(r), F.lit(""))).otherwise(part(1, zero, zero, F.lower(r))),
+        lambda r: F.when(r.rlike("^[0-9]"), part(2, F.length(bare(r)), bare(r), F.length(r), none)).otherwise(part(1, zero, none, zero, case_folded(r))),
     )
-    return F.concat(runs, F.array(part(0, zero, zero, name)))
+    return F.concat(runs, F.array(part(0, zero, none, zero, name)))
 
 
 def tag_count(text: Column, tag: str) -> Column:

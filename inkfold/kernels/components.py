@@ -106,9 +106,8 @@ def clean_mask(mask: np.ndarray, bounds: Box) -> tuple[np.ndarray, list[tuple[st
     return mask, rejected
 
 
-def _grouped(blobs: list[Blob], linked, beyond) -> list[Blob]:
-    """Unions of blobs linked directly or through others; `beyond` says that no later blob can be linked."""
-    blobs = sorted(blobs)
+def _linked_roots(blobs: list[Blob], linked, beyond) -> list[int]:
+    """For each of blobs in order, the first of those linked with it directly or through others; `beyond` says that no later blob can be linked."""
     a, b = [], []
     for i, left in enumerate(blobs):
         for j in range(i + 1, len(blobs)):
@@ -117,12 +116,19 @@ def _grouped(blobs: list[Blob], linked, beyond) -> list[Blob]:
             if linked(left, blobs[j]):
                 a.append(i)
                 b.append(j)
-    root = _roots(len(blobs), np.array(a, np.int64), np.array(b, np.int64)).tolist() if a else list(range(len(blobs)))
+    return _roots(len(blobs), np.array(a, np.int64), np.array(b, np.int64)).tolist() if a else list(range(len(blobs)))
+
+
+def _grouped(blobs: list[Blob], linked, beyond) -> list[Blob]:
+    """Unions of blobs linked directly or through others."""
+    blobs = sorted(blobs)
+    root = _linked_roots(blobs, linked, beyond)
     return sorted(union([x for x, r in zip(blobs, root, strict=True) if r == g]) for g in sorted(set(root)))
 
 
-def clusters(blobs: list[Blob]) -> list[Blob]:
-    """Components of a band joined into visual pieces: side by side at one height, then by overlap of their columns."""
+def joinable(blobs: list[Blob]) -> tuple:
+    """(linked, beyond) for components side by side: two fifths of the lower one's height shared, centres apart by three fifths of the
+    taller one's at most, and a gap of twice the median height at most."""
     most = JOIN_GAP_HEIGHTS * median(b.height for b in blobs)
 
     def near(a: Blob, b: Blob) -> bool:
@@ -131,7 +137,22 @@ def clusters(blobs: list[Blob]) -> list[Blob]:
         gap = max(0, b.box[0] - a.box[2], a.box[0] - b.box[2])
         return shared * 100 >= min(a.height, b.height) * JOIN_OVERLAP and apart * 10 <= max(a.height, b.height) * JOIN_CENTER_TENTHS and gap <= most
 
-    joined = _grouped(blobs, near, lambda a, b: b.box[0] - a.box[2] > most)
+    return near, lambda a, b: b.box[0] - a.box[2] > most
+
+
+def joined_roots(blobs: list[Blob]) -> list[int]:
+    """A number for each blob, the same for those joined."""
+    order = sorted(range(len(blobs)), key=lambda i: blobs[i])
+    root = _linked_roots([blobs[i] for i in order], *joinable(blobs)) if blobs else []
+    out = [0] * len(blobs)
+    for i, r in zip(order, root, strict=True):
+        out[i] = r
+    return out
+
+
+def clusters(blobs: list[Blob]) -> list[Blob]:
+    """Components of a band joined into visual pieces: side by side at one height, then by overlap of their columns."""
+    joined = _grouped(blobs, *joinable(blobs))
     return _grouped(joined, lambda a, b: True, lambda a, b: b.box[0] >= a.box[2])
 
 

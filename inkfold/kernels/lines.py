@@ -71,11 +71,12 @@ def _tight(mask: np.ndarray, box: Box, columns: tuple[int, int]) -> Box:
 
 
 def measure_words(mask: np.ndarray, box: Box, profile: list[float], text: str, gap: int) -> dict:
-    """Word runs of a line, and a box for each word where there are as many runs as words."""
+    """Word runs of a line, the first one's columns on the line's rows, and a box for each word where there are as many runs as words."""
     runs = stretches(np.array(profile) > 0, bridge=gap - 1)
     words = len(text.split())
     boxes = [_tight(mask, box, r) for r in runs] if len(runs) == words else []
-    return {"word_run_count": len(runs), "source_word_count": words, "words_reconciled": len(runs) == words, "boxes": boxes}
+    first = (box[0] + runs[0][0], box[1], box[0] + runs[0][1], box[3]) if runs and words else None
+    return {"word_run_count": len(runs), "source_word_count": words, "words_reconciled": len(runs) == words, "boxes": boxes, "first_run": first}
 
 
 def cut_word(mask: np.ndarray, box: Box, text: str) -> dict:
@@ -100,18 +101,30 @@ def crop_to_ink(mask: np.ndarray, box: Box) -> Box | None:
     return (x0 + inner[0], y0 + inner[1], x0 + inner[2], y0 + inner[3]) if inner else None
 
 
-def shape(gray: np.ndarray, rows: int = 16, columns: int = 12) -> np.ndarray:
-    """A glyph as an inverted grid of mean ink, by area-weighted triangles in both directions."""
+#: Bits behind the point of a resize weight.
+_FINE = 22
+
+
+def _triangles(n: int, m: int) -> np.ndarray:
+    """Weights, in whole numbers, of n cells in each of m: triangles as wide as a new cell, at least as an old one."""
+    scale = n / m
+    reach = max(scale, 1.0)
+    w = np.zeros((m, n))
+    for k in range(m):
+        center = (k + 0.5) * scale
+        a, b = max(int(center - reach + 0.5), 0), min(int(center + reach + 0.5), n)
+        part = np.maximum(0.0, 1 - np.abs((np.arange(a, b) - center + 0.5) / reach))
+        w[k, a:b] = part / part.sum()
+    return np.floor(w * (1 << _FINE) + 0.5).astype(np.int64)
 
-    def weights(n: int, m: int) -> np.ndarray:
-        scale = n / m
-        reach = max(scale, 1.0)
-        centers = (np.arange(m) + 0.5) * scale
-        w = np.maximum(0, 1 - np.abs((np.arange(n)[None, :] + 0.5 - centers[:, None]) / reach))
-        return w / w.sum(axis=1, keepdims=True)
 
-    h, w = gray.shape
-    return np.clip(np.floor(weights(h, rows) @ (255.0 - gray) @ weights(w, columns).T + 0.5), 0, 255).astype(np.uint8)
+def shape(gray: np.ndarray, rows: int = 16, columns: int = 12) -> np.ndarray:
+    """A glyph as an inverted grid of mean ink: resized along rows, rounded to whole levels, then along columns and rounded again."""
+    if not gray.size:
+        return np.zeros((rows, columns), np.uint8)
+    rounded = lambda x: np.clip((x + (1 << (_FINE - 1))) >> _FINE, 0, 255)
+    wide = rounded(gray.astype(np.int64) @ _triangles(gray.shape[1], columns).T)
+    return (255 - rounded(_triangles(gray.shape[0], rows) @ wide)).astype(np.uint8)
 
 
 def shape_reference(grids: list[np.ndarray], least: int = 60, most: int = 250) -> dict | None:
@@ -120,12 +133,38 @@ def shape_reference(grids: list[np.ndarray], least: int = 60, most: int = 250) -
         return None
     some = np.stack(grids[:most]).astype(np.float32)
     center = np.median(some, axis=0)
-    away = sorted(float(np.sqrt((((g - center) / np.float32(255)) ** 2).sum())) for g in some)
+    away = sorted(_distance(g, center) for g in some)
     return {"grid": center.astype(np.uint8), "scatter": away[min(len(away) - 1, int(0.95 * len(away)))]}
 
 
+def _distance(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.sqrt(((a.astype(np.float32) - b.astype(np.float32)) ** 2).sum()) / 255.0)
+
+
 def shape_distance(grid: np.ndarray, reference: dict) -> float:
-    return float(np.sqrt((((grid.astype(np.float32) - reference["grid"].astype(np.float32)) / np.float32(255)) ** 2).sum()))
+    return _distance(grid, reference["grid"])
+
+
+def unlike(grid: np.ndarray, reference: dict, ratio: float = 1.4) -> bool:
+    return reference["scatter"] > 0 and shape_distance(grid, reference) > ratio * reference["scatter"]
+
+
+def mask_fault(mask: np.ndarray, matched: list[tuple[int, Box, int, list[float]]]) -> tuple[str, int] | None:
+    """The first candidate (ordinal, box, ink, profile) that the mask does not reproduce exactly, with the reason."""
+    for ordinal, (x0, y0, x1, y1), ink, profile in matched:
+        columns = mask[y0:y1, x0:x1].sum(axis=0).tolist()
+        found = sum(columns)
+        if found != ink:
+            return "foreground_pixels_mismatch", ordinal
+        if profile is not None and [c / found for c in columns] != list(profile):
+            return "horizontal_ink_profile_mismatch", ordinal
+    return None
+
+
+def clipped(box: Box, mask: np.ndarray) -> Box | None:
+    """A box within the page; None if none of it is."""
+    x0, y0, x1, y1 = max(0, box[0]), max(0, box[1]), min(mask.shape[1], box[2]), min(mask.shape[0], box[3])
+    return (x0, y0, x1, y1) if x0 < x1 and y0 < y1 else None
 
 
 def atlas_sheet(crops: list[np.ndarray], width: int, height: int, columns: int = 32, gutter: int = 160, paper: int = 255) -> np.ndarray:

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-import re
+from itertools import groupby
+
+DIGITS = frozenset("0123456789")
+#: What stands first in a part of a key: the end of a name comes before text, and text before numbers.
+END, TEXT, NUMBER = range(3)
 
 
 def natural_key(name: str) -> tuple:
-    """Digit runs by number, then length; other runs by case-folded text; the name itself last."""
-    runs = re.findall(r"[0-9]+|[^0-9]+", name)
-    return (*((2, int(r), len(r), "") if r[0] in "0123456789" else (1, 0, 0, r.casefold()) for r in runs), (0, 0, 0, name))
+    """Text runs by their case folding, digit runs by value and then by length, and the name itself at the end."""
+    key: list[tuple] = []
+    for numeric, run in groupby(name, DIGITS.__contains__):
+        whole = "".join(run)
+        key.append((NUMBER, int(whole), len(whole)) if numeric else (TEXT, whole.casefold()))
+    return (*key, (END, name))

@@ -204,3 +204,29 @@ def feature_page(page: dict, text: str) -> dict:
             out.append(raw[at:a])
             at = b
     return {"source_text": text, "feature_text": (b"".join(out) + raw[at:]).decode(), "blocks": [raw[s["byte_start"] : s["byte_end"]].decode() for s in closed]}
+
+
+#: Fixed patterns: a line of fields set apart by three spaces or more, and an illustration's mark.
+_FIELDS = re.compile(r"\S(?:.*?\S)? {3,}\S(?:.*\S)?")
+_PICTURE = re.compile(r"\[(?:illustration|decoration)\b[^\]]*\]", re.IGNORECASE)
+
+
+def feature_evidence(page: dict, features: list[str]) -> dict[str, list[int]]:
+    """code -> ordinals of the lines that show it, for the page's features; a feature that no line shows is an error.
+
+    A table needs three lines of fields that overlap closed blocks. Without `spans` the page carries no evidence.
+    """
+    out: dict[str, list[int]] = {}
+    if page.get("spans") is None:
+        return {{"table_like": "table_like", "illustration_or_ornament": "illustration_marker"}[f]: [] for f in features}
+    closed = [(s["byte_start"], s["byte_end"]) for s in page["spans"] if s["closed"]]
+    for line in page["lines"]:
+        text = line["original_text"]
+        if "table_like" in features and _FIELDS.fullmatch(text.strip()) and any(_overlap(line["byte_start"], line["byte_end"], a, b) for a, b in closed):
+            out.setdefault("table_like", []).append(line["ordinal"])
+        if "illustration_or_ornament" in features and _PICTURE.search(text):
+            out.setdefault("illustration_marker", []).append(line["ordinal"])
+    for feature, code, least in (("table_like", "table_like", 3), ("illustration_or_ornament", "illustration_marker", 1)):
+        if feature in features and len(out.get(code, ())) < least:
+            raise ValueError(f"{feature} without {least} lines that show it")
+    return out

@@ -25,15 +25,15 @@ def contained(words: DataFrame, boxes: DataFrame, how: str = "inner") -> DataFra
     return out if how == "left_anti" else out.select("w.*", "b.box_id")
 
 
-def best_overlap(words: DataFrame, boxes: DataFrame) -> DataFrame:
-    """For each word the box that shares the most columns with it, among those that share over 0.4 of its height; ties go to
-    the smaller box_id. At most one row a word."""
+def best_overlap(runs: DataFrame, words: DataFrame) -> DataFrame:
+    """For each run (box_id, page, box) the word (word_id, page, box) that shares the most columns with it, among those that share
+    over 0.4 of their own height with its rows; ties go to the smaller word_id. At most one row a run."""
     rows = overlap(F.col("w.y0"), F.col("w.y1"), F.col("b.y0"), F.col("b.y1"))
     cols = overlap(F.col("w.x0"), F.col("w.x1"), F.col("b.x0"), F.col("b.x1"))
     on = (F.col("w.page") == F.col("b.page")) & (rows * 10 > (F.col("w.y1") - F.col("w.y0")) * 4) & (cols > 0)
-    met = words.alias("w").join(boxes.alias("b"), on).select("w.word_id", "w.page", "b.box_id", cols.alias("shared"))
-    best = met.groupBy("word_id", "page").agg(F.max(F.struct("shared", (-F.col("box_id")).alias("o"))).alias("m"))
-    return best.select("word_id", "page", (-F.col("m.o")).alias("box_id"), F.col("m.shared").alias("shared"))
+    met = words.alias("w").join(runs.alias("b"), on).select("b.box_id", "b.page", "w.word_id", cols.alias("shared"))
+    best = met.groupBy("box_id", "page").agg(F.max(F.struct("shared", (-F.col("word_id")).alias("o"))).alias("m"))
+    return best.select("box_id", "page", (-F.col("m.o")).alias("word_id"), F.col("m.shared").alias("shared"))
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
@@ -55,3 +55,24 @@ def merged(boxes: DataFrame, keys: list[str]) -> DataFrame:
     marked = boxes.withColumn("_new", F.when(edge.isNull() | (F.col("x0") >= edge), 1).otherwise(0))
     marked = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*keys, "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n")).drop("_g")
+
+
+def joined_pieces(boxes: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """keys, `name` and cluster (its smallest `name`) of boxes(keys, name, x0, y0, x1, y1) that stand side by side at one height, or
+    are linked through others: kernels.components.joinable by group. A group is a page's band, so it is small."""
+    import pandas as pd
+
+    from inkfold.kernels.components import Blob, joined_roots
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        blobs = [Blob((r.x0, r.y0, r.x1, r.y1), i, 1, 0) for i, r in enumerate(pdf.itertuples(index=False))]
+        names = pdf[name].to_numpy()
+        group = joined_roots(blobs)
+        least: dict[int, int] = {}
+        for i, g in enumerate(group):
+            least[g] = min(least.get(g, names[i]), names[i])
+        return pdf[[*keys, name]].assign(cluster=[least[g] for g in group])
+
+    kinds = dict(boxes.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, name]) + f", cluster {kinds[name]}"
+    return boxes.groupBy(*keys).applyInPandas(run, schema)

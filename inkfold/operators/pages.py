@@ -17,6 +17,8 @@ from inkfold.kernels import lines as L
 from inkfold.kernels import raster as R
 from inkfold.kernels import source as S
 
+from . import review as V
+
 BOX = "struct<x0:int,y0:int,x1:int,y1:int>"
 LINE = "ordinal:int,byte_start:long,content_end:long,byte_end:long,original_text:string,visible_text:string,first_operation:int,operations:int,span_ids:array<string>,continued_ids:array<string>,matching_eligible:boolean,style_eligible:boolean"
 STYLE = "kind:string,start:int,end:int,byte_start:long,byte_end:long"
@@ -29,7 +31,13 @@ CANDIDATE = f"band:int,box:{BOX},ink:long,components:int,profile:array<double>"
 EXTRACTED = f"""project_id string, page_name string, sha256 string, bounds {BOX}, candidates array<struct<{CANDIDATE}>>,
 rejected array<struct<reason:string,band:int,box:{BOX},ink:long>>, gutter {BOX}, exclusions array<string>, mask binary"""
 ALIGNED = """project_id string, page_name string, state string, exclusions array<string>, total_cost double, normalized_cost double, matched_ratio double, uniqueness double,
-operations array<struct<kind:string,source:int,candidate:int,cost:double,width:double,indent:double,gaps:double,style:double>>"""
+operations array<struct<kind:string,source:int,candidate:int,cost:double,width:double,indent:double,gaps:double,style:double>>,
+evidence array<struct<code:string,lines:array<int>>>"""
+#: Exclusions by diagnostic of a measurement; any other one is told as inherited.
+INHERITED = {
+    "blank": "blank_page", "blank_page": "blank_page", "one_band": "insufficient_ink_bands", "no_bands": "insufficient_ink_bands", "border_dominated": "border_dominated",
+    "foreground_bounds_unavailable": "foreground_bounds_unavailable", "high_foreground_ratio": "high_foreground_ratio", "image_decode_failed": "image_decode_failed", "image_missing": "image_missing", "image_unreadable": "image_unreadable",
+}
 #: Rows to a batch of pages with their scans.
 PAGE_BATCH = 8
 
@@ -42,6 +50,11 @@ def _tuple(b: dict | None) -> tuple | None:
     return (b["x0"], b["y0"], b["x1"], b["y1"]) if b else None
 
 
+def inherited(diagnostics: list[str]) -> list[str]:
+    """Exclusion codes of a page's diagnostics, each once, in order."""
+    return list(dict.fromkeys(INHERITED.get(d, "inherited_profile_diagnostic") for d in diagnostics))
+
+
 def tokenized(pages: DataFrame) -> DataFrame:
     """pages(project_id, page_name, text) taken apart, blocks carried over the pages of a project in natural order.
 
@@ -103,9 +116,8 @@ def extracted(scans: DataFrame) -> DataFrame:
             m, mask = R.measure(R.decode(x["content"]))
         except R.ScanError:
             return [row | {"exclusions": ["image_decode_failed"]}]
-        inherited = [{"blank": "blank_page", "one_band": "insufficient_ink_bands"}.get(d, d) for d in m.diagnostics]
-        if inherited:
-            return [row | {"exclusions": inherited, "bounds": _box(m.bounds)}]
+        if m.diagnostics:
+            return [row | {"exclusions": inherited(m.diagnostics), "bounds": _box(m.bounds)}]
         got = C.candidates(mask, m.bounds, [(b["y_start"], b["y_end"]) for b in m.bands], frozenset(x.get("furniture") or ()))
         return [
             row
@@ -128,7 +140,7 @@ def aligned(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
 
     tokens needs table_like and illustration_or_ornament (operators.features) to exclude such pages; both default to false.
     """
-    flags = [c for c in ("table_like", "illustration_or_ornament") if c in tokens.columns]
+    flags = [c for c in ("table_like", "illustration_or_ornament", "spans") if c in tokens.columns]
     left = tokens.select("project_id", "page_name", "lines", "styles", *flags)
     rows = left.join(candidates.select("project_id", "page_name", "bounds", "candidates", "gutter", F.col("exclusions").alias("_x")), ["project_id", "page_name"], "left")
 
@@ -137,74 +149,121 @@ def aligned(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
         boxes = [_tuple(c["box"]) for c in x["candidates"] or []]
         early = list(x["_x"]) if x["_x"] is not None else ["profile_page_missing"]
         early += ["persistent_gutter"] if x["gutter"] else []
-        early += [code for c, code in (("table_like", "table_like"), ("illustration_or_ornament", "illustration_marker")) if x.get(c)]
+        evidence = S.feature_evidence(x, [k for k in ("table_like", "illustration_or_ornament") if x.get(k)])
+        early += list(evidence)
         early += ["malformed_control"] if any(not r["matching_eligible"] for r in x["lines"]) else []
         n = len(lines)
-        count = ["line_count_out_of_range"] if not 4 <= n <= 80 else []
-        count += ["line_count_difference_exceeds_maximum"] if abs(n - len(boxes)) > max(2, -(-n // 10)) else []
+        count = [V.LINE_COUNT] if not V.MIN_LINES <= n <= V.MAX_LINES else []
+        count += [V.COUNT_DIFFERENCE] if abs(n - len(boxes)) > max(V.COUNT_DIFFERENCE_MIN, -(-n // 10)) else []
         if count or not x["bounds"]:
             ops = A.skipped(lines, len(boxes))
             cost = float(sum(o["cost"] for o in ops))
             got = {"operations": ops, "total_cost": cost, "normalized_cost": cost / max(n, len(boxes), 1), "matched_ratio": 0.0, "uniqueness": 0.0}
         else:
             got = A.align(lines, boxes, _tuple(x["bounds"]))
-        late = ["matched_ratio_below_minimum"] if got["matched_ratio"] < 0.90 else []
-        late += ["normalized_cost_exceeds_maximum"] if got["normalized_cost"] > 0.22 else []
-        late += ["uniqueness_margin_below_minimum"] if got["uniqueness"] < 0.15 else []
+        late = [V.RATIO] if got["matched_ratio"] < V.MATCHED_RATIO_MIN else []
+        late += [V.COST] if got["normalized_cost"] > V.COST_MAX else []
+        late += [V.UNIQUENESS] if got["uniqueness"] < V.UNIQUENESS_MIN else []
         state = "excluded" if early or count else "proposed" if late else "accepted"
         parts = lambda o: dict(zip(("width", "indent", "gaps", "style"), o["parts"] or (None,) * 4, strict=True))
         ops = [{k: o[k] for k in ("kind", "source", "candidate", "cost")} | parts(o) for o in got["operations"]]
         codes = list(dict.fromkeys(early + count)) or late
-        return [{"project_id": x["project_id"], "page_name": x["page_name"], "state": state, "exclusions": codes, **{k: got[k] for k in ("total_cost", "normalized_cost", "matched_ratio", "uniqueness")}, "operations": ops}]
+        return [{"project_id": x["project_id"], "page_name": x["page_name"], "state": state, "exclusions": codes, **{k: got[k] for k in ("total_cost", "normalized_cost", "matched_ratio", "uniqueness")}, "operations": ops, "evidence": [{"code": c, "lines": at} for c, at in evidence.items()]}]
 
     return _per_page(rows, ALIGNED, page)
 
 
-LINES = f"project_id string, page_name string, candidate int, text string, box {BOX}, measured boolean, reason string, segments int, baseline_row_px int, x_height_top_row_px int, x_height_px int, ascender_extent_px int, descender_extent_px int, stroke_width_px double, skew_slope double, word_run_count int, source_word_count int, words_reconciled boolean, words array<{BOX}>"
+LINES = f"project_id string, page_name string, candidate int, text string, box {BOX}, measured boolean, reason string, segments int, baseline_row_px int, x_height_top_row_px int, x_height_px int, ascender_extent_px int, descender_extent_px int, stroke_width_px double, skew_slope double, word_run_count int, source_word_count int, words_reconciled boolean, words array<{BOX}>, first_run {BOX}, indent_px int, word_gaps array<int>"
 _LINE_KEYS = ("baseline_row_px", "x_height_top_row_px", "x_height_px", "ascender_extent_px", "descender_extent_px", "stroke_width_px", "skew_slope", "segments")
 
 
 def line_typography(pages: DataFrame) -> DataFrame:
     """Typography of the matched lines of pages(project_id, page_name, width, height, mask, matched: array of candidate, box,
-    profile and text, gap): a row a line."""
+    profile and text, with ink where the mask is to be checked, gap, text_left or none): a row a line.
+
+    A mask that does not give a candidate's recorded ink and profile exactly leaves the page's lines unmeasured, with the reason.
+    """
 
     def page(x: dict) -> list[dict]:
-        mask = np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=x["width"] * x["height"]).reshape(x["height"], x["width"]).astype(bool)
+        mask = _mask(x)
         out = []
+        fault = L.mask_fault(mask, [(m["candidate"], _tuple(m["box"]), m["ink"], m["profile"]) for m in x["matched"]]) if x["matched"] and "ink" in x["matched"][0] else None
         for m in x["matched"]:
+            row = {"project_id": x["project_id"], "page_name": x["page_name"], "candidate": m["candidate"], "text": m["text"], "box": m["box"], "measured": False}
+            if fault:  # this mask is not the one that the lines were found in
+                out.append(row | {"reason": fault[0]})
+                continue
             got = L.measure_line(mask, _tuple(m["box"]))
-            row = {"project_id": x["project_id"], "page_name": x["page_name"], "candidate": m["candidate"], "text": m["text"], "box": m["box"], "measured": got["measured"], "reason": got.get("reason")} | {k: got.get(k) for k in _LINE_KEYS}
+            row |= {"measured": got["measured"], "reason": got.get("reason")} | {k: got.get(k) for k in _LINE_KEYS}
+            row["indent_px"] = m["box"]["x0"] - x["text_left"] if x.get("text_left") is not None else None
             if got["measured"]:
                 gap = x["gap"] or max(2, int(0.25 * got["x_height_px"] + 0.5))
                 words = L.measure_words(mask, _tuple(m["box"]), m["profile"], m["text"], gap)
                 row |= {k: words[k] for k in ("word_run_count", "source_word_count", "words_reconciled")} | {"words": [_box(b) for b in words["boxes"]]}
+                row["first_run"] = _box(words["first_run"])
+                row["word_gaps"] = [b[0] - a[2] for a, b in zip(words["boxes"], words["boxes"][1:], strict=False)]
             out.append(row)
         return out
 
     return _per_page(pages, LINES, page)
 
 
-GLYPHS = f"project_id string, page_name string, line int, word int, text string, glyph int, character string, box {BOX}, run_count int, position_count int, reason string, ink long, image binary"
+GLYPHS = f"project_id string, page_name string, tier string, line int, word int, text string, glyph int, character string, box {BOX}, run_count int, position_count int, reason string, ink long, confidence double, image binary, grid array<int>"
+
+
+def _mask(x: dict) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=x["width"] * x["height"]).reshape(x["height"], x["width"]).astype(bool)
 
 
 def cut_glyphs(pages: DataFrame) -> DataFrame:
     """Characters of pages(project_id, page_name, width, height, mask, words: array of line, word, text and box): a row a
-    character, or one with the reason for a word that can't be cut."""
+    character, or one with the reason for a word that can't be cut.
+
+    Optional columns: content (the scan; crops and shape grids are then of its gray levels, else of the mask), furniture (array
+    of line, word, text, box and confidence: recognised words outside all lines, clipped to the page and to their ink) and
+    sha256 with furniture_sha256 (furniture of another scan is left out, with the reason scan_changed).
+    """
+    extra = [c for c in ("content", "furniture", "sha256", "furniture_sha256") if c in pages.columns]
 
     def page(x: dict) -> list[dict]:
-        mask = np.unpackbits(np.frombuffer(x["mask"], np.uint8), count=x["width"] * x["height"]).reshape(x["height"], x["width"]).astype(bool)
+        mask = _mask(x)
+        gray = R.decode(x["content"]) if x.get("content") is not None else np.where(mask, 0, 255).astype(np.uint8)
         out = []
-        for w in x["words"]:
-            got = L.cut_word(mask, _tuple(w["box"]), w["text"])
-            base = {"project_id": x["project_id"], "page_name": x["page_name"], "line": w["line"], "word": w["word"], "text": w["text"], "run_count": got["run_count"], "position_count": got["position_count"], "reason": got["reason"]}
+
+        def cut(w: dict, tier: str, box: tuple | None, confidence: float | None) -> None:
+            base = {"project_id": x["project_id"], "page_name": x["page_name"], "tier": tier, "line": w["line"], "word": w["word"], "text": w["text"], "confidence": confidence}
+            if box is None:
+                out.append(base | {"reason": "no_ink"})
+                return
+            got = L.cut_word(mask, box, w["text"])
+            base |= {"run_count": got["run_count"], "position_count": got["position_count"], "reason": got["reason"]}
             for c, i, (x0, y0, x1, y1) in got["glyphs"]:
-                crop = mask[y0:y1, x0:x1]
-                out.append(base | {"glyph": i, "character": c, "box": _box((x0, y0, x1, y1)), "ink": int(crop.sum()), "image": R.write_png(np.where(crop, 0, 255).astype(np.uint8))})
+                crop = gray[y0:y1, x0:x1]
+                out.append(base | {"glyph": i, "character": c, "box": _box((x0, y0, x1, y1)), "ink": int(mask[y0:y1, x0:x1].sum()), "image": R.write_png(crop), "grid": L.shape(crop).ravel().tolist()})
             if got["reason"]:
                 out.append(base)
+
+        for w in x["words"] or []:
+            cut(w, "transcribed", _tuple(w["box"]), None)
+        for w in x.get("furniture") or []:
+            if x.get("furniture_sha256") is not None and x["furniture_sha256"] != x.get("sha256"):
+                out.append({"project_id": x["project_id"], "page_name": x["page_name"], "tier": "recognized", "line": w["line"], "word": w["word"], "text": w["text"], "reason": "scan_changed"})
+                continue
+            inside = L.clipped(_tuple(w["box"]), mask)
+            cut(w, "recognized", L.crop_to_ink(mask, inside) if inside else None, w["confidence"])
         return out
 
-    return _per_page(pages, GLYPHS, page)
+    return _per_page(pages.select("project_id", "page_name", "width", "height", "mask", "words", *extra), GLYPHS, page)
+
+
+def atlas_mismatches(written: DataFrame, glyphs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and sheet of every sheet of a written atlas (keys, sheet, sha256, png) whose bytes are not those that its record and the
+    glyphs' crops give; none is the check passed."""
+    again = atlas(glyphs, keys).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("sheet").alias("_sheet"), F.col("sha256").alias("_again"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    both = written.join(again, [*on, F.col("sheet") == F.col("_sheet")], "full_outer")
+    same = (F.col("sha256") == F.col("_again")) & (F.sha2("png", 256) == F.col("_again"))
+    return both.filter(~F.coalesce(same, F.lit(False))).select(*[F.coalesce(k, f"_{k}").alias(k) for k in keys], F.coalesce("sheet", "_sheet").alias("sheet"))
 
 
 def atlas(glyphs: DataFrame, keys: list[str], cells: int = 1024) -> DataFrame:
@@ -212,7 +271,8 @@ def atlas(glyphs: DataFrame, keys: list[str], cells: int = 1024) -> DataFrame:
     from .glyphs import cell_extent, sheets
 
     size = glyphs.withColumns({"width": F.col("box.x1") - F.col("box.x0"), "height": F.col("box.y1") - F.col("box.y0")})
-    rows = sheets(size, keys, ["page_name", "line", "word", "glyph"]).join(cell_extent(size, keys), keys)
+    extent = cell_extent(size, keys).withColumnsRenamed({k: f"_{k}" for k in keys})
+    rows = sheets(size, keys, ["page_name", "line", "word", "glyph"]).join(extent, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     schema = ", ".join(f"{k} string" for k in keys) + ", sheet int, sha256 string, cells int, clipped int, png binary"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -15,6 +15,9 @@ UNIQUENESS_MIN = 0.15
 PRECISION_MIN = 0.98
 ADMITTED_LINES_MIN = 30
 AGREEMENT_MIN = 0.8
+#: Codes of the gate, before and after alignment.
+LINE_COUNT, COUNT_DIFFERENCE = "line_count_out_of_range", "line_count_difference_exceeds_maximum"
+RATIO, COST, UNIQUENESS = "matched_ratio_below_minimum", "normalized_cost_exceeds_maximum", "uniqueness_margin_below_minimum"
 
 
 def count_exclusions(lines: Column, candidates: Column) -> Column:
@@ -22,8 +25,8 @@ def count_exclusions(lines: Column, candidates: Column) -> Column:
     most = F.greatest(F.lit(COUNT_DIFFERENCE_MIN), F.ceil(F.lit(COUNT_DIFFERENCE_SHARE) * lines))
     return F.array_compact(
         F.array(
-            F.when((lines < MIN_LINES) | (lines > MAX_LINES), "line_count_out_of_range"),
-            F.when(F.abs(lines - candidates) > most, "line_count_difference_exceeds_maximum"),
+            F.when((lines < MIN_LINES) | (lines > MAX_LINES), LINE_COUNT),
+            F.when(F.abs(lines - candidates) > most, COUNT_DIFFERENCE),
         )
     )
 
@@ -32,9 +35,9 @@ def quality_exclusions(matched: Column, lines: Column, cost: Column, uniqueness:
     ratio = F.when(lines > 0, matched / lines).otherwise(0.0)
     return F.array_compact(
         F.array(
-            F.when(ratio < MATCHED_RATIO_MIN, "matched_ratio_below_minimum"),
-            F.when(cost > COST_MAX, "normalized_cost_exceeds_maximum"),
-            F.when(uniqueness < UNIQUENESS_MIN, "alignment_not_unique"),
+            F.when(ratio < MATCHED_RATIO_MIN, RATIO),
+            F.when(cost > COST_MAX, COST),
+            F.when(uniqueness < UNIQUENESS_MIN, UNIQUENESS),
         )
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkfold.functions.text import is_recto
@@ -23,10 +23,17 @@ def head_windows(pages: DataFrame) -> DataFrame:
     return mad.withColumn("window", F.when(F.col("spread") <= HEAD_MAD_MAX, F.greatest(F.lit(float(HEAD_WINDOW_MIN)), HEAD_WINDOW_FACTOR * F.col("spread"))))
 
 
+def head_ordinal(tops: Column, center: Column, window: Column) -> Column:
+    """The first band at or below the head window, as a place in `tops` (array, in order); 0 where all lie above it."""
+    first = F.array_min(F.filter(F.transform(tops, lambda t, i: F.when(t >= center - window, i)), lambda i: i.isNotNull()))
+    return F.coalesce(first, F.lit(0))
+
+
 def fit_templates(pages: DataFrame) -> DataFrame:
-    """book, page_class, first_top, first_spread, text_left, text_right, page_count of the classes that a book shows.
+    """book, page_class, first_top, first_spread, text_left, text_right, band_count, page_count, page_share of the classes that a
+    book shows; page_share is of all pages of the book given.
 
-    pages: book, page_name, first_top, text_left, text_right. Everything is grouped aggregation by book; the books' centers,
+    pages: book, page_name, first_top, text_left, text_right, band_count. Everything is grouped aggregation by book; the books' centers,
     one row each, are joined back.
     """
     rows = pages.withColumn("_recto", is_recto(F.col("page_name"))).join(head_windows(pages).select("book", F.col("center").alias("_c"), "window"), "book").filter("window is not null")
@@ -42,10 +49,13 @@ def fit_templates(pages: DataFrame) -> DataFrame:
     by_name = F.least("_nl", "_nh") < F.lit(SIDE_SHARE_MIN) * (F.col("_nl") + F.col("_nh"))
     recto = F.when(by_name, F.col("_recto")).when(F.col("_high_recto"), ~F.col("_low")).otherwise(F.col("_low"))
     normal = normal.withColumn("page_class", F.when(recto, "normal_recto").otherwise("normal_verso"))
-    both = normal.select("book", "page_class", "first_top", "text_left", "text_right").unionByName(sunk.select("book", "page_class", "first_top", "text_left", "text_right"))
+    shown = ["book", "page_class", "first_top", "text_left", "text_right", "band_count"]
+    both = normal.select(*shown).unionByName(sunk.select(*shown))
     tops = median_mad(both, ["book", "page_class"], "first_top")
-    edges = both.groupBy("book", "page_class").agg(F.median("text_left").cast("int").alias("text_left"), F.median("text_right").cast("int").alias("text_right"))
-    return tops.join(edges, ["book", "page_class"]).select("book", "page_class", F.col("center").cast("int").alias("first_top"), F.col("spread").cast("int").alias("first_spread"), "text_left", "text_right", F.col("n").alias("page_count"))
+    edges = both.groupBy("book", "page_class").agg(*[F.median(c).cast("int").alias(c) for c in ("text_left", "text_right", "band_count")])
+    total = pages.groupBy("book").agg(F.count(F.lit(1)).alias("_total"))
+    out = tops.join(edges, ["book", "page_class"]).join(total, "book")
+    return out.select("book", "page_class", F.col("center").cast("int").alias("first_top"), F.col("spread").cast("int").alias("first_spread"), "text_left", "text_right", "band_count", F.col("n").alias("page_count"), (F.col("n") / F.col("_total")).alias("page_share"))
 
 
 def classify(pages: DataFrame, templates: DataFrame) -> DataFrame:

@@ -41,5 +41,5 @@ FIRST_BANDS = """
 SELECT o_orderpriority AS book, o_orderkey AS page, concat('p', o_orderkey, '.png') AS page_name,
   CAST(100 + o_custkey % 14 + CASE WHEN o_orderkey % 11 = 0 THEN 200 ELSE 0 END AS INT) AS first_top,
   CAST(100 + (CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 60 END) + CAST(floor(o_totalprice) AS BIGINT) % 9 AS INT) AS text_left,
-  CAST(1000 + o_custkey % 7 AS INT) AS text_right FROM {orders}
+  CAST(1000 + o_custkey % 7 AS INT) AS text_right, CAST(20 + o_custkey % 13 AS INT) AS band_count FROM {orders}
 """

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inkfold.operators.intervals import area_share, best_overlap, contained, merged, overlapping
+from inkfold.operators.intervals import best_overlap, contained, joined_pieces, merged, overlapping
 from inkfold.operators.review import AGREEMENT_MIN
-from inkfold.operators.templates import classify, fit_templates, head_windows
+from inkfold.operators.templates import classify, fit_templates, head_ordinal, head_windows
 
 from .adapters import BOXES, FIRST_BANDS, WORDS, table
 
@@ -51,9 +51,26 @@ def furniture_words(spark, d):
 
 @query(f"""WITH {_W}, {_B}, m AS (SELECT word_id, w.page, box_id, greatest(least(w.x1, b.x1) - greatest(w.x0, b.x0), 0) AS shared FROM w JOIN b ON w.page = b.page
 AND greatest(least(w.y1, b.y1) - greatest(w.y0, b.y0), 0) * 10 > (w.y1 - w.y0) * 4 AND least(w.x1, b.x1) > greatest(w.x0, b.x0))
-SELECT word_id, page, box_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY word_id ORDER BY shared DESC, box_id) AS r FROM m) WHERE r = 1""")
+SELECT box_id, page, word_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY box_id ORDER BY shared DESC, word_id) AS r FROM m) WHERE r = 1""")
 def witness_words(spark, d):
-    return best_overlap(words(spark, d), boxes(spark, d))
+    return best_overlap(boxes(spark, d), words(spark, d))
+
+
+@query(f"""WITH {_W}, {_B}, l AS (SELECT b.*, 1 + box_id % 4 AS runs, 1 + box_id % 3 AS words, CASE box_id % 3 WHEN 0 THEN 'Part' ELSE 'other' END AS own FROM b),
+m AS (SELECT box_id, word, greatest(least(w.x1, l.x1) - greatest(w.x0, l.x0), 0) AS shared, word_id FROM w JOIN l ON w.page = l.page AND greatest(least(w.y1, l.y1) - greatest(w.y0, l.y0), 0) * 10 > (w.y1 - w.y0) * 4 AND least(w.x1, l.x1) > greatest(w.x0, l.x0)),
+f AS (SELECT box_id, regexp_replace(lower(string_split(word, ' ')[1]), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS said FROM m QUALIFY row_number() OVER (PARTITION BY box_id ORDER BY shared DESC, word_id) = 1),
+x AS (SELECT l.*, said, coalesce(runs > words AND said <> lower(own), false) AS fragment FROM l LEFT JOIN f USING (box_id))
+SELECT page % 7 AS project_id, count(*) AS measured, count(said) AS witnessed, count(*) FILTER (WHERE fragment) AS continuation_fragments, count(*) FILTER (WHERE runs = words OR (fragment AND runs - 1 = words)) AS reconciled_after_witness,
+ count(*) FILTER (WHERE runs = words OR (fragment AND runs - 1 = words)) / count(*) AS reconciled_share FROM x GROUP BY page % 7""")
+def witness_tallies(spark, d):
+    """Boxes as lines of one to four runs and one to three words, and the first word of a part's name as what a recogniser read."""
+    from inkfold.operators.witness import first_runs, tallies
+
+    runs, own = 1 + F.col("box_id") % 4, 1 + F.col("box_id") % 3
+    lines = boxes(spark, d).select((F.col("page") % 7).alias("project_id"), F.col("page").alias("page_name"), F.col("box_id").alias("candidate"), F.concat(F.when(F.col("box_id") % 3 == 0, "Part").otherwise("other"), F.lit(" more")).alias("text"), F.struct("x0", "y0", "x1", "y1").alias("first_run"),
+                                   runs.alias("word_run_count"), own.alias("source_word_count"), (runs == own).alias("words_reconciled"), F.lit(True).alias("measured"))
+    read = words(spark, d).select((F.col("page") % 7).alias("project_id"), F.col("page").alias("page_name"), F.lit(0).alias("line_index"), F.col("word_id").alias("word_index"), F.get(F.split("word", " "), F.lit(0)).alias("word"), F.lit(1.0).alias("confidence"), F.struct("x0", "y0", "x1", "y1").alias("box"))
+    return tallies(first_runs(lines, read), ["project_id"])
 
 
 @query(f"""WITH {_W}, {_B}, c AS (SELECT box_id, count(*) AS found, count(*) FILTER (WHERE length(word) % 3 = 0) AS agreeing FROM w JOIN b ON w.page = b.page AND {_AREA} GROUP BY box_id)
@@ -75,11 +92,13 @@ def styles_on_lines(spark, d):
 @query(f"""WITH {_W}, {_B}, k AS (SELECT box_id, word_id, CASE word_id % 3 WHEN 0 THEN 'bold' WHEN 1 THEN 'italic' ELSE 'small_caps' END AS kind FROM b JOIN w ON w.page = b.page AND w.x0 <= b.x0 + 30 AND w.x1 > b.x0 + 30)
 SELECT b.box_id, CASE WHEN b.box_id % 10 = 0 THEN NULL ELSE coalesce((SELECT string_agg(kind, '+' ORDER BY kind) FROM (SELECT DISTINCT kind FROM k WHERE k.box_id = b.box_id)), 'roman') END AS style FROM b""")
 def style_at_character(spark, d):
-    runs = words(spark, d).select("page", F.col("x0").alias("s0"), F.col("x1").alias("s1"), F.when(F.col("word_id") % 3 == 0, "bold").when(F.col("word_id") % 3 == 1, "italic").otherwise("small_caps").alias("kind"))
-    at = boxes(spark, d).select("box_id", "page", (F.col("x0") + 30).alias("c0"), (F.col("x0") + 31).alias("c1"))
-    found = overlapping(at, runs, ["page"], ("c0", "c1"), ("s0", "s1")).groupBy("box_id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("k"))
-    rows = at.join(found, "box_id", "left")
-    return rows.select("box_id", F.when(F.col("box_id") % 10 != 0, F.coalesce("k", F.lit("roman"))).alias("style"))
+    from .stages import style_at
+
+    kind = F.when(F.col("word_id") % 3 == 0, "bold").when(F.col("word_id") % 3 == 1, "italic").otherwise("small_caps")
+    spans = words(spark, d).groupBy("page").agg(F.collect_list(F.struct(F.col("x0").alias("start"), F.col("x1").alias("stop"), kind.alias("kind"))).alias("spans"))
+    rows = boxes(spark, d).join(spans, "page", "left")
+    known = F.when(F.col("box_id") % 10 != 0, F.coalesce("spans", F.filter("spans", lambda s: F.lit(False)), F.expr("cast(array() as array<struct<start:int,stop:int,kind:string>>)")))
+    return rows.select("box_id", style_at(known, F.col("x0") + 30).alias("style"))
 
 
 @query(f"""WITH {_W}, e AS (SELECT *, max(x1) OVER (PARTITION BY page, y0 ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS edge FROM w),
@@ -89,35 +108,12 @@ def merged_clusters(spark, d):
     return merged(words(spark, d).withColumn("band", F.col("y0")), ["page", "band"]).select("page", "band", "x0", "x1", "y1", "n")
 
 
-@query(f"""WITH RECURSIVE {_W}, s AS (SELECT page, word_id, x0, y0, x1, y1 FROM w), e AS (SELECT a.page, a.word_id AS a, b.word_id AS b FROM s a JOIN s b ON a.page = b.page AND a.word_id <> b.word_id
- AND 10 * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 4 * least(a.y1 - a.y0, b.y1 - b.y0) AND greatest(a.x0, b.x0) - least(a.x1, b.x1) <= 2),
-r AS (SELECT page, word_id, word_id AS root FROM s UNION SELECT r.page, e.b, r.root FROM r JOIN e ON r.page = e.page AND r.word_id = e.a)
+@query(f"""WITH RECURSIVE {_W}, s AS (SELECT *, median(y1 - y0) OVER (PARTITION BY page) AS h FROM w), e AS (SELECT a.page, a.word_id AS a, b.word_id AS b FROM s a JOIN s b ON a.page = b.page AND a.word_id <> b.word_id
+ AND greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) * 100 >= 40 * least(a.y1 - a.y0, b.y1 - b.y0) AND abs(a.y0 + a.y1 - b.y0 - b.y1) * 10 <= 12 * greatest(a.y1 - a.y0, b.y1 - b.y0)
+ AND greatest(0, b.x0 - a.x1, a.x0 - b.x1) <= 2 * a.h), r AS (SELECT page, word_id, word_id AS root FROM s UNION SELECT r.page, e.b, r.root FROM r JOIN e ON r.page = e.page AND r.word_id = e.a)
 SELECT page, word_id, min(root) AS cluster FROM r GROUP BY page, word_id""")
 def joined_components(spark, d):
-    import pandas as pd
-
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf[["word_id", "x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
-        up = {r[0]: r[0] for r in rows}
-
-        def find(x):
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            return x
-
-        rows.sort(key=lambda r: (r[1], r[0]))
-        reach = max((r[3] - r[1] for r in rows), default=0) + 2
-        for i, a in enumerate(rows):
-            for b in rows[i + 1 :]:
-                if b[1] - a[1] > reach:
-                    break
-                shared = min(a[4], b[4]) - max(a[2], b[2])
-                if 10 * shared >= 4 * min(a[4] - a[2], b[4] - b[2]) and max(a[1], b[1]) - min(a[3], b[3]) <= 2:
-                    x, y = find(a[0]), find(b[0])
-                    up[max(x, y)] = min(x, y)
-        return pd.DataFrame({"page": pdf["page"].to_numpy(), "word_id": pdf["word_id"].to_numpy(), "cluster": [find(x) for x in pdf["word_id"]]})
-
-    return words(spark, d).groupBy("page").applyInPandas(close, "page long, word_id long, cluster long")
+    return joined_pieces(words(spark, d), ["page"], "word_id")
 
 
 @query(f"WITH {_B} SELECT page, arg_min(box_id, (-(x1 - x0), x0, y0, box_id)) AS box_id FROM b GROUP BY page")
@@ -140,14 +136,17 @@ def box_algebra(spark, d):
     return m.select("word_id", "box_id", low("x0").alias("ux0"), low("y0").alias("uy0"), high("x1").alias("ux1"), high("y1").alias("uy1"), (part("x0", "x1").cast("long") * part("y0", "y1")).alias("area"), (F.least(F.col("w.x1"), F.lit(150)) > F.greatest(F.col("w.x0"), F.lit(20))).alias("inside"))
 
 
-@query(f"""WITH {_W}, t AS (SELECT page, median(y1 - y0) AS h, median((x1 - x0) * (y1 - y0)) AS a FROM w GROUP BY page)
-SELECT word_id, CASE WHEN (y1 - y0) * 100 <= h * 50 AND (x1 - x0) * (y1 - y0) * 100 < a * 25 THEN 'speck' WHEN (y1 - y0) * 100 <= h * 50 AND word_id % 3 = 0 THEN 'rule' END AS reason FROM w JOIN t USING (page)""")
+@query(f"""WITH {_W}, x AS (SELECT word_id, page, y1 - y0 AS height, (x1 - x0) * (y1 - y0) AS area, floor((x1 - x0) * (y1 - y0) * (word_id % 21) / 20)::BIGINT AS ink FROM (SELECT word_id, page, x0, y0, x1, CASE WHEN word_id % 5 = 0 THEN y0 + 1 + word_id % 4 ELSE y1 END AS y1 FROM w)),
+t AS (SELECT page, median(height) AS h, median(ink) AS k FROM x GROUP BY page)
+SELECT word_id, CASE WHEN k > 0 AND height * 100 <= h * 31 AND ink * 100 < k * 5 THEN 'speck_band' WHEN height * 100 <= h * 50 AND ink * 100 > area * 60 THEN 'rule_band' END AS reason FROM x JOIN t USING (page)""")
 def speck_and_rule_bands(spark, d):
-    w = words(spark, d)
-    h, a = F.col("y1") - F.col("y0"), (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    mid = w.groupBy("page").agg(F.median(h).alias("_h"), F.median(a).alias("_a"))
-    low = h * 100 <= F.col("_h") * 50
-    return w.join(mid, "page").select("word_id", F.when(low & (a * 100 < F.col("_a") * 25), "speck").when(low & (F.col("word_id") % 3 == 0), "rule").alias("reason"))
+    """Words as bands, a fifth of them one to four rows high, with 0 to 100 % of their box inked."""
+    from inkfold.operators.bands import band_reasons
+
+    w = words(spark, d).withColumn("y1", F.when(F.col("word_id") % 5 == 0, F.col("y0") + 1 + F.col("word_id") % 4).otherwise(F.col("y1")))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    bands = w.select("word_id", "page", (F.col("y1") - F.col("y0")).alias("height"), area.alias("area"), F.floor(area * (F.col("word_id") % 21) / 20).alias("ink"))
+    return band_reasons(bands, ["page"]).select("word_id", "reason")
 
 
 _HEAD = f"""{_F}, c AS (SELECT book, median(first_top) AS c, count(*) AS n FROM f GROUP BY book), m AS (SELECT f.book, any_value(c) AS c, any_value(n) AS n, median(abs(first_top - c)) AS spread FROM f JOIN c USING (book) GROUP BY f.book),
@@ -162,10 +161,10 @@ def head_bands(spark, d):
 _FIT = f"""{_HEAD}, r AS (SELECT f.*, center, win, regexp_extract(page_name, '([0-9])[^0-9]*$', 1)::INT % 2 = 1 AS recto FROM f JOIN h USING (book) WHERE win IS NOT NULL),
 nm AS (SELECT r.*, text_left <= median(text_left) OVER (PARTITION BY book) AS low FROM r WHERE abs(first_top - center) <= win),
 sd AS (SELECT book, count(*) FILTER (WHERE low) AS nl, count(*) FILTER (WHERE NOT low) AS nh, coalesce(avg(recto::INT) FILTER (WHERE NOT low), 0) > coalesce(avg(recto::INT) FILTER (WHERE low), 0) AS hr FROM nm GROUP BY book),
-al AS (SELECT nm.book, first_top, text_left, text_right, CASE WHEN (CASE WHEN least(nl, nh) < 0.2::DOUBLE * (nl + nh) THEN recto WHEN hr THEN NOT low ELSE low END) THEN 'normal_recto' ELSE 'normal_verso' END AS page_class FROM nm JOIN sd USING (book)
- UNION ALL SELECT book, first_top, text_left, text_right, 'chapter_opening' FROM r WHERE first_top - center >= 150),
+al AS (SELECT nm.book, first_top, text_left, text_right, band_count, CASE WHEN (CASE WHEN least(nl, nh) < 0.2::DOUBLE * (nl + nh) THEN recto WHEN hr THEN NOT low ELSE low END) THEN 'normal_recto' ELSE 'normal_verso' END AS page_class FROM nm JOIN sd USING (book)
+ UNION ALL SELECT book, first_top, text_left, text_right, band_count, 'chapter_opening' FROM r WHERE first_top - center >= 150),
 tc AS (SELECT *, median(first_top) OVER (PARTITION BY book, page_class) AS tc FROM al),
-tp AS (SELECT book, page_class, trunc(any_value(tc))::INT AS first_top, trunc(median(abs(first_top - tc)))::INT AS first_spread, trunc(median(text_left))::INT AS text_left, trunc(median(text_right))::INT AS text_right, count(*) AS page_count FROM tc GROUP BY book, page_class)"""
+tp AS (SELECT book, page_class, trunc(any_value(tc))::INT AS first_top, trunc(median(abs(first_top - tc)))::INT AS first_spread, trunc(median(text_left))::INT AS text_left, trunc(median(text_right))::INT AS text_right, trunc(median(band_count))::INT AS band_count, count(*) AS page_count, count(*) / (SELECT count(*) FROM f WHERE f.book = tc.book) AS page_share FROM tc GROUP BY book, page_class)"""
 
 
 @query(f"WITH {_FIT} SELECT * FROM tp")
@@ -184,8 +183,11 @@ def page_classes(spark, d):
     return classify(pages.withColumn("head_top", F.col("first_top")), fit_templates(pages))
 
 
-@query(f"""WITH {_F} SELECT book, page, CASE WHEN first_top >= 105 THEN 0 WHEN first_top + 40 >= 105 THEN 1 ELSE 0 END AS head_ordinal FROM f""")
+@query(f"""WITH {_HEAD}, t AS (SELECT f.book, page, [first_top - 90, first_top - 6, first_top + 40] AS tops, center, win FROM f JOIN h USING (book))
+SELECT book, page, CASE WHEN tops[1] >= center - win THEN 0 WHEN tops[2] >= center - win THEN 1 WHEN tops[3] >= center - win THEN 2 ELSE 0 END AS head_ordinal FROM t""")
 def head_band_search(spark, d):
-    tops = F.array(F.col("first_top"), F.col("first_top") + 40, F.col("first_top") + 80)
-    first = F.array_min(F.filter(F.transform(tops, lambda t, i: F.when(t >= 105, i)), lambda i: i.isNotNull()))
-    return first_bands(spark, d).select("book", "page", F.coalesce(first, F.lit(0)).alias("head_ordinal"))
+    """Pages of three bands, the first of them above the head's window."""
+    pages = first_bands(spark, d)
+    rows = pages.join(head_windows(pages).select("book", "center", "window"), "book")
+    tops = F.array(*[F.col("first_top") + k for k in (-90, -6, 40)])
+    return rows.select("book", "page", head_ordinal(tops, F.col("center"), F.col("window")).alias("head_ordinal"))

@@ -66,9 +66,8 @@ def line_candidates(spark, d):
     return e.select("project_id", "page_name", F.size("candidates").alias("candidates"), F.size("rejected").alias("rejected"), F.array_join("exclusions", "+").alias("exclusions"))
 
 
-@query()
-def turn_alignment(spark, d):
-    """Conversations as pages: the user's turns are source lines, the other turns candidate boxes as wide as their text."""
+def turns(spark, d):
+    """Conversations as pages, (tokens, candidates): the user's turns are source lines, the other turns candidate boxes as wide as their text."""
     from pyspark.sql import Window
 
     rows = table(spark, d, "conversations").withColumns({"_user": F.col("role") == "user", "page_name": F.col("conv_id").cast("string"), "project_id": F.lit("c")})
@@ -87,4 +86,25 @@ def turn_alignment(spark, d):
     pages = rows.groupBy("project_id", "page_name").agg(of(F.col("_user"), line).alias("lines"), of(~F.col("_user"), candidate).alias("candidates"), F.max("_wide").alias("_wide"))
     pages = pages.withColumn("styles", F.expr(f"cast(array() as array<struct<{P.STYLE}>>)"))
     cand = pages.select("project_id", "page_name", F.struct(F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("_wide").alias("x1"), F.lit(4000).alias("y1")).alias("bounds"), "candidates", F.expr(f"cast(null as {P.BOX})").alias("gutter"), F.array().cast("array<string>").alias("exclusions"))
-    return P.aligned(pages.select("project_id", "page_name", "lines", "styles"), cand).select("page_name", "state", F.array_join("exclusions", "+").alias("exclusions"), F.round("normalized_cost", 9).alias("cost"), F.size("operations").alias("operations"))
+    return pages.select("project_id", "page_name", "lines", "styles"), cand
+
+
+@query()
+def turn_alignment(spark, d):
+    return P.aligned(*turns(spark, d)).select("page_name", "state", F.array_join("exclusions", "+").alias("exclusions"), F.round("normalized_cost", 9).alias("cost"), F.size("operations").alias("operations"))
+
+
+@query("SELECT unnest(['page_coherence', 'markup_references', 'pages_unique', 'lines_cover', 'candidates_cover', 'source_order', 'candidate_order', 'natural_order']) AS broken, 0 AS n")
+def stage_invariants(spark, d):
+    """What must hold of measured scans, marked pages and aligned turns; each count is of breaches."""
+    from inkfold.functions.text import natural_key
+    from inkfold.operators import checks
+    from inkfold.operators.selection import ranked
+
+    page = ["project_id", "page_name"]
+    marked_pages = tokens(spark, d)
+    lines, boxes = turns(spark, d)
+    out = checks.page_coherence(P.measured(scans(spark, d))).unionByName(checks.markup_references(marked_pages)).unionByName(checks.repeated(marked_pages, page, "pages_unique"))
+    out = out.unionByName(checks.operation_coverage(P.aligned(lines, boxes), lines, boxes))
+    order = [natural_key(F.col("page_name"))]
+    return out.unionByName(checks.out_of_order(ranked(marked_pages.select(*page), ["project_id"], order, "at"), ["project_id"], "at", order[0], "natural_order"))

@@ -66,6 +66,28 @@ def book_estimates(spark, d):
     return two_stage(measured(spark, d), "book", "page", "page_class", {"height": F.col("height"), "slope": F.when(ok, F.col("slope"))}).select("book", "page_class", "name", "value", "sample_count", "line_sample_count")
 
 
+@query(f"""WITH {_L}, p AS (SELECT book, page, median(height) AS h, count(*) AS n, median(slope) FILTER (WHERE exclusion IS NULL) AS s, count(*) FILTER (WHERE exclusion IS NULL) AS m FROM l GROUP BY book, page)
+SELECT book, page, 'height' AS name, h AS value, n AS line_sample_count, 0::BIGINT AS excluded_line_count, NULL AS missing_reason FROM p UNION ALL SELECT book, page, 'slope', s, m, n - m, CASE WHEN m = 0 THEN 'no_measured_lines' END FROM p
+UNION ALL SELECT book, page, 'gap', CASE WHEN x > 0 THEN g END, x, n - x, CASE WHEN x = 0 THEN 'no_reconciled_word_gaps' END FROM p JOIN (SELECT book, page, count(*) FILTER (WHERE line % 2 = 0) AS x FROM l GROUP BY book, page) USING (book, page)
+LEFT JOIN (SELECT book, page, median(v) AS g FROM (SELECT book, page, unnest([line, height]) AS v FROM l WHERE line % 2 = 0) GROUP BY book, page) USING (book, page)""")
+def page_line_medians(spark, d):
+    from inkfold.operators.pooling import one, page_medians
+
+    none = F.array().cast("array<double>")
+    gaps_of = F.when(F.col("line") % 2 == 0, F.array(F.col("line").cast("double"), F.col("height"))).otherwise(none)
+    metrics = {"height": (one(F.col("height")), "no_matched_lines"), "slope": (one(F.when(F.col("exclusion").isNull(), F.col("slope"))), "no_measured_lines"), "gap": (gaps_of, "no_reconciled_word_gaps")}
+    return page_medians(measured(spark, d), ["book", "page"], metrics)
+
+
+@query(f"""WITH {_L}, p AS (SELECT DISTINCT book, page, CASE WHEN page % 5 <> 0 THEN page_class END AS style FROM l), s AS (SELECT DISTINCT book, style FROM p WHERE style IS NOT NULL)
+SELECT s.book, s.style, coalesce(string_agg(concat(page, ':unpooled_page_class'), ',' ORDER BY page), '') AS exclusions FROM s LEFT JOIN p ON p.book = s.book AND p.style IS DISTINCT FROM s.style GROUP BY s.book, s.style""")
+def unpooled_pages(spark, d):
+    from inkfold.operators.pooling import unpooled
+
+    rows = measured(spark, d).withColumn("style", F.when(F.col("page") % 5 != 0, F.col("page_class")))
+    return unpooled(rows.withColumn("page", F.col("page").cast("string")), "book", "page", "style", F.col("page").cast("long")).select("book", "style", F.array_join("exclusions", ",").alias("exclusions"))
+
+
 @query(f"""WITH {_L}, v AS (SELECT book, list_sort(list(height)) AS s, count(*) AS n FROM l GROUP BY book) SELECT book, s[1 + floor(0.16::DOUBLE * (n - 1) + 0.5)::INT] AS p16, s[1 + floor(0.84::DOUBLE * (n - 1) + 0.5)::INT] AS p84 FROM v""")
 def book_dispersion(spark, d):
     return dispersion(measured(spark, d), ["book"], "height")

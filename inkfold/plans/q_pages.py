@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from inkfold.functions.text import CONTROL, is_recto, letters_only, lines, middle, natural_key, nonblank, strip, tag_count
 from inkfold.operators.features import GROUPS, local_blocks, scored_pages
 from inkfold.operators.islands import since_last
-from inkfold.operators.selection import coverage_first, ranked
+from inkfold.operators.selection import coverage_first, positions, ranked
 
 from .adapters import MARKED, spread, table
 
@@ -57,8 +57,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY score DESC,
 """
 _FLAGS = "special_format, italic_tags, bold_tags, small_caps_tags, dot_leaders, aligned_fields, table_like, poetry_like, quotation_like, multipart_name, illustration_or_ornament, uncertainty_note"
 def _order():
-    return [F.col("score").desc(), natural_key(F.col("page_name"))]
-
+    return [-F.col("score"), natural_key(F.col("page_name"))]
 
 
 @query(f"WITH {PAGES} SELECT page_name, {_FLAGS}, score FROM s")
@@ -76,21 +75,16 @@ def ranked_pages(spark, d):
     return ranked(_pages(spark, d), ["project_id"], _order()).select("project_id", "page_name", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def project_scores(pages):
-    """project_id, top_ten, group_bonus, score: the ten best pages and twenty for each group that any page matches."""
-    rows = ranked(pages, ["project_id"], _order(), "_r")
-    found = sum((F.max(F.array_contains("groups", g).cast("int")) for g in GROUPS), F.lit(0))
-    out = rows.groupBy("project_id").agg(F.sum(F.when(F.col("_r") <= 10, F.col("score"))).alias("top_ten"), (20 * found).alias("group_bonus"))
-    return out.withColumn("score", F.col("top_ten") + F.col("group_bonus"))
-
-
 @query(
     f"""WITH {PAGES}, a AS (SELECT project_id, sum(score)::BIGINT AS top_ten FROM r WHERE rank <= 10 GROUP BY project_id),
 g AS (SELECT project_id, count(DISTINCT x) AS n FROM (SELECT project_id, unnest(groups) AS x FROM s) GROUP BY project_id)
 SELECT project_id, top_ten, 20 * coalesce(n, 0) AS group_bonus, top_ten + 20 * coalesce(n, 0) AS score FROM a LEFT JOIN g USING (project_id) ORDER BY score DESC, project_id LIMIT 50"""
 )
 def rank_projects(spark, d):
-    return project_scores(_pages(spark, d)).orderBy(F.col("score").desc(), "project_id").limit(50)
+    from .stages import project_scores
+
+    scores = project_scores(_pages(spark, d)).withColumnRenamed("top_ten_page_scores", "top_ten")
+    return scores.orderBy(F.col("score").desc(), "project_id").limit(50)
 
 
 @query(f"WITH {PAGES} SELECT count(DISTINCT project_id) AS projects, count(*) AS pages, count(*) FILTER (WHERE len(groups) > 0) AS matched, sum(score)::BIGINT AS score FROM s")
@@ -126,7 +120,8 @@ def sorted_diagnostics(spark, d):
         F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("project"), F.col("doc_id") % 5)).alias("project_id"),
         F.concat(F.lit("p"), "doc_id").alias("page_name"),
     ).filter("code is not null")
-    return ranked(x.withColumn("_all", F.lit(0)), ["_all"], [F.col("code"), F.coalesce("project_id", F.lit("")), F.coalesce("page_name", F.lit(""))], "position").drop("_all").withColumn("position", F.col("position").cast("long"))
+    empty = F.lit("")
+    return positions(x, [F.col("code"), F.coalesce("project_id", empty)], [F.coalesce("page_name", empty)]).withColumn("position", F.col("position").cast("long"))
 
 
 @query("SELECT doc_id, source AS project_id, true AS available FROM documents SEMI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, source, false FROM documents ANTI JOIN labels USING (doc_id)")
@@ -179,8 +174,9 @@ def blank_lines_before(spark, d):
 def word_offsets(spark, d):
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
     rows = table(spark, d, "benchmark").select("item_id", words.alias("w"))
-    ends = F.transform("w", lambda x, i: F.aggregate(F.slice("w", F.lit(1), i), F.lit(0), lambda s, y: s + F.length(y) + 1))
-    return rows.select("item_id", F.posexplode(ends).alias("word", "start"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate("w", zero, lambda s, y: F.struct((s["at"] + F.length(y) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
+    return rows.select("item_id", F.posexplode(starts).alias("word", "start"))
 
 
 @query("SELECT source AS project_id, count(*) AS pages, count(*) FILTER (WHERE (doc_id % 10) % 2 = 1) AS recto FROM documents GROUP BY source")

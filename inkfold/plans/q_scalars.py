@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkfold.operators.checks import not_contiguous, not_covering, violations
+from inkfold.operators.checks import not_contiguous, violations
 from inkfold.operators.review import book_yield, category, count_exclusions, gate, quality_exclusions, review_summary
 
 from .adapters import table
@@ -33,16 +33,15 @@ def turns(spark, d):
 @query(f"""WITH {_TURNS}, x AS (SELECT *, least(lines, candidates) AS matched, abs(coalesce(a, 0) - coalesce(b, 0)) / greatest(coalesce(a, 0) + coalesce(b, 0), 1) AS cost, (conv_id % 10) / 20 AS uniqueness,
  CASE WHEN conv_id % 9 = 0 THEN ['blank_page', 'blank_page'] ELSE [] END AS inherited FROM t),
 y AS (SELECT *, list_filter([CASE WHEN lines < 4 OR lines > 80 THEN 'line_count_out_of_range' END, CASE WHEN abs(lines - candidates) > greatest(2, ceil(0.1::DOUBLE * lines)) THEN 'line_count_difference_exceeds_maximum' END], lambda v: v IS NOT NULL) AS early,
- list_filter([CASE WHEN (CASE WHEN lines > 0 THEN matched / lines ELSE 0 END) < 0.9::DOUBLE THEN 'matched_ratio_below_minimum' END, CASE WHEN cost > 0.22::DOUBLE THEN 'normalized_cost_exceeds_maximum' END, CASE WHEN uniqueness < 0.15::DOUBLE THEN 'alignment_not_unique' END], lambda v: v IS NOT NULL) AS late FROM x)
-SELECT conv_id, concat(CASE WHEN len(inherited) > 0 THEN 'blank_page+' ELSE '' END, array_to_string(list_concat(early, late), '+')) AS exclusions, CASE WHEN len(inherited) + len(early) > 0 THEN 'excluded' WHEN len(late) > 0 THEN 'proposed' ELSE 'accepted' END AS state FROM y""")
+ list_filter([CASE WHEN (CASE WHEN lines > 0 THEN matched / lines ELSE 0 END) < 0.9::DOUBLE THEN 'matched_ratio_below_minimum' END, CASE WHEN cost > 0.22::DOUBLE THEN 'normalized_cost_exceeds_maximum' END, CASE WHEN uniqueness < 0.15::DOUBLE THEN 'uniqueness_margin_below_minimum' END], lambda v: v IS NOT NULL) AS late FROM x)
+SELECT conv_id, array_to_string(list_concat(CASE WHEN len(inherited) > 0 THEN ['blank_page'] ELSE [] END, list_concat(early, late)), '+') AS exclusions, CASE WHEN len(inherited) + len(early) > 0 THEN 'excluded' WHEN len(late) > 0 THEN 'proposed' ELSE 'accepted' END AS state FROM y""")
 def acceptance_gate(spark, d):
     t = turns(spark, d)
     total = F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))
     cost = F.abs(F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))) / F.greatest(total, F.lit(1))
     inherited = F.when(F.col("conv_id") % 9 == 0, F.array(F.lit("blank_page"), F.lit("blank_page"))).otherwise(F.array().cast("array<string>"))
     codes, state = gate(inherited, count_exclusions(F.col("lines"), F.col("candidates")), quality_exclusions(F.least("lines", "candidates"), F.col("lines"), cost, (F.col("conv_id") % 10) / 20))
-    text = F.array_join(codes, "+")
-    return t.select("conv_id", F.when((F.col("conv_id") % 9 == 0) & (F.size(codes) == 1), F.concat(text, F.lit("+"))).otherwise(text).alias("exclusions"), state.alias("state"))
+    return t.select("conv_id", F.array_join(codes, "+").alias("exclusions"), state.alias("state"))
 
 
 _LAB = "x AS (SELECT d.doc_id, source, CASE WHEN l.doc_id IS NULL THEN ['image_unavailable'] WHEN toxic = 1 THEN ['source_changed', 'table_like'] WHEN quality = 0 THEN ['table_like'] ELSE [] END AS codes, quality, toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -91,10 +90,16 @@ def matched_lines(spark, d):
     return rows.select("l_orderkey", "l_linenumber", "p_name", "o_orderpriority", "l_quantity")
 
 
-@query("""WITH a AS (SELECT doc_id, sha256(text) AS recorded FROM documents), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 50 = 0 THEN concat(text, ' ') ELSE text END) AS actual FROM documents) SELECT doc_id, recorded = actual AS matches, substr(actual, 1, 12) AS head FROM a JOIN b USING (doc_id)""")
+@query("""SELECT source AS project_id, doc_id AS page_name, CASE WHEN doc_id % 50 = 0 THEN 'source_changed+x' ELSE 'x' END AS exclusions, CASE WHEN doc_id % 50 = 0 THEN 0 ELSE 1 END AS candidates FROM documents WHERE text <> ''""")
 def provenance(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("recorded"), F.sha2(F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text")), 256).alias("actual"))
-    return docs.select("doc_id", (F.col("recorded") == F.col("actual")).alias("matches"), F.substring("actual", 1, 12).alias("head"))
+    """Scans hashed when they were measured and again when they were cut; one in fifty has changed in between."""
+    from .stages import unchanged
+
+    docs = table(spark, d, "documents").filter("text <> ''").select(F.col("source").alias("project_id"), F.col("doc_id").alias("page_name"), "text")
+    later = F.when(F.col("page_name") % 50 == 0, F.concat("text", F.lit(" "))).otherwise(F.col("text"))
+    now = docs.select("project_id", "page_name", F.sha2(later, 256).alias("sha256"), F.array(F.lit("x")).alias("exclusions"), F.array(F.lit(1)).alias("candidates"))
+    got = unchanged(now, docs.select("project_id", "page_name", F.sha2("text", 256).alias("sha256")))
+    return got.select("project_id", "page_name", F.array_join("exclusions", "+").alias("exclusions"), F.size("candidates").alias("candidates"))
 
 
 @query("""SELECT p_partkey, greatest(2, (p_size + 199) // 200)::BIGINT AS active_rows, ceil(p_size / 100)::BIGINT AS strip, ceil(0.1::DOUBLE * p_size)::BIGINT AS tolerance, p_size * 100 < 25 * 5 AS speck, least(greatest(p_retailprice, 910::DOUBLE), 1500::DOUBLE) AS clamped,
@@ -145,10 +150,14 @@ def payload_keys(spark, d):
     return table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT page, word, emit FROM (SELECT doc_id AS page, source AS word, true AS emit FROM documents SEMI JOIN labels USING (doc_id) UNION ALL SELECT doc_id, source, false FROM documents ANTI JOIN labels USING (doc_id))""")
+@query("""WITH p AS (SELECT doc_id, source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+SELECT source AS project_id, concat('p', doc_id) AS page_name, doc_id IN (SELECT doc_id FROM p) AS emit FROM documents WHERE source IN (SELECT source FROM p)""")
 def whole_book_pages(spark, d):
-    docs, ranked = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.col("source").alias("word")), table(spark, d, "labels").select(F.col("doc_id").alias("page")).distinct()
-    return docs.join(ranked, "page", "left_semi").withColumn("emit", F.lit(True)).unionByName(docs.join(ranked, "page", "left_anti").withColumn("emit", F.lit(False)))
+    from .stages import selected
+
+    pages = table(spark, d, "documents").select(F.col("source").alias("project_id"), F.concat(F.lit("p"), "doc_id").alias("page_name"), "doc_id")
+    chosen = pages.join(table(spark, d, "labels").filter("toxic = 1").select("doc_id"), "doc_id", "left_semi")
+    return selected(pages.drop("doc_id"), chosen)
 
 
 @query("""SELECT lang, (SELECT string_agg(x, '+' ORDER BY x) FROM (SELECT DISTINCT source AS x FROM documents e WHERE e.lang = d.lang EXCEPT SELECT DISTINCT source FROM documents WHERE lang = 'de' AND n_chars > 2000)) AS only_here FROM (SELECT DISTINCT lang FROM documents) d""")
@@ -167,17 +176,14 @@ def exclusion_sets(spark, d):
     return rows.select("doc_id", F.size(both).alias("codes"), F.arrays_overlap("codes", F.array(F.lit("table_like"))).alias("defect"))
 
 
-@query(f"""WITH {_LINES}, r AS (SELECT doc_id, ordinal, coalesce(sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(octet_length(encode(line)) + 1) OVER (PARTITION BY doc_id ORDER BY ordinal) AS b FROM l)
-SELECT 'source_lines_contiguous' AS broken, count(*) AS n FROM (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM r) WHERE p <> a UNION ALL SELECT 'line_order', 0 UNION ALL SELECT 'operations_cover', 0""")
+@query(f"""WITH {_LINES}
+SELECT 'source_lines_contiguous' AS broken, (SELECT count(*) FROM l WHERE doc_id % 100 = 7 AND ordinal = 2) AS n UNION ALL SELECT 'line_order', 0""")
 def line_invariants(spark, d):
+    """Byte ranges of lines; where doc_id ends in 07 the second line is left out, so that its successor begins too late."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
     size = F.octet_length("line") + 1
     rows = doc_lines(spark, d).select("doc_id", "ordinal", (F.sum(size).over(w) - size).alias("a"), F.sum(size).over(w).alias("b"))
-    again = doc_lines(spark, d).select("doc_id", "ordinal")
-    return (
-        not_contiguous(rows, ["doc_id"], "a", "b", "source_lines_contiguous")
-        .unionByName(violations(rows, "line_order", (F.col("ordinal") >= 0) & (F.col("b") > F.col("a"))))
-        .unionByName(not_covering(rows.select("doc_id", "ordinal"), again, "operations_cover"))
-    )
+    rows = rows.filter("doc_id % 100 <> 7 or ordinal <> 1")
+    return not_contiguous(rows, ["doc_id"], "a", "b", "source_lines_contiguous").unionByName(violations(rows, "line_order", (F.col("ordinal") >= 0) & (F.col("b") > F.col("a"))))

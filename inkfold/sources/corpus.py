@@ -46,7 +46,28 @@ def f2_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def transcriptions(spark: SparkSession, root: str) -> DataFrame:
-    return _page_map(_files(spark, root, "pages.json").filter("relative = 'pages.json'"), "malformed_transcriptions")
+    return _page_map(_files(spark, root, "pages.json").filter("relative = 'pages.json'"), "malformed_pages_json")
+
+
+def missing_transcriptions(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """project_id, diagnostic of the projects in `known` that have no transcription map."""
+    have = _files(spark, root, "pages.json").filter("relative = 'pages.json'").select("project_id").distinct()
+    return known.select("project_id").distinct().join(have, "project_id", "left_anti").withColumn("diagnostic", F.lit("missing_pages_json"))
+
+
+def unresolvable(pages: DataFrame) -> DataFrame:
+    """project_id, page_name, diagnostic of page names that no scan can have: within the project as they are written, but with a
+    backslash, a NUL or a dot part. Empty and absolute names and those that lead upward have no scan and no diagnostic."""
+    name = F.col("page_name")
+    outside = (name == "") | name.startswith("/") | name.rlike(r"(?:^|/)\.\.(?:/|$)")
+    return pages.filter(~outside & ~safe_name(name)).select("project_id", "page_name", F.lit("unresolvable_image_path").alias("diagnostic"))
+
+
+def changed_scans(spark: SparkSession, root: str, recorded: DataFrame) -> DataFrame:
+    """project_id, page_name, diagnostic of recorded(project_id, page_name, sha256) scans whose bytes are others now, or gone."""
+    now = scans(spark, root).select("project_id", "page_name", F.col("sha256").alias("_now"))
+    both = recorded.filter("sha256 is not null").select("project_id", "page_name", "sha256").join(now, ["project_id", "page_name"], "left")
+    return both.filter(~F.col("sha256").eqNullSafe(F.col("_now"))).select("project_id", "page_name", F.lit("source_changed").alias("diagnostic"))
 
 
 def safe_name(name: Column) -> Column:
@@ -65,11 +86,38 @@ def scans(spark: SparkSession, root: str) -> DataFrame:
 
 def witness_words(spark: SparkSession, path: str) -> DataFrame:
     """Recognised words with pixel boxes of a recogniser's JSON lines; normalised or empty boxes are left out."""
-    rows = spark.read.schema(WITNESS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).filter("_bad is null")
+    rows = _witness(spark, path).filter("_bad is null")
     rows = rows.select("project_id", "page_name", "image_sha256", "recognizer", F.explode("words").alias("w"))
     a, b = F.col("w.bbox.top_left"), F.col("w.bbox.bottom_right")
     usable = ~F.col("w.bbox.is_normalized") & ~a["is_normalized"] & ~b["is_normalized"] & (b["x"] > a["x"]) & (b["y"] > a["y"])
-    return rows.filter(usable).select("project_id", "page_name", "image_sha256", "recognizer", F.col("w.line_index").alias("line_index"), F.col("w.word_index").alias("word_index"), F.col("w.text").alias("word"), F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")).alias("box"))
+    return rows.filter(usable).select("project_id", "page_name", "image_sha256", "recognizer", F.col("w.line_index").alias("line_index"), F.col("w.word_index").alias("word_index"), F.col("w.text").alias("word"), F.col("w.confidence").alias("confidence"), F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")).alias("box"))
+
+
+def _witness(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(WITNESS).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
+
+
+class WitnessError(ValueError):
+    """A recogniser's record can't be used."""
+
+
+def require_witness(spark: SparkSession, path: str, project_id: str | None = None) -> DataFrame:
+    """witness_words of a record that has no fault; WitnessError with the faults of one that has.
+
+    Faults: unreadable records, another schema version than 1.x, several or other projects, several recognisers, a page twice.
+    """
+    pages = _witness(spark, path)
+    seen = pages.agg(
+        F.count_if(F.col("_bad").isNotNull() | F.col("page_name").isNull()).alias("bad"), F.count_if(~F.coalesce(F.col("schema_version").startswith("1."), F.lit(False))).alias("version"),
+        F.countDistinct("project_id").alias("p"), F.min("project_id").alias("first"), F.countDistinct("recognizer").alias("r"), (F.count("page_name") - F.countDistinct("project_id", "page_name")).alias("again"),
+    ).first()
+    faults = {
+        "unreadable_record": seen["bad"], "unknown_version": seen["version"], "several_projects": seen["p"] > 1, "other_project": project_id is not None and seen["first"] not in (None, project_id),
+        "several_recognizers": seen["r"] > 1, "repeated_page": seen["again"],
+    }
+    if any(faults.values()):
+        raise WitnessError(", ".join(k for k, v in faults.items() if v))
+    return witness_words(spark, path)
 
 
 def witness_faults(words: DataFrame) -> DataFrame:

@@ -7,7 +7,10 @@ import os
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import files
 
 #: Names of latent properties that a report must not claim.
 LATENT = ("font", "font_family", "point_size", "kerning", "tracking", "leading")
@@ -62,3 +65,100 @@ def latent_keys(value: object) -> list[str]:
 
 def schema_json(df: DataFrame) -> str:
     return df.schema.json()
+
+
+#: Version of the reports that stages write, and the algorithm that they name.
+VERSION, ALGORITHM = 1, "inkfold/1"
+
+
+class ReportError(ValueError):
+    """A report is not one of ours, of this version, whole and unchanged."""
+
+
+def digest(df: DataFrame) -> str:
+    """A table's fingerprint whatever its order: the number of rows and the sum of two hashes of each."""
+    row = F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]))
+    total = df.select(F.xxhash64(row).alias("a"), F.xxhash64(F.concat(F.lit("+"), row)).alias("b")).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col(c).cast("decimal(38,0)")).alias(c) for c in "ab"]).first()
+    return f"{total['n']}:{total['a'] or 0}:{total['b'] or 0}"
+
+
+def described(table: DataFrame) -> dict:
+    return {"rows": table.count(), "schema": schema_json(table), "digest": digest(table)}
+
+
+def read_tables(spark: SparkSession, directory: str, stage: str, keys: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The tables of a stage's report below a directory, for the next stage: each must have the schema, rows and digest that the report
+    tells, and no two rows with the same keys. Anything else is a ReportError."""
+    try:
+        told = json.loads(files.read(spark, f"{directory}/report.json"))
+    except Exception as e:
+        raise ReportError(f"no report in {directory}") from e
+    if told.get("schema_version") != VERSION or told.get("algorithm") != ALGORITHM:
+        raise ReportError("another version")
+    if told.get("stage") != stage:
+        raise ReportError(f"a report of {told.get('stage')}, not of {stage}")
+    out = {}
+    for name, own in keys.items():
+        if name not in told["tables"]:
+            raise ReportError(f"no table {name}")
+        table = spark.read.parquet(f"{directory}/{name}")
+        if schema_json(table) != told["tables"][name]["schema"] or digest(table) != told["tables"][name]["digest"]:
+            raise ReportError(f"{name} has changed since its report")
+        if own and table.groupBy(*own).count().filter("count > 1").limit(1).count():
+            raise ReportError(f"{name} has a row twice")
+        out[name] = table
+    return out
+
+
+#: Fixed names within an inventory directory.
+ROWS, ATLAS, MANIFEST, MARKER = "glyphs.jsonl", "atlas", "manifest.json", ".nobackup"
+IDENTITY = ["project_id", "page_name", "tier", "line", "word", "glyph"]
+
+
+def write_inventory(glyphs: DataFrame, pages: DataFrame, path: str, corpus: str, sheets=None) -> dict:
+    """An inventory directory: rows as JSON lines in identity order, then their hashes, the atlas, and last the manifest.
+
+    glyphs: a row a glyph with IDENTITY; pages: the page table (project_id, page_name, sha256, path); sheets(rows): the atlas of
+    rows read back from what was written. Parts of the rows are in order by name, as their rows are. An identity twice is refused,
+    and so is a place inside the corpus. Gives the manifest.
+    """
+    from inkfold.functions.text import natural_key
+
+    spark = glyphs.sparkSession
+    if files.inside(spark, path, corpus):
+        raise DestinationError(f"{path} lies inside the corpus")
+    if glyphs.groupBy(*IDENTITY).count().filter("count > 1").limit(1).count():
+        raise ReportError("a glyph identity stands twice")
+    files.write(spark, f"{path}/{MARKER}", b"")
+    order = [F.col("project_id"), natural_key(F.col("page_name")), *[F.col(c) for c in IDENTITY[2:]]]
+    plain = glyphs.drop("image", "grid")
+    plain.orderBy(*order).select(F.to_json(F.struct(*[F.col(c) for c in sorted(plain.columns)])).alias("value")).write.text(f"{path}/{ROWS}")
+    parts = spark.read.format("binaryFile").load(f"{path}/{ROWS}").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length").orderBy("name")
+    manifest = {"schema_version": VERSION, "algorithm": ALGORITHM, "rows": {"parts": [r.asDict() for r in parts.collect()], "glyphs": spark.read.text(f"{path}/{ROWS}").count()}, "coverage": [r.asDict() for r in plain.groupBy("tier", "style", "character").count().orderBy("tier", F.col("style").asc_nulls_first(), "character").collect()]}
+    if sheets is not None:
+        sheets.write.parquet(f"{path}/{ATLAS}")
+        manifest["atlas"] = {"sheets": spark.read.parquet(f"{path}/{ATLAS}").count(), "digest": digest(spark.read.parquet(f"{path}/{ATLAS}").drop("png"))}
+    pages.write.parquet(f"{path}/pages")
+    files.write(spark, f"{path}/{MANIFEST}", pretty(manifest).encode())
+    return manifest
+
+
+def read_inventory(spark: SparkSession, path: str, schema) -> tuple[dict, DataFrame]:
+    """(manifest, rows) of an inventory whose parts have the hashes that the manifest tells; ReportError otherwise."""
+    try:
+        manifest = json.loads(files.read(spark, f"{path}/{MANIFEST}"))
+    except Exception as e:
+        raise ReportError(f"no manifest in {path}") from e
+    if manifest.get("schema_version") != VERSION or manifest.get("algorithm") != ALGORITHM:
+        raise ReportError("another version")
+    parts = spark.read.format("binaryFile").load(f"{path}/{ROWS}").select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"), "length").orderBy("name")
+    try:
+        same = [r.asDict() for r in parts.collect()] == manifest["rows"]["parts"]
+    except Exception as e:  # a file system with checksums of its own refuses to read what has changed
+        raise ReportError("rows have changed since the manifest") from e
+    if not same:
+        raise ReportError("rows have changed since the manifest")
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{path}/{ROWS}")
+    if rows.count() != manifest["rows"]["glyphs"] or rows.groupBy(*IDENTITY).count().filter("count > 1").limit(1).count():
+        raise ReportError("rows are missing, or stand twice")
+    return manifest, rows

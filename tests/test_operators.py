@@ -96,7 +96,7 @@ def test_coverage_first(spark):
     rnd = random.Random(4)
     rows = [(f"b{i % 3}", f"p{i}", rnd.randint(0, 6), rnd.sample(GROUPS, rnd.randint(0, 3))) for i in range(90)]
     for k in (1, 3, 7, 40):
-        got = selection.coverage_first(spark.createDataFrame(rows, "b string, n string, s int, groups array<string>"), ["b"], "n", [F.col("s").desc(), T.natural_key(F.col("n"))], GROUPS, k).collect()
+        got = selection.coverage_first(spark.createDataFrame(rows, "b string, n string, s int, groups array<string>"), ["b"], "n", [-F.col("s"), T.natural_key(F.col("n"))], GROUPS, k).collect()
         for b in ("b0", "b1", "b2"):
             order = sorted((r for r in rows if r[0] == b), key=lambda r: (-r[2], natural_key(r[1])))
             taken = []
