@@ -22,7 +22,7 @@ def strip(text: Column) -> Column:
 
 
 def nonblank(parts: Column) -> Column:
-    return F.filter(parts, lambda x: strip(x) != "")
+    return F.filter(parts, lambda x: x.rlike(r"(?U)[^\s\u001c-\u001f]"))
 
 
 def bound(value: Column, use) -> Column:
@@ -49,7 +49,9 @@ _CHEROKEE = "".join(map(chr, range(0xAB70, 0xABC0))) + "".join(map(chr, range(0x
 
 def case_folded(text: Column) -> Column:
     """The full Unicode case folding of a text: lower case of the upper case, and where that differs, what the folding gives."""
-    cased = F.lower(F.upper(F.lower(F.translate(text, _KEPT, _MARK))))
+    # the optimizer takes a change of case right upon another to be the outer one alone, so they are kept apart
+    apart = lambda c: F.translate(c, _KEPT, _MARK)
+    cased = F.lower(apart(F.upper(apart(F.lower(apart(text))))))
     return F.translate(cased, "\u03c2" + _MARK + _CHEROKEE[0], "\u03c3" + _KEPT + _CHEROKEE[1])
 
 

@@ -10,6 +10,8 @@ from statistics import median
 
 import numpy as np
 
+from . import jpeg
+
 Box = tuple[int, int, int, int]
 #: Weights of red, green and blue in 16-bit fixed point.
 LUMA = (19595, 38470, 7471)
@@ -19,6 +21,17 @@ class ScanError(ValueError):
     """The bytes are no scan that can be read."""
 
 
+#: Declared pixels beyond which a scan is refused before anything is allocated.
+MAX_PIXELS = (1 << 30) // 12
+
+
+def _sized(width: int, height: int) -> None:
+    if width < 1 or height < 1:
+        raise ScanError("bad dimensions")
+    if width * height > MAX_PIXELS:
+        raise ScanError("too large")
+
+
 def _netpbm(data: bytes) -> np.ndarray:
     head = re.match(rb"P([1245])((?:\s*#[^\n]*\n|\s)+)", data)
     if not head:
@@ -31,8 +44,9 @@ def _netpbm(data: bytes) -> np.ndarray:
         numbers.append(int(m[1]))
         at = m.end()
     width, height, top = *numbers[:2], numbers[2] if kind in (2, 5) else 1
-    if width < 1 or height < 1 or not 0 < top < 256:
-        raise ScanError("bad dimensions")
+    if not 0 < top < 256:
+        raise ScanError("bad depth")
+    _sized(width, height)
     body = data[at:]
     if kind in (1, 2):
         body = re.sub(rb"#[^\n]*", b"", body)
@@ -88,6 +102,21 @@ def luma(rgb: np.ndarray) -> np.ndarray:
     return ((r * LUMA[0] + g * LUMA[1] + b * LUMA[2] + 0x8000) >> 16).astype(np.uint8)
 
 
+#: First column and row of each pass of an interlaced PNG, and its steps.
+ADAM7 = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
+def _inflated(data: bytes, size: int) -> bytes:
+    """`size` decompressed bytes; a stream that holds more gives no more."""
+    try:
+        raw = zlib.decompressobj().decompress(data, size)
+    except zlib.error as e:
+        raise ScanError("damaged png") from e
+    if len(raw) < size:
+        raise ScanError("cut short")
+    return raw
+
+
 def _png(data: bytes) -> np.ndarray:
     at, parts, palette, alpha, head = 8, [], None, None, None
     while at + 8 <= len(data):
@@ -105,19 +134,25 @@ def _png(data: bytes) -> np.ndarray:
     if head is None:
         raise ScanError("no header")
     width, height, depth, kind, _, _, interlace = head
+    _sized(width, height)
     channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind)
-    if channels is None or interlace or depth == 16:
+    if channels is None or depth not in (1, 2, 4, 8, 16) or interlace > 1:
         raise ScanError("unsupported png")
-    try:
-        raw = zlib.decompress(b"".join(parts))
-    except zlib.error as e:
-        raise ScanError("damaged png") from e
-    rows = _unfilter(raw, height, -(-width * channels * depth // 8), max(1, channels * depth // 8))
-    if depth < 8:
-        bits = np.unpackbits(rows, axis=1).reshape(height, -1, depth)
-        rows = (bits * (1 << np.arange(depth)[::-1])).sum(axis=2)[:, :width].astype(np.uint8)
-        rows = rows if kind == 3 else (rows.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
-    pixels = rows.reshape(height, width, channels)
+    passes = [(x, y, dx, dy) for x, y, dx, dy in ADAM7 if x < width and y < height] if interlace else [(0, 0, 1, 1)]
+    sizes = [(-(-(height - y) // dy), -(-(width - x) // dx)) for x, y, dx, dy in passes]
+    strides = [-(-w * channels * depth // 8) for _, w in sizes]
+    raw = _inflated(b"".join(parts), sum(h * (n + 1) for (h, _), n in zip(sizes, strides, strict=True)))
+    pixels, at = np.zeros((height, width, channels), np.uint8), 0
+    for (x, y, dx, dy), (h, w), stride in zip(passes, sizes, strides, strict=True):
+        rows = _unfilter(raw[at : at + h * (stride + 1)], h, stride, max(1, channels * depth // 8))
+        at += h * (stride + 1)
+        if depth == 16:  # the high byte
+            rows = rows[:, ::2]
+        elif depth < 8:
+            bits = np.unpackbits(rows, axis=1).reshape(h, -1, depth)
+            rows = (bits * (1 << np.arange(depth)[::-1])).sum(axis=2)[:, :w].astype(np.uint8)
+            rows = rows if kind == 3 else (rows.astype(np.int64) * 255 // ((1 << depth) - 1)).astype(np.uint8)
+        pixels[y::dy, x::dx] = rows.reshape(h, w, channels)
     opacity = pixels[..., -1].astype(np.int64) if kind in (4, 6) else None
     if kind == 3:
         if palette is None:
@@ -131,10 +166,44 @@ def _png(data: bytes) -> np.ndarray:
     return luma(colour) if colour.shape[2] == 3 else colour[..., 0]
 
 
+def _tag(block: bytes | None) -> int | None:
+    """The orientation that an Exif block tells, 1 to 8."""
+    try:
+        order = {b"II": "<", b"MM": ">"}[block[:2]]
+        start = struct.unpack_from(order + "I", block, 4)[0]
+        for k in range(struct.unpack_from(order + "H", block, start)[0]):
+            tag, kind, _, value = struct.unpack_from(order + "HHIH", block, start + 2 + 12 * k)
+            if tag == 0x0112 and kind == 3:
+                return value if 1 <= value <= 8 else None
+    except (KeyError, TypeError, struct.error):
+        pass
+    return None
+
+
+def orientation(data: bytes) -> int | None:
+    """The Exif orientation that a scan records; it is told, not applied."""
+    if data[:3] == b"\xff\xd8\xff":
+        return _tag(jpeg.exif(data))
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        at = 8
+        while at + 8 <= len(data):
+            size, kind = struct.unpack_from(">I4s", data, at)
+            if kind == b"eXIf":
+                return _tag(data[at + 8 : at + 8 + size])
+            at += size + 12
+    return None
+
+
 def decode(data: bytes) -> np.ndarray:
-    """8-bit gray of a plain or raw netpbm bitmap or graymap, or a PNG; transparency lies over white."""
+    """8-bit gray of a plain or raw netpbm bitmap or graymap, a PNG of any depth, interlaced or not, or a baseline JPEG; transparency
+    lies over white. A scan of over MAX_PIXELS is refused by its header."""
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         return _png(data)
+    if data[:3] == b"\xff\xd8\xff":
+        try:
+            return jpeg.decode(data, MAX_PIXELS)
+        except jpeg.JpegError as e:
+            raise ScanError(str(e)) from e
     if data[:1] == b"P":
         return _netpbm(data)
     raise ScanError("no codec for these bytes")

@@ -49,12 +49,12 @@ def local_blocks(pages: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _aligned(line: Column) -> Column:
-    return strip(line).rlike(r"(?s)^\S(?:.*?\S)? {3,}\S(?:.*\S)?$")
+    return line.contains("   ") & strip(line).rlike(r"(?s)^\S(?:.*?\S)? {3,}\S(?:.*\S)?$")
 
 
 def _quoted(line: Column) -> Column:
-    s = strip(line)
-    return (s.startswith('"') & s.endswith('"')) | (s.startswith("“") & s.endswith("”"))
+    """Begins and ends, but for white space, with a straight quote, or with an opening and a closing one."""
+    return line.rlike(r"(?sU)^[\s\u001c-\u001f]*(?:\"(?:.*\")?|\u201c.*\u201d)[\s\u001c-\u001f]*$")
 
 
 def _quoted_run(block: Column) -> Column:

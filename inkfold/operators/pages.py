@@ -25,7 +25,7 @@ STYLE = "kind:string,start:int,end:int,byte_start:long,byte_end:long"
 SPAN = "opening_id:string,block_id:string,kind:string,byte_start:long,byte_end:long,closed:boolean"
 TOKENS = f"""project_id string, page_name string, source_text string, feature_text string, blocks array<string>, visible_text string, lines array<struct<{LINE}>>,
 operations array<struct<kind:string,byte_start:long,byte_end:long,output:string>>, styles array<struct<{STYLE}>>, spans array<struct<{SPAN}>>, diagnostics array<struct<code:string,byte_start:long,byte_end:long>>"""
-MEASURED = f"""project_id string, page_name string, sha256 string, width int, height int, threshold int, bounds {BOX}, margins {BOX}, foreground_pixels long,
+MEASURED = f"""project_id string, page_name string, sha256 string, exif_orientation int, width int, height int, threshold int, bounds {BOX}, margins {BOX}, foreground_pixels long,
 bands array<struct<y_start:int,y_end:int,x_start:int,x_end:int,foreground_pixels:long>>, band_height double, band_pitch double, diagnostics array<string>"""
 CANDIDATE = f"band:int,box:{BOX},ink:long,components:int,profile:array<double>"
 EXTRACTED = f"""project_id string, page_name string, sha256 string, bounds {BOX}, candidates array<struct<{CANDIDATE}>>,
@@ -94,6 +94,7 @@ def measured(scans: DataFrame) -> DataFrame:
         if x["content"] is None:
             return [row | {"diagnostics": ["image_missing"]}]
         row["sha256"] = hashlib.sha256(x["content"]).hexdigest()
+        row["exif_orientation"] = R.orientation(x["content"])
         try:
             m, _ = R.measure(R.decode(x["content"]))
         except R.ScanError:

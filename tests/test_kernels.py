@@ -53,12 +53,119 @@ def test_png_filters(kind):
     assert np.array_equal(raster.decode(png), raster.luma(rgb))
 
 
-@pytest.mark.parametrize("data", [b"", b"P9 1 1", b"P5\n4 4\n255\nab", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff"])
+@pytest.mark.parametrize("data", [b"", b"P9 1 1", b"P5\n4 4\n255\nab", b"\x89PNG\r\n\x1a\n", b"\xff\xd8\xff", b"\xff\xd8\xff\xdb\x00", b"P5 100000 100000 255\n"])
 def test_bad_scans(data):
     with pytest.raises(raster.ScanError):
         raster.decode(data)
 
 
+def png_of(raw, width, height, depth, kind, interlace=0, extra=b""):
+    chunk = lambda k, d: struct.pack(">I", len(d)) + k + d + b"\0\0\0\0"
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, interlace)) + extra + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (3, 2), (9, 17), (16, 8)])
+def test_interlaced_and_deep_pngs(shape):
+    gray = np.random.default_rng(2).integers(0, 1 << 16, shape).astype(np.uint16)
+    low = (gray >> 8).astype(np.uint8)
+    rows = b"".join(b"\0" + r.astype(">u2").tobytes() for r in gray)
+    assert np.array_equal(raster.decode(png_of(rows, shape[1], shape[0], 16, 0)), low)
+    # each pixel's pass by its place in the 8 x 8 pattern
+    pattern = ["16462646", "77777777", "56565656", "77777777", "36463646", "77777777", "56565656", "77777777"]
+    raw = b""
+    for p in "1234567":
+        for y in range(shape[0]):
+            own = [low[y, x] for x in range(shape[1]) if pattern[y % 8][x % 8] == p]
+            raw += b"\0" + bytes(own) if own else b""
+    assert np.array_equal(raster.decode(png_of(raw, shape[1], shape[0], 8, 0, 1)), low)
+
+
+def test_scans_larger_than_they_are_refused():
+    for data in (png_of(b"", 1 << 20, 1 << 20, 8, 0), b"P4\n100000 100000\n", b"P2 99999 99999 255\n1"):
+        with pytest.raises(raster.ScanError, match="too large"):
+            raster.decode(data)
+    bomb = png_of(b"\0" * 50_000_000, 2, 2, 8, 0)  # inflates to no more than its four pixels
+    assert raster.decode(bomb).shape == (2, 2)
+
+
+def jpeg_of(gray, colours=1, factor=1, restart=0, orientation=None):
+    """A baseline JPEG of a plain encoder: all codes of eight bits, every quantizer 1; chroma is flat."""
+    height, width = gray.shape
+    step = 8 * factor
+    padded = np.pad(gray, ((0, -height % step), (0, -width % step)), mode="edge").astype(float) - 128
+    k, n = np.arange(8)[:, None], np.arange(8)[None, :]
+    c = np.where(k == 0, np.sqrt(0.125), 0.5) * np.cos((2 * n + 1) * k * np.pi / 16)
+    order = sorted(range(64), key=lambda i: (i // 8 + i % 8, i % 8 if (i // 8 + i % 8) % 2 == 0 else i // 8))
+    bits, out, since, count = [], b"", 0, 0
+    sizes = [(0, factor)] + [(i, 1) for i in range(1, colours)]
+    before = [0] * colours
+
+    def put(value, n):
+        bits.extend(value >> (n - 1 - i) & 1 for i in range(n))
+
+    def flush():
+        nonlocal out
+        bits.extend([1] * (-len(bits) % 8))
+        out += np.packbits(np.array(bits, np.uint8)).tobytes().replace(b"\xff", b"\xff\0")
+        bits.clear()
+
+    def signed(v):
+        size = abs(v).bit_length()
+        return size, v if v >= 0 else v + (1 << size) - 1
+
+    for y in range(0, padded.shape[0], step):
+        for x in range(0, padded.shape[1], step):
+            if restart and since == restart:
+                flush()
+                out += bytes([0xFF, 0xD0 + count % 8])
+                since, count, before = 0, count + 1, [0] * colours
+            since += 1
+            for i, f in sizes:
+                for dy in range(f):
+                    for dx in range(f):
+                        cell = padded[y + 8 * dy : y + 8 * dy + 8, x + 8 * dx : x + 8 * dx + 8] if i == 0 else np.zeros((8, 8))
+                        z = np.round(c @ cell @ c.T).astype(int).ravel()[order].tolist()
+                        size, v = signed(z[0] - before[i])
+                        before[i] = z[0]
+                        put(size, 8)
+                        put(v, size)
+                        run = 0
+                        last = max((j for j in range(64) if z[j]), default=0)
+                        for j in range(1, last + 1):
+                            if not z[j]:
+                                run += 1
+                                continue
+                            while run > 15:
+                                put(0xF0, 8)
+                                run -= 16
+                            size, v = signed(z[j])
+                            put(run << 4 | size, 8)
+                            put(v, size)
+                            run = 0
+                        if last < 63:
+                            put(0, 8)
+    flush()
+    seg = lambda m, d: bytes([0xFF, m]) + struct.pack(">H", len(d) + 2) + d
+    codes = bytes([0] * 7 + [255] + [0] * 8) + bytes(range(255))
+    exif = seg(0xE1, b"Exif\0\0MM\0*\0\0\0\x08" + struct.pack(">HHHIHH", 1, 0x0112, 3, 1, orientation, 0)) if orientation else b""
+    head = b"\xff\xd8" + exif + seg(0xDB, b"\0" + b"\1" * 64) + seg(0xC0, struct.pack(">BHHB", 8, height, width, colours) + b"".join(bytes([i, f << 4 | f, 0]) for i, f in sizes))
+    return head + (seg(0xDD, struct.pack(">H", restart)) if restart else b"") + seg(0xC4, b"\0" + codes + b"\x10" + codes) + seg(0xDA, bytes([colours]) + b"".join(bytes([i, 0]) for i, _ in sizes) + b"\0\x3f\0") + out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("colours", "factor", "restart"), [(1, 1, 0), (1, 1, 3), (3, 1, 0), (3, 2, 2)])
+def test_baseline_jpeg(colours, factor, restart):
+    gray = np.random.default_rng(colours).integers(0, 256, (37, 45)).astype(np.uint8)
+    data = jpeg_of(gray, colours, factor, restart, 6)
+    got = raster.decode(data)
+    assert got.shape == gray.shape and np.abs(got.astype(int) - gray).max() <= 2
+    assert raster.orientation(data) == 6 and raster.orientation(jpeg_of(gray)) is None and raster.orientation(raster.write_png(gray)) is None
+    for cut in (20, len(data) // 2):
+        with pytest.raises(raster.ScanError):
+            raster.decode(data[:cut])
+    with pytest.raises(raster.ScanError, match="not baseline"):
+        raster.decode(data.replace(b"\xff\xc0", b"\xff\xc2", 1))
+
+
 def test_otsu_is_the_lowest_best_level():
     rnd = np.random.default_rng(4)
     for _ in range(40):
@@ -259,6 +366,58 @@ def test_words_and_glyphs():
     assert lines.crop_to_ink(mask, (0, 0, 20, 20)) == (2, 5, 15, 15) and lines.crop_to_ink(mask, (80, 0, 90, 20)) is None
 
 
+def test_masks_are_checked_exactly():
+    mask = mask_of(["#.#", ".##"])
+    columns = [1 / 4, 1 / 4, 2 / 4]
+    good = (0, (0, 0, 3, 2), 4, columns)
+    assert lines.mask_fault(mask, [good]) is None and lines.mask_fault(mask, []) is None
+    assert lines.mask_fault(mask, [good, (7, (0, 0, 3, 2), 5, columns)]) == ("foreground_pixels_mismatch", 7)
+    assert lines.mask_fault(mask, [(2, (0, 0, 3, 2), 4, [1 / 4, 2 / 4, 1 / 4])]) == ("horizontal_ink_profile_mismatch", 2)
+    assert lines.clipped((-3, 1, 9, 9), mask) == (0, 1, 3, 2) and lines.clipped((3, 0, 9, 2), mask) is None
+
+
+def test_resize_is_a_triangle_filter_in_two_rounded_passes():
+    from fractions import Fraction
+
+    def passed(values, m):
+        n, out = len(values), []
+        scale = Fraction(n, m)
+        reach = max(scale, 1)
+        for k in range(m):
+            center = (k + Fraction(1, 2)) * scale
+            w = [max(Fraction(0), 1 - abs((i + Fraction(1, 2) - center) / reach)) for i in range(n)]
+            out.append(float(sum(a * b for a, b in zip(w, values, strict=True)) / sum(w)))
+        return out
+
+    for shape_ in ((5, 3), (16, 12), (40, 25), (1, 1)):
+        gray = np.random.default_rng(shape_[0]).integers(0, 256, shape_).astype(np.uint8)
+        wide = [[int(v + 0.5) for v in passed(list(map(int, r)), 12)] for r in gray]
+        want = np.array([passed(list(c), 16) for c in zip(*wide, strict=True)]).T
+        got = 255 - lines.shape(gray).astype(int)
+        assert np.abs(got - want).max() <= 1  # half a level of rounding, and half of one that fell on a tie before
+    assert not lines.shape(np.zeros((0, 4), np.uint8)).any()
+
+
+def test_unlike_a_character():
+    rnd = np.random.default_rng(5)
+    usual = [np.clip(np.full((16, 12), 100) + rnd.integers(-9, 10, (16, 12)), 0, 255).astype(np.uint8) for _ in range(70)]
+    ref = lines.shape_reference(usual)
+    assert lines.shape_reference(usual[:59]) is None and not any(lines.unlike(g, ref) for g in usual[:20])
+    assert lines.unlike(np.zeros((16, 12), np.uint8), ref)
+    away = sorted(float(np.sqrt(((g.astype(np.float32) - np.median(np.stack(usual).astype(np.float32), axis=0)) ** 2).sum()) / 255) for g in usual)
+    assert ref["scatter"] == pytest.approx(away[66])
+    assert not lines.unlike(np.zeros((16, 12), np.uint8), ref | {"scatter": 0.0})
+
+
+def test_feature_evidence():
+    text = "plain    x\n/*\na    1\nb    2\nc    3\n*/\n[Illustration: a]"
+    page = source.tokenize({"p": text})[0]
+    assert source.feature_evidence(page, ["table_like", "illustration_or_ornament"]) == {"table_like": [2, 3, 4], "illustration_marker": [6]}
+    with pytest.raises(ValueError, match="table_like"):
+        source.feature_evidence(source.tokenize({"p": "/*\na    1\n*/"})[0], ["table_like"])
+    assert source.feature_evidence(page | {"spans": None}, ["table_like"]) == {"table_like": []}
+
+
 def test_shapes_and_atlas():
     rnd = np.random.default_rng(0)
     grids = [lines.shape(np.where(rnd.random((20, 14)) < 0.5, 0, 255)) for _ in range(70)]
@@ -272,6 +431,12 @@ def test_shapes_and_atlas():
 # transcriptions
 
 
+def test_natural_order_folds_case():
+    assert natural_key("Straße") == (*natural_key("STRASSE")[:-1], natural_key("Straße")[-1])
+    assert sorted(["p10", "p002", "p2", "P02", "p1"], key=natural_key) == ["p1", "p2", "P02", "p002", "p10"]
+    assert sorted(["p02", "P02"], key=natural_key) == ["P02", "p02"]
+
+
 def test_natural_order():
     assert sorted(["p10", "p002", "p2", "P02", "p1"], key=natural_key) == ["p1", "p2", "P02", "p002", "p10"]
     assert sorted(["p02", "P02", ""], key=natural_key) == ["", "P02", "p02"]

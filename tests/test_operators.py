@@ -33,11 +33,104 @@ def test_strip(spark, value):
 
 
 def test_natural_key_orders_like_the_kernel(spark):
-    names = ["p10", "p002", "p2", "P02", "p1", "", "12", "a", "a1b", "a01b", "a1B"]
+    names = ["p10", "p002", "p2", "P02", "p1", "", "12", "a", "a1b", "a01b", "a1B", "Straße", "strasse", "STRASSE2", "ſx", "sy", "βa", "ϐb", "ΟΔΟΣ", "οδος", "Iı", "iı", "p" + "9" * 50, "p1" + "0" * 50, "p0" + "9" * 50, "ᏸ", "Ᏸ", "ꭰ", "Ꭰ", "ﬁ", "fi"]
     rows = spark.createDataFrame([(n,) for n in names], "n string").orderBy(T.natural_key(F.col("n"))).collect()
     assert [r.n for r in rows] == sorted(names, key=natural_key)
 
 
+def test_case_folding_is_the_full_one(spark):
+    """Every letter of the first plane that this Java and this Python both know."""
+    import unicodedata
+
+    chars = [chr(k) for k in range(0x20, 0x10000) if unicodedata.category(chr(k))[0] == "L" and not 0xD800 <= k < 0xE000]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").select("c", T.case_folded(F.col("c")).alias("f")).collect()
+    wrong = [(r.c, r.f, r.c.casefold()) for r in rows if r.f != r.c.casefold()]
+    assert len(wrong) <= 4, wrong[:20]  # letters newer than the older of the two
+
+
+def test_positions_and_invariants(spark):
+    rows = [(c, p, f"n{i}") for i, (c, p) in enumerate([("b", None), ("a", "x"), ("a", "x"), ("b", "y"), ("a", None)] * 7)]
+    got = selection.positions(spark.createDataFrame(rows, "c string, p string, n string"), [F.col("c"), F.coalesce("p", F.lit(""))], [F.col("n")]).collect()
+    assert [(r.c, r.p, r.n) for r in sorted(got, key=lambda r: r.position)] == sorted(rows, key=lambda r: (r[0], r[1] or "", r[2]))
+    assert sorted(r.position for r in got) == list(range(1, len(rows) + 1))
+
+
+def test_invariants_find_breaches(spark):
+    box = "struct<x0:int,y0:int,x1:int,y1:int>"
+    n = lambda df: {r.broken: r.n for r in df.collect()}
+    schema = f"sha256 string, width int, height int, threshold int, bounds {box}, margins {box}, foreground_pixels long, bands array<struct<y_start:int,y_end:int>>, diagnostics array<string>"
+    good = [
+        (None, None, None, None, None, None, None, None, ["image_missing"]),
+        ("a", None, None, None, None, None, None, None, ["image_decode_failed"]),
+        ("a", 9, 9, 0, None, None, 0, [], ["blank"]),
+        ("a", 9, 8, 0, (1, 2, 5, 6), (1, 2, 4, 2), 16, [(2, 6)], []),
+    ]
+    bad = [
+        (None, None, None, None, None, None, None, None, []),
+        ("a", 9, 9, 0, None, None, 0, [], []),
+        ("a", 9, 8, 0, (1, 2, 5, 6), (1, 2, 4, 3), 16, [(2, 6)], []),
+        ("a", 9, 8, 0, (1, 2, 5, 6), (1, 2, 4, 2), 17, [(2, 6)], []),
+        ("a", 9, 8, 0, (1, 2, 5, 6), (1, 2, 4, 2), 16, [(2, 9)], []),
+    ]
+    assert n(checks.page_coherence(spark.createDataFrame(good, schema))) == {"page_coherence": 0} and n(checks.page_coherence(spark.createDataFrame(bad, schema))) == {"page_coherence": len(bad)}
+    est = spark.createDataFrame([(1.0, 2, ["a", "b"]), (None, 0, []), (1.0, 0, []), (1.0, 2, ["a"]), (1.0, 2, ["a", "a"])], "value double, sample_count long, evidence array<string>")
+    assert n(checks.estimate_coherence(est)) == {"estimate_coherence": 3}
+    text = "aé\nb"
+    line = "struct<ordinal:int,span_ids:array<string>,continued_ids:array<string>>"
+    tok = f"source_text string, visible_text string, spans array<struct<opening_id:string,block_id:string,kind:string,byte_start:long,byte_end:long>>, styles array<struct<start:int,end:int,byte_start:long,byte_end:long>>, lines array<{line}>"
+    span = ("o", "k", "continued", 0, 3)
+    rows = [(text, text, [span], [(0, 4, 0, 5)], [(0, ["k"], ["o"])]), (text, text, [("o", "k", "local", 0, 2)], [], []), (text, text, [], [(0, 5, 0, 5)], []), (text, text, [span], [], [(0, ["z"], [])]), (text, text, [("o", "k", "local", 0, 3)], [], [(0, ["k"], ["o"])])]
+    assert n(checks.markup_references(spark.createDataFrame(rows, tok))) == {"markup_references": 4}
+    op = "project_id string, page_name string, state string, operations array<struct<kind:string,source:int,candidate:int>>"
+    lines = spark.createDataFrame([("a", "p", [(0, "x", True), (1, "", True), (2, "y", False), (3, "z", True)])], "project_id string, page_name string, lines array<struct<ordinal:int,visible_text:string,matching_eligible:boolean>>")
+    cand = spark.createDataFrame([("a", "p", [1, 1])], "project_id string, page_name string, candidates array<int>")
+    for ops, want in (([("match", 0, 0), ("match", 3, 1)], (0, 0, 0, 0)), ([("match", 3, 0), ("match", 0, 1)], (0, 0, 1, 0)), ([("match", 0, 0), ("skip_image", None, 0)], (1, 2, 0, 1)), ([("match", 0, 0), ("skip_image", None, 1), ("skip_text", 2, None)], (2, 0, 0, 0))):
+        got = n(checks.operation_coverage(spark.createDataFrame([("a", "p", "accepted", ops)], op), lines, cand))
+        assert tuple(got[k] for k in ("lines_cover", "candidates_cover", "source_order", "candidate_order")) == want
+    done = spark.createDataFrame([("a", "p", "accepted", [("match", 0, 0), ("skip_text", 3, None)]), ("a", "q", "proposed", [("match", 0, 0)])], op)
+    rev = "project_id string, page_name string, kind string, source int, candidate int, decision string, intended_source int, intended_candidate int"
+    reviewed = [("a", "p", "match", 0, 0, "correct", 0, 0), ("a", "p", "skip_text", 3, None, "wrong", 3, 1), ("a", "p", "match", 0, 1, "wrong", 0, 0), ("a", "q", "match", 0, 0, "correct", 0, 0), ("a", "p", "skip_text", 3, None, "correct", 3, 1)]
+    assert n(checks.reviewed_lines(spark.createDataFrame(reviewed, rev), done)) == {"reviewed_lines": 3, "reviewed_twice": 1}
+    ln = f"project_id string, page_name string, candidate int, box {box}, measured boolean, reason string, baseline_row_px int, x_height_top_row_px int, x_height_px int, ascender_extent_px int, descender_extent_px int, stroke_width_px double, skew_slope double, word_run_count int, source_word_count int, words_reconciled boolean, words array<{box}>"
+    whole = ("a", "p", 0, (0, 10, 50, 40), True, None, 30, 20, 10, 20, 10, 2.0, 0.0, 1, 1, True, [(0, 10, 9, 40)])
+    none = ("a", "p", 1, (0, 10, 50, 40), False, "insufficient_segments", *[None] * 10, None)
+    wrong = [whole[:6] + (31, *whole[7:]), whole[:7] + (None, *whole[8:]), whole[:13] + (2, 1, True, [(0, 10, 9, 40)]), whole[:16] + ([(0, 9, 9, 40)],), none[:5] + (None, *none[6:])]
+    assert n(checks.line_coherence(spark.createDataFrame([whole, none], ln))) == {"line_coherence": 0} and n(checks.line_coherence(spark.createDataFrame(wrong, ln))) == {"line_coherence": len(wrong)}
+    assert n(checks.count_identities(spark.createDataFrame([whole, none], ln), ["page_name"])) == {"count_identities": 0} and n(checks.count_identities(spark.createDataFrame([whole, whole], ln), ["page_name"])) == {"count_identities": 1}
+    gl = f"character string, box {box}, ink_density double, top_offset_px int, bottom_offset_px int, tier string, confidence double, style string"
+    one = ("a", (0, 0, 2, 2), 0.5, 1, 0, "transcribed", None, "roman")
+    odd = [("ab", *one[1:]), one[:3] + (None, *one[4:]), one[:6] + (0.5, "roman"), one[:5] + ("recognized", 0.5, "roman"), one[:2] + (1.5, *one[3:])]
+    assert n(checks.glyph_rows(spark.createDataFrame([one, one[:3] + (None, None, "recognized", 0.5, None)], gl))) == {"glyph_rows": 0} and n(checks.glyph_rows(spark.createDataFrame(odd, gl))) == {"glyph_rows": len(odd)}
+
+
+def test_bands_by_column_and_kernel(spark):
+    from statistics import median
+
+    from inkfold.kernels.components import Blob, _band_reason
+    from inkfold.operators.bands import band_reasons
+
+    rnd = random.Random(6)
+    rows = [(p, i, (h := rnd.choice([1, 2, 3, 6, 20, 22])), (a := h * rnd.randint(5, 300)), rnd.randint(0, a)) for p in range(8) for i in range(15)]
+    got = {(r.p, r.i): r.reason for r in band_reasons(spark.createDataFrame(rows, "p int, i int, height int, area int, ink int"), ["p"]).collect()}
+    for p, i, h, a, k in rows:
+        own = [r for r in rows if r[0] == p]
+        assert got[p, i] == _band_reason([Blob((0, 0, a // h, h), 0, 1, k)], median(r[4] for r in own), median(r[2] for r in own))
+
+
+def test_ranked_values_and_counted_medians(spark):
+    from statistics import median
+
+    rnd = random.Random(3)
+    rows = [("ab"[i % 2], float(rnd.randint(0, 9))) for i in range(101)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in pooling.median_mad(df, ["k"], "v").collect()}
+    spread = {r.k: r for r in pooling.dispersion(df, ["k"], "v").collect()}
+    for k in "ab":
+        v = sorted(x for g, x in rows if g == k)
+        assert (got[k].center, got[k].spread, got[k].n) == (median(v), median(abs(x - median(v)) for x in v), len(v))
+        assert (spread[k].p16, spread[k].p84) == tuple(v[int(s * (len(v) - 1) + 0.5)] for s in (0.16, 0.84))
+
+
 def test_medians(spark):
     from statistics import median
 
