@@ -1,9 +1,10 @@
 """Line dedup by content-defined chunks of lines, in DataFrame functions only.
 
 Every line is hashed, a rolling polynomial over the last WINDOW line hashes is taken at each line, and a chunk ends where it
-is divisible by DIVISOR (and at the end of the text). Boundaries depend on the lines around them only, so an inserted line
-shifts none of those that follow. Chunks of MIN_LINES non-blank lines or more that stand in several places are removed
-everywhere but at the first (by doc_id, then place in the document).
+is less than at the REACH lines before and no more than at the REACH after (and at the end of the text). Boundaries depend on
+the lines around them only, so an inserted line shifts none of those that follow, and they lie over REACH lines apart; none lies
+within MIN_LINES of a text's ends, so no chunk of a text of several lines is a single line. Chunks of MIN_LINES non-blank lines
+or more that stand in several places are removed everywhere but at the first (by doc_id, then place in the document).
 
 Chunk hashes are counted slim, without text. Only documents with a repeated hash are carried on; their chunks are then grouped
 by the text itself, which is the byte comparison: a hash alone never removes a line. The joins are plain equi joins of written
@@ -24,7 +25,7 @@ from .common import written
 
 WINDOW = 3
 BASE = 33
-DIVISOR = 4
+REACH = 2
 MIN_LINES = 2
 SPACE = " \t\x0b\x0c\r"
 
@@ -32,9 +33,17 @@ SPACE = " \t\x0b\x0c\r"
 def _lined(docs: DataFrame, *more: Column) -> DataFrame:
     rows = docs.select(*more, "doc_id", "text", F.xxhash64("doc_id", "text").alias("_ref"), F.split("text", "\n").alias("_l"))
     rows = rows.withColumn("_v", F.transform("_l", lambda x: F.conv(F.substring(F.md5(x), 1, 7), 16, 10).cast("long")))
-    roll = lambda i: sum((F.coalesce(F.get("_v", i - k), F.lit(0)) * BASE**k for k in range(WINDOW)), F.lit(0))
+    roll = F.transform("_v", lambda x, i: sum((F.coalesce(F.get("_v", i - k), F.lit(0)) * BASE**k for k in range(1, WINDOW)), x))
+    rows = rows.withColumn("_r", roll).drop("_v")
     last = F.size("_l") - 1
-    rows = rows.withColumn("_e", F.when(F.size("_l") > 0, F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(roll(i), F.lit(DIVISOR)) == 0)))).drop("_v")
+
+    def least(i: Column) -> Column:
+        own, holds = F.get("_r", i), (i >= MIN_LINES - 1) & (i <= last - MIN_LINES)
+        for k in range(1, REACH + 1):
+            holds &= F.coalesce(own < F.get("_r", i - k), F.lit(True)) & F.coalesce(own <= F.get("_r", i + k), F.lit(True))
+        return holds
+
+    rows = rows.withColumn("_e", F.when(F.size("_l") > 0, F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | least(i)))).drop("_r")
     return rows.withColumn("_c", F.transform("_e", lambda e, k: F.struct(k.alias("k"), F.when(k == 0, 0).otherwise(F.get("_e", k - 1) + 1).alias("a"), e.alias("b")))).drop("_e")
 
 
@@ -80,7 +89,8 @@ ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () rid, doc_id, text, string_split(text, chr(10)) l FROM documents),
 x AS (SELECT rid, unnest(range(0, len(l))) i, unnest(l) line, len(l) n FROM d),
 v AS (SELECT *, ('0x' || substr(md5(line), 1, 7))::BIGINT v FROM x),
-b AS (SELECT *, (i = n - 1 OR ({" + ".join(f"coalesce(lag(v, {k}) OVER w, 0) * {BASE**k}" for k in range(WINDOW))}) % {DIVISOR} = 0)::INT e FROM v WINDOW w AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT *, {" + ".join(f"coalesce(lag(v, {k}) OVER w, 0) * {BASE**k}" for k in range(WINDOW))} r FROM v WINDOW w AS (PARTITION BY rid ORDER BY i)),
+b AS (SELECT *, (i = n - 1 OR (i >= {MIN_LINES - 1} AND i <= n - 1 - {MIN_LINES} AND {" AND ".join(f"coalesce(r < lag(r, {k}) OVER w, true) AND coalesce(r <= lead(r, {k}) OVER w, true)" for k in range(1, REACH + 1))}))::INT e FROM r WINDOW w AS (PARTITION BY rid ORDER BY i)),
 k AS (SELECT *, coalesce(sum(e) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) k FROM b),
 c AS (SELECT rid, k, string_agg(line, chr(10) ORDER BY i) t, count(*) m, count_if(regexp_matches(line, '[^\\x20\\x09-\\x0D]')) solid FROM k GROUP BY rid, k),
 o AS (SELECT c.*, doc_id, row_number() OVER (PARTITION BY t ORDER BY doc_id, rid, k) r FROM c JOIN d USING (rid)),

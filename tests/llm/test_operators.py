@@ -607,7 +607,23 @@ def test_line_dedup_shifts(spark):
     rows = [(1, "\n".join(block)), (2, "\n".join(["something else", *block])), (3, "own\ntext\nhere"), (4, None)]
     got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].n_removed == 0 and got[3].n_removed == 0 and got[4].n_lines == 0 and got[4].kept_md5 is None
-    assert got[2].n_removed >= 25
+    assert got[2].n_removed >= 34
+
+
+def test_line_dedup_leaves_no_single_lines(spark):
+    """An exact copy of a text of several lines goes whole, and a shared passage but for the chunks that other text shares."""
+    rnd = np.random.default_rng(12)
+    text = lambda n: [f"line {rnd.integers(0, 10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(60):
+        own = text(int(rnd.integers(2, 60)))
+        rows += [(2 * i, "\n".join(own)), (2 * i + 1, "\n".join(own))]
+        want[2 * i + 1] = len(own)
+    passage = text(50)
+    rows += [(1000 + i, "\n".join([*text(7), *passage, *text(7)])) for i in range(20)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in want} == want and all(got[2 * i] == 0 for i in range(60))
+    assert all(38 <= got[1000 + i] <= 50 for i in range(1, 20)) and got[1000] == 0
 
 
 def test_repeated_rows_are_one_document(docs, rows, spark):
