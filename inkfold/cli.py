@@ -21,12 +21,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--ranked", help="output of an earlier rank run, whose selection is taken as it stands")
     p.add_argument("--selected-only", action="store_true", help="measure the selected pages alone, not the whole books")
     p.add_argument("--witness", help="a recogniser's JSON lines for the one project measured")
+    p.add_argument("--overlays", action="store_true", help="with align or typography, review images of pages or lines too")
     return p
 
 
 def tables(spark, a: argparse.Namespace, keep) -> dict:
     """The tables of a stage; keep(name, table) writes what later stages read twice and gives it back."""
-    from inkfold.operators.pages import aligned
+    from inkfold.operators.pages import aligned, line_overlays, page_overlays
     from inkfold.plans import stages as S
     from inkfold.sources import corpus, report
 
@@ -43,11 +44,11 @@ def tables(spark, a: argparse.Namespace, keep) -> dict:
     candidates = keep("candidates", S.align(tokens, scans, profile["classes"], profile["measurements"])["candidates"])
     alignments = keep("alignments", aligned(S.scored_pages(tokens), candidates))
     if a.stage == "align":
-        return {"candidates": candidates.drop("mask"), "alignments": alignments}
+        return {"candidates": candidates.drop("mask"), "alignments": alignments} | ({"overlays": page_overlays(scans, candidates, alignments)} if a.overlays else {})
     witness = corpus.require_witness(spark, a.witness) if a.witness else None
     typography = S.typography(tokens, candidates, alignments, profile["measurements"], profile["classes"], witness)
     if a.stage == "typography":
-        return typography
+        return typography | ({"overlays": line_overlays(scans, typography["lines"])} if a.overlays else {})
     out = S.glyphs(keep("lines", typography["lines"]), candidates, profile["measurements"], tokens, scans, witness, alignments)
     return out | {"glyphs": keep("glyphs", out["glyphs"])}
 
@@ -89,6 +90,7 @@ def main(args: list[str] | None = None) -> int:
     for name, table in found.items():
         table.write.parquet(f"{a.output}/{name}")
         told["tables"][name] = report.described(spark.read.parquet(f"{a.output}/{name}"))
+        files.write(spark, f"{a.output}/schemas/{name}.json", report.pretty(report.json_schema(table)).encode())
     files.write(spark, f"{a.output}/report.json", report.pretty(told).encode())
     return 0
 

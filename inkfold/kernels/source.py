@@ -21,68 +21,82 @@ def _overlap(a: int, b: int, c: int, d: int) -> bool:
 
 
 class _Page:
-    def __init__(self, name: str, text: str):
+    """A page with what the blocks of its book have made of it."""
+
+    def __init__(self, name: str, text: str, resolved: dict):
         self.name, self.text = name, text
         self.at = [0]
         for ch in text:
             self.at.append(self.at[-1] + len(ch.encode()))
-        self.deleted: set[int] = set()
-        self.bad: list[tuple[int, int]] = []
-        self.spans: list[dict] = []
-        self.told: list[tuple[str, int, int]] = []
+        self.deleted = set(resolved["deleted"])
+        self.bad, self.spans, self.told = resolved["bad"], resolved["spans"], resolved["told"]
+
+
+def controls(text: str) -> tuple[int, list[tuple[int, int, str]]]:
+    """(bytes of a text, its block controls as character, byte and mark): all that the blocks of a book need of a page."""
+    found, at, done = [], 0, 0
+    for m in _CONTROL.finditer(text):
+        at += len(text[done : m.start()].encode())
+        done = m.start()
+        found.append((m.start(), at, m[0]))
+    return at + len(text[done:].encode()), found
 
 
-def _blocks(pages: list[_Page]) -> None:
-    """Resolve the block controls over all pages: deleted markers, spans, bad ranges and diagnostics."""
-    block = None
+def resolved_blocks(pages: list[tuple[str, int, list[tuple[int, int, str]]]]) -> dict[str, dict]:
+    """name -> deleted markers (characters), bad ranges, spans and diagnostics of pages (name, bytes, controls), in order."""
+    out: dict[str, dict] = {name: {"deleted": [], "bad": [], "spans": [], "told": []} for name, *_ in pages}
+    names, sizes = [p[0] for p in pages], [p[1] for p in pages]
+    block: dict | None = None
 
-    def segment(page: _Page, stop: int) -> None:
-        block["segments"].append((page, block["from"], stop))
+    def segment(name: str, stop: int) -> None:
+        block["segments"].append((name, block["from"], stop))
         block["from"] = 0
 
     def spans(block_id: str, closed: bool) -> None:
-        for page, a, b in block["segments"]:
-            page.spans.append({"opening_id": block["id"], "block_id": block_id, "kind": block["kind"], "byte_start": a, "byte_end": b, "closed": closed})
+        for name, a, b in block["segments"]:
+            out[name]["spans"].append({"opening_id": block["id"], "block_id": block_id, "kind": block["kind"], "byte_start": a, "byte_end": b, "closed": closed})
 
     def fail(last: int, stop: int, say: bool) -> None:
         spans(block["id"], False)
         for k in range(block["page"], last + 1):
-            pages[k].bad.append((block["start"] if k == block["page"] else 0, stop if k == last else pages[k].at[-1]))
+            out[names[k]]["bad"].append((block["start"] if k == block["page"] else 0, stop if k == last else sizes[k]))
         if say:
-            pages[block["page"]].told.append(("malformed_control", block["start"], block["start"] + 2))
+            out[names[block["page"]]]["told"].append(("malformed_control", block["start"], block["start"] + 2))
 
-    for k, page in enumerate(pages):
-        for m in _CONTROL.finditer(page.text):
-            start, stop, mark = page.at[m.start()], page.at[m.end()], m[0]
+    for k, (name, size, marks) in enumerate(pages):
+        own = out[name]
+        for char, start, mark in marks:
+            stop = start + 2
             if mark in OPENERS:
                 if block is None:
                     kind, closer = OPENERS[mark]
-                    block = {"kind": kind, "closer": closer, "page": k, "start": start, "char": m.start(), "from": stop, "valid": True, "segments": [], "id": f"{kind}:{page.name}:{start}"}
+                    block = {"kind": kind, "closer": closer, "page": k, "start": start, "char": char, "from": stop, "valid": True, "segments": [], "id": f"{kind}:{name}:{start}"}
                 else:
                     block["valid"] = False
-                    page.told.append(("malformed_control", start, stop))
+                    own["told"].append(("malformed_control", start, stop))
             elif block is None:
-                lone = f"{CLOSERS[mark]}:{page.name}:{start}"
-                page.spans.append({"opening_id": lone, "block_id": lone, "kind": CLOSERS[mark], "byte_start": start, "byte_end": stop, "closed": False})
-                page.bad.append((start, stop))
-                page.told.append(("malformed_control", start, stop))
+                lone = f"{CLOSERS[mark]}:{name}:{start}"
+                own["spans"].append({"opening_id": lone, "block_id": lone, "kind": CLOSERS[mark], "byte_start": start, "byte_end": stop, "closed": False})
+                own["bad"].append((start, stop))
+                own["told"].append(("malformed_control", start, stop))
             elif mark != block["closer"]:
                 block["valid"] = False
-                page.told.append(("malformed_control", start, stop))
+                own["told"].append(("malformed_control", start, stop))
             else:
-                segment(page, start)
+                segment(name, start)
                 if block["valid"]:
-                    pages[block["page"]].deleted.add(block["char"])
-                    page.deleted.add(m.start())
-                    spans(f"{block['id']}:{page.name}:{stop}", True)
+                    out[names[block["page"]]]["deleted"].append(block["char"])
+                    own["deleted"].append(char)
+                    spans(f"{block['id']}:{name}:{stop}", True)
                 else:
                     fail(k, stop, False)
                 block = None
         if block is not None:
-            segment(page, page.at[-1])
+            segment(name, size)
             if block["kind"] == "local" or k == len(pages) - 1:
-                fail(k, page.at[-1], True)
+                fail(k, size, True)
                 block = None
+    return out
 
 
 def _tag(body: str) -> tuple[str, bool, bool] | None:
@@ -186,11 +200,16 @@ def _lines(page: _Page, ops: list[dict], loose: list[tuple[int, int]]) -> list[d
     return out
 
 
+def tokenize_page(name: str, text: str, resolved: dict) -> dict:
+    """A page taken apart, given what resolved_blocks says of it."""
+    return _tokens(_Page(name, text, resolved))
+
+
 def tokenize(pages: dict[str, str]) -> list[dict]:
     """The pages of one project, in natural order, taken apart with blocks carried from page to page."""
-    rows = [_Page(name, pages[name]) for name in sorted(pages, key=natural_key)]
-    _blocks(rows)
-    return [_tokens(p) for p in rows]
+    order = sorted(pages, key=natural_key)
+    found = resolved_blocks([(name, *controls(pages[name])) for name in order])
+    return [tokenize_page(name, pages[name], found[name]) for name in order]
 
 
 def feature_page(page: dict, text: str) -> dict:

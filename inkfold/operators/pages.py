@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from inkfold.kernels import align as A
 from inkfold.kernels import components as C
 from inkfold.kernels import lines as L
+from inkfold.kernels import overlay as O
 from inkfold.kernels import raster as R
 from inkfold.kernels import source as S
+from inkfold.kernels.natural import natural_key
 
 from . import review as V
 
@@ -55,18 +57,39 @@ def inherited(diagnostics: list[str]) -> list[str]:
     return list(dict.fromkeys(INHERITED.get(d, "inherited_profile_diagnostic") for d in diagnostics))
 
 
+_MARKS = "project_id string, page_name string, size long, marks array<struct<char:int,start:long,mark:string>>"
+_RANGES = "array<struct<a:long,b:long>>"
+_BLOCKS = f"project_id string, page_name string, deleted array<int>, bad {_RANGES}, spans array<struct<{SPAN}>>, told array<struct<code:string,a:long,b:long>>"
+
+
 def tokenized(pages: DataFrame) -> DataFrame:
     """pages(project_id, page_name, text) taken apart, blocks carried over the pages of a project in natural order.
 
-    A project is one group: its pages are a book, read in order. Everything after works on single pages.
+    Only the places of block controls meet by project; what they come to is joined back, and texts are taken apart page by page.
+    Pages equal in project and name are one, the one with the greatest text.
     """
+    once = pages.groupBy("project_id", "page_name").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        text = {n: t if isinstance(t, str) else "" for n, t in zip(pdf["page_name"], pdf["text"], strict=True)}
-        rows = [{"project_id": pdf["project_id"].iloc[0], **page, **S.feature_page(page, text[page["page_name"]])} for page in S.tokenize(text)]
-        return pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in TOKENS.replace("\n", " ").split(", ")])
+    def marks(x: dict) -> list[dict]:
+        size, found = S.controls(x["text"])
+        return [{"project_id": x["project_id"], "page_name": x["page_name"], "size": size, "marks": [{"char": c, "start": a, "mark": m} for c, a, m in found]}]
+
+    def resolved(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = {n: (n, int(size), [(m["char"], m["start"], m["mark"]) for m in found]) for n, size, found in zip(pdf["page_name"], pdf["size"], pdf["marks"], strict=True)}
+        got = S.resolved_blocks([rows[n] for n in sorted(rows, key=natural_key)])
+        pair = lambda r: {"a": r[0], "b": r[1]}
+        out = [{"project_id": pdf["project_id"].iloc[0], "page_name": n, "deleted": r["deleted"], "bad": list(map(pair, r["bad"])), "spans": r["spans"], "told": [{"code": c, "a": a, "b": b} for c, a, b in r["told"]]} for n, r in got.items()]
+        return pd.DataFrame(out, columns=["project_id", "page_name", "deleted", "bad", "spans", "told"])
+
+    blocks = _per_page(once, _MARKS, marks).groupBy("project_id").applyInPandas(resolved, _BLOCKS)
+    rows = once.join(blocks.withColumnsRenamed({"project_id": "_p", "page_name": "_n"}), F.col("project_id").eqNullSafe(F.col("_p")) & F.col("page_name").eqNullSafe(F.col("_n"))).drop("_p", "_n")
 
-    return pages.select("project_id", "page_name", "text").groupBy("project_id").applyInPandas(run, TOKENS)
+    def page(x: dict) -> list[dict]:
+        own = {"deleted": x["deleted"], "bad": [(r["a"], r["b"]) for r in x["bad"]], "spans": x["spans"], "told": [(t["code"], t["a"], t["b"]) for t in x["told"]]}
+        got = S.tokenize_page(x["page_name"], x["text"], own)
+        return [{"project_id": x["project_id"], **got, **S.feature_page(got, x["text"])}]
+
+    return _per_page(rows, TOKENS, page)
 
 
 def _per_page(df: DataFrame, schema: str, page) -> DataFrame:
@@ -285,3 +308,29 @@ def atlas(glyphs: DataFrame, keys: list[str], cells: int = 1024) -> DataFrame:
         return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "sheet": int(pdf["sheet"].iloc[0]), "sha256": hashlib.sha256(png).hexdigest(), "cells": len(crops), "clipped": clipped, "png": png}])
 
     return rows.select(*keys, "sheet", "cell_row", "cell_column", "cell_width", "cell_height", "image").groupBy(*keys, "sheet").applyInPandas(run, schema)
+
+
+OVERLAY = "project_id string, page_name string, candidate int, png binary"
+
+
+def page_overlays(scans: DataFrame, candidates: DataFrame, alignments: DataFrame) -> DataFrame:
+    """A review image of each page that has a scan and candidates: the scan with its boxes in the colours of their state."""
+    ops = alignments.select("project_id", "page_name", (F.col("state") == "accepted").alias("accepted"), F.transform(F.filter("operations", lambda o: o["kind"] == "match"), lambda o: o["candidate"]).alias("matched"))
+    rows = scans.select("project_id", "page_name", "content").join(candidates.select("project_id", "page_name", "candidates").filter("size(candidates) > 0"), ["project_id", "page_name"]).join(ops, ["project_id", "page_name"])
+
+    def page(x: dict) -> list[dict]:
+        boxes = [_tuple(c["box"]) for c in x["candidates"]]
+        return [{"project_id": x["project_id"], "page_name": x["page_name"], "candidate": None, "png": O.page_overlay(R.decode(x["content"]), boxes, set(x["matched"]), x["accepted"])}]
+
+    return _per_page(rows, OVERLAY, page)
+
+
+def line_overlays(scans: DataFrame, lines: DataFrame) -> DataFrame:
+    """A review image of each measured line: its crop with baseline and x-height."""
+    own = lines.filter("measured").groupBy("project_id", "page_name").agg(F.array_sort(F.collect_list(F.struct("candidate", "box", "baseline_row_px", "x_height_top_row_px"))).alias("lines"))
+
+    def page(x: dict) -> list[dict]:
+        gray = R.decode(x["content"])
+        return [{"project_id": x["project_id"], "page_name": x["page_name"], "candidate": r["candidate"], "png": O.line_overlay(gray, _tuple(r["box"]), r["baseline_row_px"], r["x_height_top_row_px"])} for r in x["lines"]]
+
+    return _per_page(scans.select("project_id", "page_name", "content").join(own, ["project_id", "page_name"]), OVERLAY, page)

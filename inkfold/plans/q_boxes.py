@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkfold.operators.intervals import best_overlap, contained, joined_pieces, merged, overlapping
-from inkfold.operators.review import AGREEMENT_MIN
 from inkfold.operators.templates import classify, fit_templates, head_ordinal, head_windows
 
 from .adapters import BOXES, FIRST_BANDS, WORDS, table
@@ -73,13 +72,19 @@ def witness_tallies(spark, d):
     return tallies(first_runs(lines, read), ["project_id"])
 
 
-@query(f"""WITH {_W}, {_B}, c AS (SELECT box_id, count(*) AS found, count(*) FILTER (WHERE length(word) % 3 = 0) AS agreeing FROM w JOIN b ON w.page = b.page AND {_AREA} GROUP BY box_id)
-SELECT b.box_id, coalesce(found, 0) AS found, agreeing / found AS agreement, coalesce(agreeing * 10 >= found * 8, false) AS admitted FROM b LEFT JOIN c USING (box_id)""")
+@query(f"""WITH {_W}, {_B}, r AS (SELECT DISTINCT box_id, lower(string_split(word, ' ')[1]) AS said FROM w JOIN b ON w.page = b.page AND {_AREA}),
+o AS (SELECT b.box_id, unnest(list_transform(string_split(p_name, ' '), lambda x: regexp_replace(lower(x), '[^\\p{{L}}\\p{{N}}]', '', 'g'))) AS own FROM b JOIN part ON p_partkey = b.page * 50 + box_id % 50 + 1),
+a AS (SELECT o.box_id, count(r.said) / count(*) AS agreement FROM o LEFT JOIN r ON r.box_id = o.box_id AND r.said = o.own AND o.own <> '' GROUP BY o.box_id)
+SELECT box_id, agreement FROM a WHERE agreement >= 0.4::DOUBLE""")
 def line_admission(spark, d):
-    counts = contained(words(spark, d), boxes(spark, d)).groupBy("box_id").agg(F.count(F.lit(1)).alias("found"), F.count_if(F.length("word") % 3 == 0).alias("agreeing"))
-    rows = boxes(spark, d).select("box_id").join(counts, "box_id", "left")
-    agreement = F.try_divide("agreeing", "found")
-    return rows.select("box_id", F.coalesce("found", F.lit(0)).alias("found"), agreement.alias("agreement"), F.coalesce(agreement >= AGREEMENT_MIN, F.lit(False)).alias("admitted"))
+    """Boxes as lines with the name of a part of their page, against the first words of the parts in them; admitted from 0.4 on."""
+    from .stages import admitted_lines
+
+    names = table(spark, d, "part").select(F.col("p_partkey").alias("_k"), F.col("p_name").alias("text"))
+    lines = boxes(spark, d).withColumn("_k", F.col("page") * 50 + F.col("box_id") % 50 + 1).join(names, "_k")
+    lines = lines.select(F.lit("a").alias("project_id"), F.col("page").alias("page_name"), F.col("box_id").alias("candidate"), "text", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    read = words(spark, d).select(F.lit("a").alias("project_id"), F.col("page").alias("page_name"), F.get(F.split("word", " "), F.lit(0)).alias("word"), F.struct("x0", "y0", "x1", "y1").alias("box"))
+    return admitted_lines(read, lines, 0.4).select(F.col("candidate").alias("box_id"), "agreement")
 
 
 @query(f"""WITH {_W}, {_B} SELECT word_id, box_id, greatest(w.x0, b.x0) AS cut_start, least(w.x1, b.x1) AS cut_stop FROM w JOIN b ON w.page = b.page AND w.x0 < b.x1 AND w.x1 > b.x0""")

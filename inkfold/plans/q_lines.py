@@ -123,11 +123,15 @@ def evidence_rows(spark, d):
     return first_n(measured(spark, d), ["book"], [F.col("page"), F.col("line")], 12, F.col("exclusion").isNull()).select("book", "page", "line")
 
 
-@query(f"""WITH {_L} SELECT book, page, CASE WHEN page % 13 = 0 THEN 'unavailable' WHEN sum(height) < 20 THEN 'blank' WHEN max(height) = 50 THEN 'border_dominated' WHEN max(slope) > 0.075::DOUBLE THEN 'high_foreground' WHEN count(*) < 2 THEN 'one_band' END AS reason FROM l GROUP BY book, page""")
+@query(f"""WITH {_L}, p AS (SELECT book, page, sum(height) AS s, max(height) AS m, max(slope) AS a, count(*) AS n FROM l GROUP BY book, page)
+SELECT book, page, CASE WHEN page % 13 = 0 THEN 'image_unavailable' WHEN s < 20 THEN 'blank_page' WHEN m = 50 THEN 'border_dominated' WHEN a > 0.075::DOUBLE THEN 'high_foreground_ratio' WHEN n < 2 THEN 'foreground_bounds_unavailable' END AS reason FROM p""")
 def pooling_exclusions(spark, d):
+    from .stages import pooling_exclusion
+
     pages = measured(spark, d).groupBy("book", "page").agg(F.sum("height").alias("s"), F.max("height").alias("m"), F.max("slope").alias("a"), F.count(F.lit(1)).alias("n"))
-    ladder = F.when(F.col("page") % 13 == 0, "unavailable").when(F.col("s") < 20, "blank").when(F.col("m") == 50, "border_dominated").when(F.col("a") > F.lit(0.075), "high_foreground").when(F.col("n") < 2, "one_band")
-    return pages.select("book", "page", ladder.alias("reason"))
+    told = F.array_compact(F.array(F.when(F.col("a") > F.lit(0.075), "high_foreground_ratio"), F.when(F.col("m") == 50, "border_dominated"), F.when(F.col("s") < 20, "blank"), F.lit("one_band")))
+    rows = pages.withColumns({"width": F.when(F.col("page") % 13 != 0, 1), "bounds": F.when(F.col("n") >= 2, 1), "diagnostics": told})
+    return rows.select("book", "page", pooling_exclusion().alias("reason"))
 
 
 @query(f"""WITH {_GAPS} SELECT line_id, col, gap FROM g WHERE gap > 0""")

@@ -73,6 +73,13 @@ def selected(scans: DataFrame, pages: DataFrame, whole_book: bool = True) -> Dat
     return books.join(own, PAGE, "left").withColumn("emit", F.coalesce("emit", F.lit(False)))
 
 
+def pooling_exclusion() -> Column:
+    """Why a page measurement (width, diagnostics, bounds) takes no part in its book's estimates, the first reason that holds; else null."""
+    has = lambda c: F.array_contains("diagnostics", c)
+    ladder = F.when(F.col("width").isNull(), "image_unavailable").when(has("blank"), "blank_page").when(has("border_dominated"), "border_dominated")
+    return ladder.when(has("high_foreground_ratio"), "high_foreground_ratio").when(F.col("bounds").isNull(), "foreground_bounds_unavailable")
+
+
 def profile(scans: DataFrame) -> dict[str, DataFrame]:
     """measurements, templates, classes (with furniture bands) and pooled metrics of scans(project_id, page_name, content)."""
     m = P.measured(scans)
@@ -94,8 +101,7 @@ def profile(scans: DataFrame) -> dict[str, DataFrame]:
         "foreground_share": F.col("foreground_pixels") / (F.col("width") * F.col("height")), "left_margin": F.col("margins.x0"), "top_margin": F.col("margins.y0"), "right_margin": F.col("margins.x1"), "bottom_margin": F.col("margins.y1"),
         "band_height": F.col("band_height"), "band_pitch": F.col("band_pitch"),
     }
-    has = lambda c: F.array_contains("diagnostics", c)
-    ladder = F.when(F.col("width").isNull(), "image_unavailable").when(has("blank"), "blank_page").when(has("border_dominated"), "border_dominated").when(has("high_foreground_ratio"), "high_foreground_ratio").when(F.col("bounds").isNull(), "foreground_bounds_unavailable")
+    ladder = pooling_exclusion()
     long = m.select(*PAGE, ladder.alias("_x"), F.inline(F.array(*[F.struct(F.lit(k).alias("name"), v.cast("double").alias("v")) for k, v in value.items()])))
     long = long.withColumn("_x", F.coalesce("_x", F.when(F.col("v").isNull(), F.concat(F.col("name"), F.lit("_unavailable")))))
     pooled = pool_estimate(long, ["project_id", "name"], "v", F.col("page_name"), F.col("_x"), natural_key(F.col("page_name")))
@@ -216,15 +222,16 @@ def furniture_words(witness: DataFrame, candidates: DataFrame) -> DataFrame:
     return outside.select(F.col("page.project_id").alias("project_id"), F.col("page.page_name").alias("page_name"), "word", "line_index", "word_index", "confidence", "image_sha256", F.struct("x0", "y0", "x1", "y1").alias("box"))
 
 
-def admitted_lines(witness: DataFrame, lines: DataFrame) -> DataFrame:
-    """project_id, page_name, candidate, agreement of lines whose words the recogniser read as well, to the least agreement."""
+def admitted_lines(witness: DataFrame, lines: DataFrame, least: float = AGREEMENT_MIN) -> DataFrame:
+    """project_id, page_name, candidate, agreement of lines whose words the recogniser read as well within their box, from the least agreement on.
+    All words between white space count, those without a letter or digit as not read; a line without words has no agreement."""
     page = F.struct("project_id", "page_name").alias("page")
     w = witness.select(page, F.monotonically_increasing_id().alias("word_id"), letters_only(F.col("word")).alias("word"), "box.*")
     b = lines.select(page, F.col("candidate").alias("box_id"), "box.*")
     read = contained(w, b).select("page", F.col("box_id").alias("candidate"), "word").filter("word <> ''").distinct()
-    own = lines.select(page, "candidate", F.explode(F.split("text", r"(?U)\s+")).alias("x")).select("page", "candidate", letters_only(F.col("x")).alias("word")).filter("word <> ''")
+    own = lines.select(page, "candidate", F.explode(F.split("text", r"(?U)\s+")).alias("x")).filter("x <> ''").select("page", "candidate", letters_only(F.col("x")).alias("word"))
     both = own.join(read.withColumn("_r", F.lit(1)), ["page", "candidate", "word"], "left").groupBy("page", "candidate").agg((F.count("_r") / F.count(F.lit(1))).alias("agreement"))
-    return both.filter(F.col("agreement") >= AGREEMENT_MIN).select("page.*", "candidate", "agreement")
+    return both.filter(F.col("agreement") >= F.lit(least)).select("page.*", "candidate", "agreement")
 
 
 def glyphs(lines: DataFrame, candidates: DataFrame, measurements: DataFrame, tokens: DataFrame | None = None, scans: DataFrame | None = None, witness: DataFrame | None = None, alignments: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import files
 
-#: Names of latent properties that a report must not claim.
-LATENT = ("font", "font_family", "point_size", "kerning", "tracking", "leading")
+#: What no key of a report may hold, for it would claim a latent property.
+LATENT = ("advance", "bearing", "em_size", "font", "glyph_name", "kern", "leading", "point_size", "typeface", "tracking", "word_space", "_mm", "_pt", "_inch", "_dpi")
 
 
 class DestinationError(ValueError):
@@ -56,11 +56,52 @@ def rows(df: DataFrame):
         yield r.asDict(recursive=True)
 
 
-def latent_keys(value: object) -> list[str]:
-    """Keys anywhere in a JSON tree that claim a latent property."""
+def latent_keys(value: object, path: str = "") -> list[str]:
+    """Paths of the keys anywhere in a JSON tree that claim a latent property: that hold one of its names, in any case."""
     if isinstance(value, dict):
-        return [k for k in value if k in LATENT] + [x for v in value.values() for x in latent_keys(v)]
-    return [x for v in value for x in latent_keys(v)] if isinstance(value, list | tuple) else []
+        at = {k: f"{path}.{k}" if path else str(k) for k in value}
+        return [at[k] for k in value if any(t in str(k).lower() for t in LATENT)] + [x for k, v in value.items() for x in latent_keys(v, at[k])]
+    return [x for i, v in enumerate(value) for x in latent_keys(v, f"{path}[{i}]")] if isinstance(value, list | tuple) else []
+
+
+#: What an estimate says of itself.
+ESTIMATE = {"unit": "px", "frame": "source", "confidence_kind": "uncalibrated"}
+
+
+def estimate_faults(value: object, path: str = "") -> list[str]:
+    """Faults of the estimates below every key `estimates` of a JSON tree: no object, another unit, frame or kind, or a confidence."""
+    out = []
+    if isinstance(value, dict):
+        found = value.get("estimates")
+        for i, e in enumerate(found if isinstance(found, list | tuple) else ()):
+            at = f"{path}.estimates[{i}]" if path else f"estimates[{i}]"
+            if not isinstance(e, dict):
+                out.append(f"{at}: no object")
+                continue
+            out += [f"{at}: {k} is {e.get(k)!r}" for k, v in ESTIMATE.items() if e.get(k) != v]
+            out += [f"{at}: confidence"] if e.get("confidence") is not None else []
+        return out + [x for k, v in value.items() for x in estimate_faults(v, f"{path}.{k}" if path else str(k))]
+    return [x for i, v in enumerate(value) for x in estimate_faults(v, f"{path}[{i}]")] if isinstance(value, list | tuple) else out
+
+
+def json_schema(df: DataFrame) -> dict:
+    """A JSON Schema of a table's rows as JSON objects: types, fields in order, which may be null, and none besides."""
+    from pyspark.sql import types as T
+
+    plain = {T.StringType: "string", T.BooleanType: "boolean", T.IntegerType: "integer", T.LongType: "integer", T.ShortType: "integer", T.ByteType: "integer", T.DoubleType: "number", T.FloatType: "number", T.BinaryType: "string"}
+
+    def of(kind: T.DataType, nullable: bool) -> dict:
+        if isinstance(kind, T.StructType):
+            out = {"type": "object", "properties": {f.name: of(f.dataType, f.nullable) for f in kind.fields}, "required": [f.name for f in kind.fields if not f.nullable], "additionalProperties": False}
+        elif isinstance(kind, T.ArrayType):
+            out = {"type": "array", "items": of(kind.elementType, kind.containsNull)}
+        elif isinstance(kind, T.MapType):
+            out = {"type": "object", "additionalProperties": of(kind.valueType, kind.valueContainsNull)}
+        else:
+            out = {"type": plain.get(type(kind), "string")}
+        return out | {"type": [out["type"], "null"]} if nullable else out
+
+    return {"$schema": "https://json-schema.org/draft/2020-12/schema"} | of(df.schema, False)
 
 
 def schema_json(df: DataFrame) -> str:

@@ -244,7 +244,27 @@ def test_reports(tmp_path):
         report.write_report({}, str(tmp_path / "out" / "x.json"), str(tmp_path / "out"))
     with pytest.raises(ValueError):
         report.compact({"x": float("nan")})
-    assert report.latent_keys({"a": [{"kerning": 1}], "font": 2}) == ["font", "kerning"]
+    assert report.latent_keys({"a": [{"Kerning_x": 1}], "font": 2, "b": "font"}) == ["font", "a[0].Kerning_x"]
+    good = {"unit": "px", "frame": "source", "confidence_kind": "uncalibrated", "confidence": None}
+    assert report.estimate_faults({"pages": [{"estimates": [good, good | {"unit": "pt"}, 3, good | {"confidence": 0.5}]}]}) == ["pages[0].estimates[1]: unit is 'pt'", "pages[0].estimates[2]: no object", "pages[0].estimates[3]: confidence"]
+
+
+def test_json_schema(spark):
+    df = spark.sql("select 1 as a, array(named_struct('x', 1.5D, 'y', cast(null as string))) as b, map('k', 2L) as c")
+    assert report.json_schema(df) == {
+        "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "required": ["a", "b", "c"], "additionalProperties": False,
+        "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"type": "object", "properties": {"x": {"type": "number"}, "y": {"type": ["string", "null"]}}, "required": ["x"], "additionalProperties": False}}, "c": {"type": "object", "additionalProperties": {"type": "integer"}}},
+    }
+
+
+def test_overlays_of_stages(spark, measured):
+    from inkfold.operators import pages as P
+
+    scans, _, aligned, typography, _ = measured
+    pages = P.page_overlays(scans, aligned["candidates"], aligned["alignments"]).collect()
+    assert len(pages) == aligned["candidates"].filter("size(candidates) > 0").count() and all(bytes(r.png[:4]) == b"\x89PNG" for r in pages)
+    one = typography["lines"].filter("measured").limit(1)
+    assert P.line_overlays(scans, typography["lines"]).count() == typography["lines"].filter("measured").count() and one.count() == 1
 
 
 def test_command_line(spark, root, tmp_path):
