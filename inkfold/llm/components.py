@@ -1,11 +1,15 @@
-"""Connected components of an edge table by alternating large and small stars, each round a written table."""
+"""Connected components of an edge table by alternating large and small stars, each round a written table.
+
+Defined results: an edge with a null node, or from a node to itself, links nothing; repeated edges count once; an empty table has no
+components. Edges that do not settle in MAX_ROUNDS rounds (a path of about 2^MAX_ROUNDS nodes) raise RuntimeError.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 MAX_ROUNDS = 60
 
@@ -38,7 +42,10 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if (now := _state(edges)) == before or not now[0]:
             break
-        before, edges = now, written(_small(written(_large(edges), "large")), "small")
+        large = written(_large(edges), "large")
+        dropped(edges)
+        before, edges = now, written(_small(large), "small")
+        dropped(large)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

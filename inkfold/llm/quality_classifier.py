@@ -9,7 +9,8 @@ the global rate and the path's toward its host's, each with the strength that th
 moments). Sparse or unlabelled sites so fall back to their host or to the global prior. Posterior log-odds are the evidence
 plus the prior's log-odds.
 
-Only the sample's texts, MAX_FIT rows whatever the corpus, and single sums reach the driver. The weights sent to the workers
+Only the sample's texts, MAX_FIT rows and MAX_FIT_BYTES whatever the corpus (the rows from the first on that fit in), and single
+sums reach the driver. The weights sent to the workers
 are those of features in that sample.
 
 Defined results: null text has no words; null hosts and paths are sites of their own; a label whose document is missing is
@@ -31,6 +32,8 @@ from .common import join_small, written
 
 #: Labelled documents that the classifier is fitted to, at most.
 MAX_FIT = 4_000
+#: And bytes of their texts, at most.
+MAX_FIT_BYTES = 64_000_000
 MIN_HELD = 3
 PENALTY = 1e-3
 STEPS = 150
@@ -109,7 +112,15 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes | None, dic
     usable = labels.select(F.col("doc_id").cast("long").alias("_l"), *TARGETS).join(docs.select(F.col("doc_id").cast("long").alias("_d")), F.col("_l") == F.col("_d"), "left_semi")
     chosen = written(usable.orderBy(*order).limit(MAX_FIT), "sample")
     got = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("binary").alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_l"))  # MAX_FIT rows
-    got = got.orderBy(*order, "_t").limit(MAX_FIT).collect()
+    place = [*order, F.xxhash64("_t")]
+    got = got.withColumn("_size", F.coalesce(F.octet_length("_t"), F.lit(0)))
+    cut, held = MAX_FIT, 0
+    for k, r in enumerate(got.orderBy(*place).limit(MAX_FIT).select("_size").collect()):
+        held += r["_size"]
+        if held > MAX_FIT_BYTES:
+            cut = k
+            break
+    got = got.orderBy(*place).limit(cut).collect() if cut else []
     return [(None if r["_t"] is None else bytes(r["_t"]), {t: r[t] for t in TARGETS}) for r in got]
 
 

@@ -420,6 +420,28 @@ def test_quality_classifier_by_brute_force(spark):
             assert (r[f"evidence_{target}"], r[f"prior_{target}"], r[f"p_{target}"]) == pytest.approx((evidence, prior, want), abs=1e-6), (d, target)
 
 
+def test_quality_classifier_sample_is_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "word " * (i + 1)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(0, 60)], "doc_id long, quality int, toxic int")
+    every = quality_classifier._sampled(docs, labels)
+    assert len(every) == 30  # labels of documents that are not there use up nothing
+    monkeypatch.setattr(quality_classifier, "MAX_FIT", 10)
+    assert quality_classifier._sampled(docs, labels) == every[:10]
+    monkeypatch.setattr(quality_classifier, "MAX_FIT_BYTES", sum(len(t) for t, _ in every[:4]))
+    assert quality_classifier._sampled(docs, labels) == every[:4]
+    monkeypatch.setattr(quality_classifier, "MAX_FIT_BYTES", 1)
+    assert quality_classifier._sampled(docs, labels) == []
+
+
+def test_components_of_odd_edges(spark):
+    from inkfold.llm.components import components
+
+    edges = [(1, 2), (2, 1), (2, 2), (3, None), (None, 4), (5, 2), (9, 8), (9, 8), *[(k, k + 1) for k in range(100, 180)]]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {2: 1, 5: 1, 9: 8, **{k: 100 for k in range(101, 181)}}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_quality_classifier_without_labels(docs, rows, spark):
     got = quality_classifier.quality_classifier(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(rows) and all(r.kept for r in got)
@@ -544,8 +566,7 @@ def test_substring_dedup_on_tangles(spark):
 
 
 def test_mixing(docs):
-    d = docs.filter("doc_id is not null")
-    against_sql(mixing.mix(d), d, mixing.ORACLE)
+    against_sql(mixing.mix(docs), docs, mixing.ORACLE)
 
 
 def test_mixing_takes_near_target(docs, rows):
@@ -598,7 +619,7 @@ def test_quality_rules(docs):
 
 
 def test_line_dedup(docs):
-    d = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    d = docs.dropDuplicates(["doc_id"])
     against_sql(line_dedup.line_dedup(d), d, line_dedup.ORACLE)
 
 
