@@ -113,15 +113,10 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> list[tuple[bytes | None, dic
     chosen = written(usable.orderBy(*order).limit(MAX_FIT), "sample")
     got = docs.select(F.col("doc_id").cast("long").alias("_d"), F.col("text").cast("binary").alias("_t")).join(F.broadcast(chosen), F.col("_d") == F.col("_l"))  # MAX_FIT rows
     place = [*order, F.xxhash64("_t")]
-    got = got.withColumn("_size", F.coalesce(F.octet_length("_t"), F.lit(0)))
-    cut, held = MAX_FIT, 0
-    for k, r in enumerate(got.orderBy(*place).limit(MAX_FIT).select("_size").collect()):
-        held += r["_size"]
-        if held > MAX_FIT_BYTES:
-            cut = k
-            break
-    got = got.orderBy(*place).limit(cut).collect() if cut else []
-    return [(None if r["_t"] is None else bytes(r["_t"]), {t: r[t] for t in TARGETS}) for r in got]
+    got = written(got.withColumn("_size", F.coalesce(F.octet_length("_t"), F.lit(0))).orderBy(*place).limit(MAX_FIT), "sample-texts")
+    sizes = np.cumsum([r["_size"] for r in got.orderBy(*place).select("_size").collect()])
+    kept = got.orderBy(*place).limit(int(np.searchsorted(sizes, MAX_FIT_BYTES, "right"))).collect()
+    return [(None if r["_t"] is None else bytes(r["_t"]), {t: r[t] for t in TARGETS}) for r in kept]
 
 
 def scored(docs: DataFrame, weights: dict[bytes, tuple[float, float]], intercepts: list[float], host: str, path: str) -> DataFrame:
