@@ -10,24 +10,27 @@ LINE_END = r"\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 CONTROL = r"/\*|\*/|/#|#/"
 
 
+#: Every character that is white space, and the four separators below it.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once however often `use` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lines(text: Column) -> Column:
     """The lines of a text without their ends; a final end opens no further line, and an empty text has none."""
-    parts = F.split(text, LINE_END)
-    last = F.element_at(parts, -1)
-    return F.when(text == "", F.array().cast("array<string>")).when(last == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    ended = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(bound(F.split(text, LINE_END), ended))
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\u001c-\u001f]+|[\s\u001c-\u001f]+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def nonblank(parts: Column) -> Column:
-    return F.filter(parts, lambda x: x.rlike(r"(?U)[^\s\u001c-\u001f]"))
-
-
-def bound(value: Column, use) -> Column:
-    """use(value), with the value computed once however often `use` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return F.filter(parts, lambda x: strip(x) != "")
 
 
 def middle(values: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfold.functions.text import CONTROL, deviation, lines, middle, nonblank, strip, tag_count
+from inkfold.functions.text import CONTROL, bound, deviation, lines, middle, nonblank, strip, tag_count
 
 #: Weight of each component of a page's score, and the cap of the counted ones.
 WEIGHTS = {"special_format": 5, "leaders_or_fields": 8, "table_like": 8, "poetry_like": 8, "quotation_like": 6, "multipart_name": 6, "illustration_or_ornament": 4, "uncertainty_note": 2}
@@ -57,24 +57,25 @@ def _quoted(line: Column) -> Column:
     return line.rlike(r"(?sU)^[\s\u001c-\u001f]*(?:\"(?:.*\")?|\u201c.*\u201d)[\s\u001c-\u001f]*$")
 
 
-def _quoted_run(block: Column) -> Column:
+def _quoted_run(rows: Column) -> Column:
+    """Whether four lines in a row of a block (all its lines) are quoted."""
     zero = F.struct(F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def fold(s: Column, x: Column) -> Column:
-        run = F.when(_quoted(x), s["run"] + 1).otherwise(0)
-        return F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best"))
+        return bound(F.when(_quoted(x), s["run"] + 1).otherwise(0), lambda run: F.struct(run.alias("run"), F.greatest(s["best"], run).alias("best")))
 
-    return F.aggregate(lines(block), zero, fold)["best"] >= 4
+    return (F.size(rows) >= 4) & (F.aggregate(rows, zero, fold)["best"] >= 4)
 
 
-def _indented(block: Column) -> Column:
-    indents = F.transform(nonblank(lines(block)), lambda x: F.regexp_extract(x, "^[ \t]*", 0))
-    return (F.size(indents) >= 2) & (F.size(F.array_distinct(indents)) == 1) & (F.get(indents, F.lit(0)) != "")
+def _indented(rows: Column) -> Column:
+    """Whether a block's lines (two or more, none blank) all begin with the same spaces or tabs."""
+    same = lambda x: (F.size(x) == 1) & (F.get(x, F.lit(0)) != "")
+    return (F.size(rows) >= 2) & bound(F.array_distinct(F.transform(rows, lambda x: F.regexp_extract(x, "^[ \t]*", 0))), same)
 
 
 def page_features(parsed: DataFrame, name: str = "page_name") -> DataFrame:
     """Adds the twelve features to pages that local_blocks or parse_pages has taken apart."""
-    rows = parsed.withColumn("_l", F.transform("blocks", lambda b: nonblank(lines(b))))
+    rows = parsed.withColumn("_all", F.transform("blocks", lines)).withColumn("_l", F.transform("_all", nonblank))
     rows = rows.withColumn("_page", F.transform(nonblank(lines(F.col("source_text"))), lambda x: F.length(strip(x))))
     rows = rows.withColumn("_page_mid", middle(F.col("_page"))).withColumn("_rows", F.transform("_l", lambda b: F.size(F.filter(b, _aligned))))
     rows = rows.withColumn("_len", F.transform("_l", lambda b: F.transform(b, lambda x: F.length(strip(x)))))
@@ -89,13 +90,13 @@ def page_features(parsed: DataFrame, name: str = "page_name") -> DataFrame:
             "aligned_fields": F.exists("_rows", lambda n: n >= 2),
             "table_like": F.exists("_rows", lambda n: n >= 3),
             "poetry_like": F.coalesce(poetry, F.lit(False)),
-            "quotation_like": F.exists("blocks", lambda b: _quoted_run(b) | _indented(b)),
+            "quotation_like": F.exists("_l", _indented) | F.exists("_all", _quoted_run),
             "multipart_name": F.col(name).rlike(r"[LMR]\.[^.]+$"),
             "illustration_or_ornament": F.col("source_text").rlike(r"(?iu)\[(?:illustration|decoration)\b[^\]]*\]"),
             "uncertainty_note": F.col("source_text").contains("[**"),
         }
     )
-    return out.drop("_l", "_page", "_page_mid", "_rows", "_len")
+    return out.drop("_all", "_l", "_page", "_page_mid", "_rows", "_len")
 
 
 def components() -> dict[str, Column]:
