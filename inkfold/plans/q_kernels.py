@@ -94,7 +94,7 @@ def turn_alignment(spark, d):
     return P.aligned(*turns(spark, d)).select("page_name", "state", F.array_join("exclusions", "+").alias("exclusions"), F.round("normalized_cost", 9).alias("cost"), F.size("operations").alias("operations"))
 
 
-@query("SELECT unnest(['page_coherence', 'markup_references', 'pages_unique', 'lines_cover', 'candidates_cover', 'source_order', 'candidate_order', 'natural_order']) AS broken, 0 AS n")
+@query("SELECT unnest(['page_coherence', 'markup_references', 'pages_unique', 'lines_cover', 'candidates_cover', 'source_order', 'candidate_order', 'natural_order']) AS broken, 0::BIGINT AS n")
 def stage_invariants(spark, d):
     """What must hold of measured scans, marked pages and aligned turns; each count is of breaches."""
     from inkfold.functions.text import natural_key

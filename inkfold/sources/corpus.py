@@ -22,12 +22,27 @@ def _text(content: Column) -> Column:
     return content.cast("string")
 
 
+#: Fields of a project's metadata by JSON type; all but projectid may be absent, and others are ignored.
+_TYPES = {"projectid": "STRING", "title": "STRING", "author": "STRING", "genre": "STRING", "pages_total": "BIGINT", "pg_ebook_number": "BIGINT"}
+
+
 def projects(spark: SparkSession, root: str) -> DataFrame:
-    """project_id, metadata, diagnostic: malformed_metadata, project_id_mismatch or null."""
+    """project_id, metadata, diagnostic: malformed_project_metadata, project_id_mismatch or null.
+
+    Metadata is strict: a field of another type (a whole number must be written as one; null is no value), a missing projectid, or
+    what is no JSON object spoils it.
+    """
     rows = _files(spark, root, "project.json").filter("relative = 'project.json'")
-    m = F.from_json(_text(F.col("content")), PROJECT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = rows.select("project_id", m.alias("m"))
-    code = F.when(F.col("m._bad").isNotNull() | F.col("m.projectid").isNull(), "malformed_metadata").when(F.col("m.projectid") != F.col("project_id"), "project_id_mismatch")
+    text = _text(F.col("content"))
+    fields = F.from_json(text, "map<string,variant>")
+    right = F.lit(True)
+    for name, kind in _TYPES.items():
+        value = F.try_element_at(fields, F.lit(name))
+        typed = F.schema_of_variant(value) == kind
+        right &= F.when(F.array_contains(F.map_keys(fields), name), F.coalesce(typed, F.lit(False))).otherwise(F.lit(name != "projectid"))
+    m = F.from_json(text, PROJECT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = rows.select("project_id", m.alias("m"), F.coalesce(right, F.lit(False)).alias("_right"))
+    code = F.when(~F.col("_right") | F.col("m._bad").isNotNull() | F.col("m.projectid").isNull(), "malformed_project_metadata").when(F.col("m.projectid") != F.col("project_id"), "project_id_mismatch")
     return rows.select("project_id", F.col("m").dropFields("_bad").alias("metadata"), code.alias("diagnostic"))
 
 

@@ -249,6 +249,20 @@ def test_reports(tmp_path):
     assert report.estimate_faults({"pages": [{"estimates": [good, good | {"unit": "pt"}, 3, good | {"confidence": 0.5}]}]}) == ["pages[0].estimates[1]: unit is 'pt'", "pages[0].estimates[2]: no object", "pages[0].estimates[3]: confidence"]
 
 
+def test_metadata_is_strict(spark, tmp_path):
+    given = {
+        "good": {"projectid": "projectIDgood", "title": "t", "pages_total": 12, "other": [1]}, "bare": {"projectid": "projectIDbare"}, "float": {"projectid": "projectIDfloat", "pages_total": 1.5}, "text": {"projectid": "projectIDtext", "pg_ebook_number": "7"},
+        "null": {"projectid": "projectIDnull", "title": None}, "none": {"title": "t"}, "other": {"projectid": "projectIDx"}, "list": [1],
+    }
+    for name, value in given.items():
+        (tmp_path / f"projectID{name}").mkdir()
+        (tmp_path / f"projectID{name}" / "project.json").write_text(json.dumps(value))
+    (tmp_path / "projectIDbroken").mkdir()
+    (tmp_path / "projectIDbroken" / "project.json").write_text("{")
+    got = {r.project_id.removeprefix("projectID"): r.diagnostic for r in corpus.projects(spark, str(tmp_path)).collect()}
+    assert got == {"good": None, "bare": None, "other": "project_id_mismatch"} | dict.fromkeys(["float", "text", "null", "none", "list", "broken"], "malformed_project_metadata")
+
+
 def test_json_schema(spark):
     df = spark.sql("select 1 as a, array(named_struct('x', 1.5D, 'y', cast(null as string))) as b, map('k', 2L) as c")
     assert report.json_schema(df) == {
