@@ -86,10 +86,11 @@ class Pattern:
 
 
 class Items:
-    """A block of items: patterns, and pieces by their longest word."""
+    """A block of items, and pieces by their longest word. An item's pattern is made when one of its pieces is first hit."""
 
     def __init__(self, items: list[tuple[int, bytes | None]], percent: int = EDIT_PERCENT):
         self.items, self.pieces, self.short = [], defaultdict(list), defaultdict(list)
+        self.patterns: dict[int, Pattern] = {}
         for item_id, text in items:
             words = split_words(text)
             m = len(words)
@@ -97,7 +98,7 @@ class Items:
                 continue
             k = m * percent // 100
             at = len(self.items)
-            self.items.append((item_id, Pattern(words), k))
+            self.items.append((item_id, words, k))
             if m < MIN_ITEM_WORDS:
                 self.short[tuple(words)].append(at)
                 continue
@@ -119,7 +120,8 @@ class Items:
                 if start < 0 or words[start : start + len(piece)] != piece or (at, start - offset) in seen:
                     continue
                 seen.add((at, start - offset))
-                _, pattern, k = self.items[at]
+                _, own, k = self.items[at]
+                pattern = self.patterns.get(at) or self.patterns.setdefault(at, Pattern(own))
                 left = max(0, start - offset - k)
                 place = pattern.found(words[left : start - offset + pattern.m + k], k)
                 if place and (at not in out or (place[0], place[1] + left) < out[at][:2]):
