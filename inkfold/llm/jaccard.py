@@ -222,15 +222,14 @@ def roots(docs: DataFrame, rows: DataFrame, links: Callable[[DataFrame], DataFra
     at = lambda k: ends.select(F.col("fp").alias(f"_{k}"), F.col("end").alias(f"end_{k}")).hint("merge")
     other = near.join(at("a"), F.col("a") == F.col("_a")).join(at("b"), F.col("b") == F.col("_b")).select(F.col("end_a").alias("a"), F.col("end_b").alias("b"))
     pairs = written(same.unionAll(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    edges = _verified(pairs, _sets(docs, rows, pairs))
-    tree = components(edges)
+    tree = components(_verified(pairs, _sets(docs, rows, pairs)))
     left, pivots = _joined(_filed(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))), tree), PIVOTS
     while True:
         met = _candidates(left, pivots)
         pairs = written(met.filter("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-        edges = edges.unionAll(_verified(pairs, _sets(docs, rows, pairs)))
+        found = _verified(pairs, _sets(docs, rows, pairs))
         again = met.filter("kind = 0").select("key", "node", F.col("other").alias("root"), "n")
-        tree = components(edges)
+        tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))  # what is joined stays so
         if again.isEmpty():
             return tree
         left, before = written(_joined(again, tree), "left"), met
