@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkfold.functions.text import CONTROL, is_recto, letters_only, lines, middle, natural_key, nonblank, strip, tag_count
@@ -173,10 +174,9 @@ def blank_lines_before(spark, d):
 @query("""SELECT item_id, w.i::INT AS word, (1 + sum(1 + length(x)) OVER (PARTITION BY item_id ORDER BY i) - 1 - length(x) - 1)::INT AS start FROM (SELECT item_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS i FROM (SELECT item_id, string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS l FROM benchmark)) w""")
 def word_offsets(spark, d):
     words = F.split(F.regexp_replace("text", r"\s+", " "), " ")
-    rows = table(spark, d, "benchmark").select("item_id", words.alias("w"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-    starts = F.aggregate("w", zero, lambda s, y: F.struct((s["at"] + F.length(y) + 1).alias("at"), F.concat(s["starts"], F.array(s["at"])).alias("starts")))["starts"]
-    return rows.select("item_id", F.posexplode(starts).alias("word", "start"))
+    rows = table(spark, d, "benchmark").select("item_id", F.posexplode(words).alias("word", "x"))
+    before = Window.partitionBy("item_id").orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select("item_id", "word", F.coalesce(F.sum(F.length("x") + 1).over(before), F.lit(0)).cast("int").alias("start"))
 
 
 @query("SELECT source AS project_id, count(*) AS pages, count(*) FILTER (WHERE (doc_id % 10) % 2 = 1) AS recto FROM documents GROUP BY source")
@@ -205,8 +205,6 @@ def normalized_words(spark, d):
 @query("""SELECT doc_id, ordinal, count(*) OVER (PARTITION BY doc_id) AS evidence FROM (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1)::INT - 1 AS ordinal FROM (SELECT doc_id, string_split(replace(text, ', ', '    '), chr(10)) AS l FROM documents))
 WHERE regexp_matches(regexp_replace(line, '^\\s+|\\s+$', '', 'g'), '^\\S(?:.*?\\S)? {3,}\\S(?:.*\\S)?$') QUALIFY evidence >= 3""")
 def table_evidence(spark, d):
-    from pyspark.sql import Window
-
     from inkfold.operators.features import _aligned
 
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(lines(F.replace("text", F.lit(", "), F.lit("    ")))).alias("ordinal", "line"))
