@@ -4,8 +4,12 @@ Equal sets are one node from the start. Nodes whose SimHash fingerprints (of the
 links are the first candidates: they are the closest copies, and what they join need not meet below. A node has BANDS keys, each of WIDTH minimum hashes; nodes that share a key and whose
 sizes allow the similarity are candidates. A pair at similarity s shares none with chance (1 - s^WIDTH)^BANDS: 3 in a million
 at 0.8, less above. Every candidate is verified on its whole sets. In a bucket of many nodes a few pivots meet all others
-first; what their links have joined need not meet again, so a group of near copies costs a few rows a member. Nodes that are
-still apart meet in the next round, with eight times the pivots, until all have met.
+first; what their links have joined need not meet again, so a group of near copies costs a few rows a member. A bucket that is
+still apart goes to one task, which keeps of each set only where it differs from a base, the shingles that most of the bucket's
+first nodes have. Two sets are similar if and only if they differ in at most (1 - SIMILAR) / (1 + SIMILAR) of their joint size,
+so two that differ from the base by more than that must share differences; prefixes of the rarest ones, with bounds by position,
+find all such pairs (_close). Any base gives the same pairs. Far copies of one text mostly differ from it in ways of their own
+and are then never compared.
 
 Words are split and A-Z lowered as for fingerprints; shingles are told apart by 64-bit hashes. A text without words has the
 empty set's one node; fewer words than a shingle give one shingle.
@@ -29,7 +33,10 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, WIDTH = 32, 5
 PIVOTS = 8
+#: Nodes of a bucket whose sets make its base.
+BASE = 64
 _CHUNK = 2_048
+_GRID = 1 << 20
 _FACTORS = (mixed(np.arange(1, BANDS * WIDTH + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -163,8 +170,8 @@ def _candidates(filed: DataFrame, pivots: int) -> DataFrame:
     return written(met.mapInArrow(run, "key long, node long, other long, n int, kind int"), "near", "kind", batch=100_000)
 
 
-def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """node, held (its set, packed) of the nodes in pairs, each from one text."""
+def _sets(docs: DataFrame, rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """node, held (its set, packed) of the nodes in asked(_node), each from one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
@@ -173,12 +180,15 @@ def _sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.binary())], names=["node", "held"])
         trimmed()
 
-    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_node")
-    one = rows.groupBy("node").agg(F.min("_ref").alias("_one")).join(asked.hint("merge"), F.col("node") == F.col("_node")).select("node", "_one")
+    one = rows.groupBy("node").agg(F.min("_ref").alias("_one")).join(asked.distinct().hint("merge"), F.col("node") == F.col("_node")).select("node", "_one")
     texts = docs.select("_ref", "text").join(written(one, "asked").hint("merge"), F.col("_ref") == F.col("_one")).select("node", "text")
     return written(texts.mapInArrow(run, "node long, held binary"), "sets").dropDuplicates(["node"])
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("_node")).unionAll(pairs.select("b"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets have the similarity; the set of a goes to its pairs once."""
 
@@ -205,6 +215,109 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(met.mapInArrow(run, "a long, b long"), "similar", batch=500)
 
 
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i] to start[i] + size[i] - 1 of every i, one after another."""
+    return np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(int(size.sum()))
+
+
+def _close(root: np.ndarray, n: np.ndarray, diffs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places a, b of links between sets of n shingles, diffs being where each differs from a base: all links between different
+    roots, or others that join the same.
+
+    With e = len(diff) - far * n, two sets are similar if they share (e_a + e_b) / 2 differences. So the set of least e is linked
+    to all that need share none with it, which are all that need share none with any. Of other pairs, the one of less e shares
+    e_b at least, and the two share one among their first len(diff) - (what they must share) + 1, the rarest first.
+    """
+    far = (1 - SIMILAR) / (1 + SIMILAR)
+    size = np.array([len(d) for d in diffs], np.int64)
+    order = np.argsort(size - far * n, kind="stable")
+    root, n, size = root[order], n[order].astype(np.int64), size[order]
+    e = size - far * n
+    star = np.flatnonzero(e[1:] <= 1e-6 - e[0]) + 1
+    owner, begin = np.repeat(np.arange(len(n)), size), np.r_[0, np.cumsum(size)[:-1]]
+    _, which, times = np.unique(np.concatenate([diffs[k] for k in order]), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))
+    value = rank[which]
+    value = value[np.lexsort((value, owner))]
+    place = np.arange(len(value)) - begin[owner]
+    left = size[owner] - place
+    shared = value >= int((times == 1).sum())
+    head = lambda least: shared & (place < (size - np.ceil(np.maximum(least, 1) - 1e-6).astype(np.int64) + 1)[owner])
+    filed, asks = np.flatnonzero(head(e)), np.flatnonzero(head((e + e[0]) / 2))
+    filed = filed[np.lexsort((owner[filed], value[filed]))]
+    key = value[filed] * len(n) + owner[filed]
+    most = np.minimum(owner[asks], np.searchsorted(e, 2 * left[asks] - e[owner[asks]] + 1e-6, "right"))  # of less e, and within what can be shared from here on
+    at = np.searchsorted(key, value[asks] * len(n))
+    count = np.searchsorted(key, value[asks] * len(n) + most) - at
+    asks, at, count = asks[count > 0], at[count > 0], count[count > 0]
+    ends, pairs, k = np.cumsum(count), np.zeros(0, np.int64), 0
+    while k < len(asks):
+        to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + _GRID, "right")))
+        x, y = np.repeat(asks[k:to], count[k:to]), filed[_places(at[k:to], count[k:to])]
+        a, b = owner[x], owner[y]
+        able = (root[a] != root[b]) & (2 * np.minimum(left[x], left[y]) >= e[a] + e[b] - 1e-6) & (np.minimum(n[a], n[b]) >= SIMILAR * np.maximum(n[a], n[b]) - 1e-9)
+        pairs = np.union1d(pairs, a[able] * len(n) + b[able])
+        k = to
+    a, b = np.divmod(pairs, len(n))
+    found = [(np.zeros(len(star), np.int64), star)]
+    step = max(1, _GRID // max(1, int(size.max())))
+    for k in range(0, len(a), step):
+        x, y = a[k : k + step], b[k : k + step]
+        one, two = (np.repeat(np.arange(len(z)), size[z]) * len(times) + value[_places(begin[z], size[z])] for z in (x, y))
+        both = np.bincount(np.intersect1d(one, two, assume_unique=True) // len(times), minlength=len(x))
+        common = (n[x] + n[y] - (size[x] + size[y] - 2 * both)) / 2
+        same = common >= SIMILAR * (n[x] + n[y] - common) - 1e-9
+        found.append((x[same], y[same]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    apart = root[a] != root[b]
+    return order[a[apart]], order[b[apart]]
+
+
+def _hot(docs: DataFrame, rows: DataFrame, again: DataFrame) -> DataFrame:
+    """Links (a, b) within the buckets of again(key, node, root, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, nodes, first, base, diffs = None, [], [], None, []
+
+        def based() -> None:
+            nonlocal base
+            values, times = np.unique(np.concatenate(first), return_counts=True)
+            base = values[2 * times > len(first)]
+            diffs.extend(np.setxor1d(x, base, assume_unique=True) for x in first)
+            first.clear()
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if len(nodes) > 1:
+                if base is None:
+                    based()
+                node, root, n = (np.array(x, np.int64) for x in zip(*nodes, strict=True))
+                a, b = _close(root, n, diffs)
+                yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
+
+        for batch in batches:
+            for k, node, root, n, held in zip(*(batch.column(c).to_pylist() for c in range(4)), batch.column(4), strict=True):
+                if k != key:
+                    yield from told()
+                    key, nodes, first, base, diffs = k, [], [], None, []
+                nodes.append((node, root, n))
+                found = np.frombuffer(held.as_buffer(), np.uint64)
+                if base is None:
+                    first.append(found.copy())
+                    if len(first) == BASE:
+                        based()
+                else:
+                    diffs.append(np.setxor1d(found, base, assume_unique=True))
+        yield from told()
+        trimmed()
+
+    apart = again.groupBy("key").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select(F.col("key").alias("_key"))
+    hot = written(again.join(apart.hint("merge"), F.col("key") == F.col("_key"), "left_semi"), "hot")
+    sets = _sets(docs, rows, hot.select(F.col("node").alias("_node"))).withColumnRenamed("node", "_node")
+    met = hot.join(sets.hint("merge"), F.col("node") == F.col("_node")).select("key", "node", "root", "n", "held")
+    return written(met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long"), "close", batch=500)
+
+
 def _joined(rows: DataFrame, tree: DataFrame) -> DataFrame:
     """key, node, root, n of rows, with the roots of tree(node, root)."""
     tree = tree.select(F.col("node").alias("_node"), F.col("root").alias("_root"))
@@ -212,6 +325,11 @@ def _joined(rows: DataFrame, tree: DataFrame) -> DataFrame:
     return out.select("key", "node", F.coalesce("_root", "node").alias("root"), "n")
 
 
+def _further(tree: DataFrame, found: DataFrame) -> DataFrame:
+    """The components of tree(node, root) and found(a, b): what is joined stays so."""
+    return components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))
+
+
 def roots(docs: DataFrame, rows: DataFrame, links: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) of every node but the roots, for docs(_ref, text) and their rows with_nodes; links finds edges (a, b) of
     fingerprints (fp)."""
@@ -222,16 +340,14 @@ def roots(docs: DataFrame, rows: DataFrame, links: Callable[[DataFrame], DataFra
     at = lambda k: ends.select(F.col("fp").alias(f"_{k}"), F.col("end").alias(f"end_{k}")).hint("merge")
     other = near.join(at("a"), F.col("a") == F.col("_a")).join(at("b"), F.col("b") == F.col("_b")).select(F.col("end_a").alias("a"), F.col("end_b").alias("b"))
     pairs = written(same.unionAll(other).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    tree = components(_verified(pairs, _sets(docs, rows, pairs)))
-    left, pivots = _joined(_filed(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))), tree), PIVOTS
-    while True:
-        met = _candidates(left, pivots)
-        pairs = written(met.filter("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-        found = _verified(pairs, _sets(docs, rows, pairs))
-        again = met.filter("kind = 0").select("key", "node", F.col("other").alias("root"), "n")
-        tree = components(tree.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(found))  # what is joined stays so
-        if again.isEmpty():
-            return tree
-        left, before = written(_joined(again, tree), "left"), met
-        dropped(before)
-        pivots *= 8
+    tree = components(_verified(pairs, _sets(docs, rows, _ends(pairs))))
+    left = _joined(_filed(rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))), tree)
+    met = _candidates(left, PIVOTS)
+    pairs = written(met.filter("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    tree = _further(tree, _verified(pairs, _sets(docs, rows, _ends(pairs))))
+    again = met.filter("kind = 0").select("key", "node", F.col("other").alias("root"), "n")
+    if again.isEmpty():
+        return tree
+    left = written(_joined(again, tree), "left")
+    dropped(met)
+    return _further(tree, _hot(docs, rows, left))

@@ -115,6 +115,81 @@ def test_keep_one_takes_near_copies_of_five_word_shingles(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({find(i) for i in range(len(texts))})
 
 
+def test_far_copies_of_one_text_do_not_meet_in_all_pairs(spark, monkeypatch):
+    """Many copies of a text, each with its own changes, meet in few candidates, and no link is lost."""
+    from inkfold.llm import jaccard
+
+    rnd = np.random.default_rng(9)
+    word = lambda: f"w{rnd.integers(0, 50_000)}"
+    base, texts = [word() for _ in range(200)], []
+    for k in range(600):
+        t = list(base)
+        for at in rnd.choice(200, rnd.integers(4, 13), replace=False):
+            t[at] = word()
+        if k % 6 == 5:  # a near copy of the one before
+            t = texts[-1].split()
+            t[rnd.integers(0, 200)] = word()
+        texts.append(" ".join(t))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in combinations(range(len(texts)), 2):
+        if alike(i, j):
+            up[max(find(i), find(j))] = min(find(i), find(j))
+    met, verified = [], jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, found: met.append(pairs.count()) or verified(pairs, found))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == sorted({find(i) for i in range(len(texts))}) and 300 < len(kept) < 510
+    assert sum(met) < 45 * len(texts)
+
+
+def test_close_finds_every_link_of_a_bucket():
+    """Sets of many sizes about a base, against all pairs; whatever the base, and with what is joined already."""
+    from inkfold.llm import jaccard
+
+    rnd = np.random.default_rng(10)
+    for case in range(60):
+        core = rnd.choice(1 << 20, rnd.integers(3, 90), replace=False)
+        spread = rnd.integers(1, 40)
+        sets = []
+        for _ in range(rnd.integers(2, 60)):
+            source = sets[rnd.integers(0, len(sets))] if sets and rnd.random() < 0.3 else core
+            keep = rnd.random(len(source)) > rnd.random() * spread / 100
+            sets.append(np.unique(np.r_[source[keep], rnd.choice(1 << (20 if case % 2 else 7), rnd.integers(0, spread))]).astype(np.uint64))
+        sets = [s for s in {s.tobytes(): s for s in sets}.values() if len(s)]
+        base = [np.zeros(0, np.uint64), np.unique(core).astype(np.uint64), sets[0]][case % 3]
+        root = np.arange(len(sets))
+        if case % 4 == 0:
+            root[: len(root) // 2] = 0
+        up = root.tolist()
+
+        def find(x, up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        want = list(up)
+        for i, j in combinations(range(len(sets)), 2):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                x, y = find(i, want), find(j, want)
+                want[max(x, y)] = min(x, y)
+        a, b = jaccard._close(root, np.array([len(s) for s in sets]), [np.setxor1d(s, base) for s in sets])
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            common = len(np.intersect1d(sets[i], sets[j]))
+            assert common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-9
+            x, y = find(i, up), find(j, up)
+            up[max(x, y)] = min(x, y)
+        assert [find(i, up) for i in range(len(sets))] == [find(i, want) for i in range(len(sets))]
+
+
 def test_simhash_search_finds_every_link(spark):
     """Chains and balls of fingerprints: the search gives the components of all links, whatever the plan."""
     rnd = np.random.default_rng(3)
