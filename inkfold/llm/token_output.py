@@ -122,7 +122,7 @@ def write_frames(docs: DataFrame, path: str, end: int = END_ID, by_word: bool =
 
 
 def read_documents(frames: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from its frame."""
+    """doc_id, start, n_tokens, ids_crc32 of each document, from its frame, in order of start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,7 +143,7 @@ def read_documents(frames: DataFrame) -> DataFrame:
     slim = slim.withColumn("_f", before(Window.partitionBy("part").orderBy("frame"), "n_ids")).join(parts, "part")
     starts = written(slim.select(F.shiftleft(F.col("part").cast("long"), 32).bitwiseOR(F.col("frame").cast("long")).alias("_frame"), (F.col("_p") + F.col("_f")).alias("_base")), "starts")
     out = join_small(rows, starts, "_frame", F.col("doc_id"))
-    return out.select("doc_id", (F.col("_base") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
+    return out.select("doc_id", (F.col("_base") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32").orderBy("start")
 
 
 def token_output(docs: DataFrame, path: str | None = None, end: int = END_ID) -> DataFrame:

@@ -248,6 +248,11 @@ def test_simhash_plan_spends_the_whole_budget():
 # 2 token ids
 
 
+def test_token_output_is_in_order(docs, spark):
+    starts = [r.start for r in token_output.token_output(docs.unionAll(docs).repartition(7)).collect()]
+    assert starts == sorted(starts) and len(starts) == 2 * docs.count()
+
+
 def test_token_output(docs, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
