@@ -248,6 +248,24 @@ def test_simhash_plan_spends_the_whole_budget():
 # 2 token ids
 
 
+def test_words_in_pieces_have_the_tokenizers_ids(monkeypatch):
+    """Words of all printable ASCII, of letters beyond it, added tokens and contractions: the whole tokenizer's ids, and few words go through it."""
+    import public_tokenizers
+
+    rnd = np.random.default_rng(12)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ascii_ = [chr(c) for c in range(33, 127)]
+    words = ["".join(rnd.choice(ascii_, rnd.integers(1, 14))) for _ in range(4_000)] + ["".join(rnd.choice(list("abETzQ0,.-'"), rnd.integers(1, 20))) for _ in range(4_000)]
+    words += ["don't", "<|endoftext|>", "a<|startoftext|>b", "Été,", "İx", "\x00a\x1fb\x7f", "e\u0301", "ﬁ", "x" * 3_000, *ascii_]
+    tokens, whole = token_output.WordTokens(path), token_output.WordTokens(path, by_word=False)
+    asked, encode = [], tokens._encode
+    monkeypatch.setattr(tokens, "_encode", lambda texts: asked.extend(texts) or encode(texts))
+    texts = [w.encode() for w in words]
+    for a, b in zip(tokens(texts, 2), whole(texts, 2), strict=True):
+        assert a.tolist() == b.tolist()
+    assert 0 < len(asked) < 0.5 * len(set(words))
+
+
 def test_token_output_is_in_order(docs, spark):
     starts = [r.start for r in token_output.token_output(docs.unionAll(docs).repartition(7)).collect()]
     assert starts == sorted(starts) and len(starts) == 2 * docs.count()
